@@ -8,6 +8,8 @@ from spanframe.plans import registry
 
 FAMILIES = (
     "interval_queries",
+    "budget_queries",
+    "sequence_queries",
 )
 
 
