@@ -45,7 +45,12 @@ def poisson_weight(hex_digits: Column) -> Column:
     Lower-case hex of equal length compares like the number it spells, so no
     conversion is needed.
     """
-    weight = F.lit(0)
-    for threshold in POISSON_ONE:
-        weight = weight + (hex_digits >= F.lit(threshold)).cast("int")
+    weight = F.lit(len(POISSON_ONE))
+    for count, threshold in reversed(list(enumerate(POISSON_ONE))):
+        weight = F.when(hex_digits < F.lit(threshold), F.lit(count)).otherwise(weight)
     return weight
+
+
+def positive_weight(hex_digits: Column) -> Column:
+    """Is the Poisson(1) weight above zero?"""
+    return hex_digits >= F.lit(POISSON_ONE[0])

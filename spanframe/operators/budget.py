@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions.hashing import hash_hex
+from spanframe.session import spread_rows
 
 BUDGETS = (0.02, 0.05, 0.10, 0.20, 0.50)
 TILE_UNITS = 49_152
@@ -91,33 +92,65 @@ def choices(ranked: DataFrame, budgets=BUDGETS, selectors=SELECTORS) -> DataFram
     ).drop("c")
 
 
-def selection_metrics(selected: DataFrame, evidence: DataFrame, by: list[str], interval_pieces: DataFrame) -> DataFrame:
+def evidence_tiles(tiles: DataFrame, intervals: DataFrame, size: int) -> DataFrame:
+    """Tiles with their evidence: bytes, the interval parts inside, and sample totals.
+
+    Tile rows and interval parts travel through one exchange on the sample, after
+    which every grouping and ranking of the evaluation is local.
+    tiles: sample_id, tile, tile_len, entropy; intervals: canonical sample_id, lo, hi.
+    """
+    from spanframe.operators.intervals import tile_pieces
+
+    cut = intervals.withColumn("interval_id", F.col("lo")).withColumn("length", F.col("hi") - F.col("lo"))
+    parts = tile_pieces(cut, ["sample_id"], size).select(
+        "sample_id", "tile", F.struct("interval_id", "length", "n_bytes", (F.floor(F.col("interval_id") / size) == F.col("tile")).alias("first")).alias("part")
+    )
+    both = spread_rows(tiles.unionByName(parts, allowMissingColumns=True), "sample_id")
+    one = both.groupBy("sample_id", "tile").agg(
+        F.max("tile_len").alias("tile_len"), F.max("entropy").alias("entropy"), F.collect_list("part").alias("parts")
+    )
+    whole = Window.partitionBy("sample_id")
+    one = one.withColumn("evidence", F.aggregate("parts", F.lit(0).cast("bigint"), lambda t, p: t + p["n_bytes"]))
+    return (
+        one.withColumn("n_tiles", F.max("tile").over(whole) + 1)
+        .withColumn("n_units", F.sum("tile_len").over(whole))
+        .withColumn("evidence_bytes", F.sum("evidence").over(whole))
+        .withColumn("n_intervals", F.sum(F.size(F.filter("parts", lambda p: p["first"]))).over(whole))
+    )
+
+
+def selection_metrics(selected: DataFrame, by: list[str]) -> DataFrame:
     """Coverage, byte IoU, interval recall at one half, hit flag and k per selection.
 
-    selected: sample_id, by..., tile, tile_len, evidence (bytes in the tile)
-    evidence: sample_id, evidence_bytes, n_intervals      (samples with evidence)
-    interval_pieces: sample_id, interval_id, length, tile, n_bytes
+    ``selected`` holds rows of ``evidence_tiles`` that a selection picked. Each row
+    gives one record for the tile and one per interval part, so a first grouping sums
+    the parts of an interval and a second one the sample, both on the same partitioning.
     """
-    got = selected.groupBy("sample_id", *by).agg(
-        F.sum("evidence").alias("_inter"), F.sum("tile_len").alias("_len"),
-        F.max((F.col("evidence") > 0).cast("int")).alias("_hit"), F.count(F.lit(1)).alias("k"),
+    zero = F.lit(0).cast("bigint")
+    own = F.struct(
+        F.lit(None).cast("bigint").alias("interval_id"), zero.alias("length"), zero.alias("n_bytes"),
+        F.col("tile_len").alias("len"), F.col("evidence").alias("got"), F.lit(1).cast("bigint").alias("k"),
+    )
+    inner = F.transform("parts", lambda p: F.struct(
+        p["interval_id"].alias("interval_id"), p["length"].alias("length"), p["n_bytes"].alias("n_bytes"), zero.alias("len"), zero.alias("got"), zero.alias("k")
+    ))
+    rec = selected.select("sample_id", *by, "evidence_bytes", "n_intervals", F.explode(F.concat(F.array(own), inner)).alias("r"))
+    per = rec.groupBy("sample_id", *by, F.col("r.interval_id").alias("interval_id")).agg(
+        F.max("evidence_bytes").alias("_total"), F.max("n_intervals").alias("_n"), F.sum("r.n_bytes").alias("_o"), F.max("r.length").alias("_l"),
+        F.sum("r.len").alias("_len"), F.sum("r.got").alias("_inter"), F.sum("r.k").alias("k"),
     )
-    parts = selected.filter("evidence > 0").select("sample_id", *by, "tile").join(interval_pieces, ["sample_id", "tile"])
-    covered = (
-        parts.groupBy("sample_id", *by, "interval_id").agg(F.sum("n_bytes").alias("_o"), F.max("length").alias("_l"))
-        .filter(F.col("_o") / F.col("_l") >= 0.5)
-        .groupBy("sample_id", *by).agg(F.count(F.lit(1)).alias("_covered"))
+    half = F.col("interval_id").isNotNull() & (F.col("_o") * 2 >= F.col("_l"))
+    out = per.groupBy("sample_id", *by).agg(
+        F.max("_total").alias("_total"), F.max("_n").alias("n_regions"), F.count(F.when(half, F.lit(1))).alias("_covered"),
+        F.sum("_len").alias("_len"), F.sum("_inter").alias("_inter"), F.sum("k").alias("k"),
     )
-    out = got.join(covered, ["sample_id", *by], "left").join(evidence, "sample_id", "left")
-    total = F.coalesce("evidence_bytes", F.lit(0))
-    union = F.col("_len") + total - F.col("_inter")
+    total, union = F.col("_total"), F.col("_len") + F.col("_total") - F.col("_inter")
     return out.select(
         "sample_id", *by,
         F.when(total > 0, F.col("_inter") / F.when(total > 0, total)).alias("coverage"),
         F.when(union > 0, F.col("_inter") / F.when(union > 0, union)).otherwise(0.0).alias("byte_iou"),
-        F.when(F.col("n_intervals") > 0, F.coalesce("_covered", F.lit(0)) / F.when(F.col("n_intervals") > 0, F.col("n_intervals"))).alias("interval_recall_50"),
-        (F.col("_hit") > 0).alias("evidence_hit"), "k", (total > 0).alias("has_evidence"),
-        F.coalesce("n_intervals", F.lit(0)).alias("n_regions"),
+        F.when(F.col("n_regions") > 0, F.col("_covered") / F.when(F.col("n_regions") > 0, F.col("n_regions"))).alias("interval_recall_50"),
+        (F.col("_inter") > 0).alias("evidence_hit"), "k", (total > 0).alias("has_evidence"), "n_regions",
     )
 
 
@@ -130,8 +163,8 @@ def fit_position_prior(tiles: DataFrame, bins: int = 20) -> DataFrame:
 
     ``tiles``: sample_id, tile, n_tiles, evidence of the fitting split only.
     """
-    total = tiles.groupBy("sample_id").agg(F.sum("evidence").alias("_t")).filter("_t > 0")
-    share = tiles.join(total, "sample_id").select(
+    total = F.sum("evidence").over(Window.partitionBy("sample_id"))
+    share = tiles.withColumn("_t", total).filter("_t > 0").select(
         position_bin(F.col("tile"), F.col("n_tiles"), bins).alias("bin"), (F.col("evidence") / F.col("_t")).alias("_s")
     )
     fitted = share.groupBy("bin").agg(F.avg("_s").alias("density"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import kernels
 from spanframe.operators.intervals import normalize
-from spanframe.session import spread
+from spanframe.session import spread, spread_rows
 
 
 def literal_spans(df: DataFrame, id_col: str, text_col: str, literals: list[str]) -> DataFrame:
@@ -23,9 +23,9 @@ def literal_spans(df: DataFrame, id_col: str, text_col: str, literals: list[str]
         F.lit(lit).alias("rule"), F.lit(len(lit)).alias("n"),
         F.transform(F.split("_t", "\\Q" + lit + "\\E", -1), lambda p: F.length(p)).alias("gaps"),
     ) for lit in literals])
-    gaps = base.select("sample_id", F.explode(F.filter(rules, lambda r: F.size(r["gaps"]) > 1)).alias("r")).select(
+    gaps = spread_rows(base.select("sample_id", F.explode(F.filter(rules, lambda r: F.size(r["gaps"]) > 1)).alias("r")).select(
         "sample_id", "r.rule", "r.n", F.size("r.gaps").alias("_last"), F.posexplode("r.gaps").alias("_i", "_gap")
-    )
+    ), "sample_id")
     w = Window.partitionBy("sample_id", "rule").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     lo = (F.sum("_gap").over(w) + F.col("_i") * F.col("n")).cast("bigint")
     return gaps.withColumn("lo", lo).filter(F.col("_i") < F.col("_last") - 1).select(

@@ -105,8 +105,8 @@ def f6(spark, sf):
 
 @query("f7_select_oracle", f"with {RANKS} select sample_id, tile, evidence from rk where r_oracle <= {K10}")
 def f7(spark, sf):
-    tiles, _, _ = flagship.scored_tiles(spark, sf)
-    return tiles.filter("true").withColumn("rank", bd.rank_by(F.col("evidence").cast("double"))).filter(F.col("rank") <= _k()).select("sample_id", "tile", F.col("evidence").cast("bigint").alias("evidence"))
+    tiles = flagship.scored_tiles(spark, sf)
+    return tiles.withColumn("rank", bd.rank_by(F.col("evidence").cast("double"))).filter(F.col("rank") <= _k()).select("sample_id", "tile", F.col("evidence").cast("bigint").alias("evidence"))
 
 
 @query(
@@ -133,7 +133,7 @@ SPLIT = "('0x' || substr(sha256(concat_ws('|', 'prior', sample_id)), 1, 13))::ub
     select g.bin, round(coalesce(avg(s), 0.0), 9) as density from (select unnest(range(20)) as bin) g left join b on b.bin = g.bin group by g.bin""",
 )
 def f9(spark, sf):
-    tiles, _, _ = flagship.scored_tiles(spark, sf)
+    tiles = flagship.scored_tiles(spark, sf)
     train = tiles.filter(unit_draw("prior", "sample_id") < 0.7)
     return bd.fit_position_prior(train).select("bin", F.round("density", 9).alias("density"))
 
@@ -147,7 +147,7 @@ def f9(spark, sf):
     select sample_id, tile, round(coalesce(density, 0.0), 9) as position_only from tl left join d on d.bin = least(cast(floor((tile + 0.5) / n_tiles * 20) as bigint), 19)""",
 )
 def f9s(spark, sf):
-    tiles, _, _ = flagship.scored_tiles(spark, sf)
+    tiles = flagship.scored_tiles(spark, sf)
     prior = bd.fit_position_prior(tiles.filter(unit_draw("prior", "sample_id") < 0.7))
     return bd.score_position(tiles.select("sample_id", "tile", "n_tiles"), prior).select("sample_id", "tile", F.round("position_only", 9).alias("position_only"))
 
@@ -158,9 +158,8 @@ def f9s(spark, sf):
     round(interval_recall_50, 9) as interval_recall_50, evidence_hit, k from ev where selector in ('entropy', 'front_first') and budget = 0.10""",
 )
 def f10(spark, sf):
-    tiles, totals, pieces = flagship.scored_tiles(spark, sf)
-    chosen = bd.choices(bd.rank_selectors(tiles, flagship.SEED), (0.10,), ("entropy", "front_first"))
-    out = bd.selection_metrics(chosen, totals, ["selector", "budget"], pieces)
+    chosen = bd.choices(bd.rank_selectors(flagship.scored_tiles(spark, sf), flagship.SEED), (0.10,), ("entropy", "front_first"))
+    out = bd.selection_metrics(chosen, ["selector", "budget"])
     return out.select(
         "sample_id", "selector", "budget", F.round("coverage", 9).alias("coverage"), F.round("byte_iou", 9).alias("byte_iou"),
         F.round("interval_recall_50", 9).alias("interval_recall_50"), "evidence_hit", "k",

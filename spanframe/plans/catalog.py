@@ -10,6 +10,7 @@ FAMILIES = (
     "interval_queries",
     "budget_queries",
     "sequence_queries",
+    "stats_queries",
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.operators import budget, intervals, sequence, spans
@@ -13,35 +13,22 @@ RULES = ["the ", " and ", "License", "@"]
 SEED = "tiles-v1"
 
 
-def scored_tiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tiles with scores and evidence, per-sample evidence totals, interval pieces per tile)."""
+def scored_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Document tiles with entropy, boundary score and evidence."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    whole = Window.partitionBy("sample_id")
     tiles = sequence.tile_entropy(docs, "doc_id", "text", TILE).select(
         "sample_id", "tile", F.col("n_units").alias("tile_len"), F.round("entropy", 9).alias("entropy")
-    ).withColumn("n_tiles", F.max("tile").over(whole) + 1).withColumn(
-        "stratum", F.when(F.sum("tile_len").over(whole) > 4096, "long").otherwise("short")
     )
-    tiles = sequence.boundary_score(tiles).withColumn("boundary", F.round("boundary", 9))
-    found = spans.literal_spans(docs, "doc_id", "text", RULES)
-    merged = intervals.normalize(found, ["sample_id"])
-    pieces = intervals.tile_pieces(
-        merged.withColumn("interval_id", F.col("lo")).withColumn("length", F.col("hi") - F.col("lo")), ["sample_id"], TILE
-    ).select("sample_id", "interval_id", "length", "tile", "n_bytes")
-    per_tile = pieces.groupBy("sample_id", "tile").agg(F.sum("n_bytes").alias("evidence"))
-    totals = merged.groupBy("sample_id").agg(
-        F.sum(F.col("hi") - F.col("lo")).alias("evidence_bytes"), F.count(F.lit(1)).alias("n_intervals")
-    )
-    tiles = tiles.join(per_tile, ["sample_id", "tile"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
-    return tiles, totals, pieces
+    found = intervals.merge_bounded(spans.literal_spans(docs, "doc_id", "text", RULES), ["sample_id"])
+    out = budget.evidence_tiles(tiles, found, TILE)
+    out = sequence.boundary_score(out).withColumn("boundary", F.round("boundary", 9))
+    return out.withColumn("stratum", F.when(F.col("n_units") > 4096, "long").otherwise("short"))
 
 
 def evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics per (sample, stratum, selector, budget)."""
-    tiles, totals, pieces = scored_tiles(spark, sf)
-    ranked = budget.rank_selectors(tiles, SEED)
-    chosen = budget.choices(ranked).select("sample_id", "stratum", "tile", "tile_len", "evidence", "selector", "budget")
-    return budget.selection_metrics(chosen, totals, ["stratum", "selector", "budget"], pieces)
+    ranked = budget.rank_selectors(scored_tiles(spark, sf), SEED)
+    return budget.selection_metrics(budget.choices(ranked), ["stratum", "selector", "budget"])
 
 
 def evidence_by_selector(spark: SparkSession, sf: str) -> DataFrame:

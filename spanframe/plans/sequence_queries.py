@@ -262,7 +262,7 @@ def d21s(spark, sf):
 def d24(spark, sf):
     from spanframe.operators import budget as bd
 
-    tiles, _, _ = flagship.scored_tiles(spark, sf)
+    tiles = flagship.scored_tiles(spark, sf)
     top = tiles.withColumn("rank", bd.rank_by(F.col("entropy"))).filter(F.col("rank") <= bd.budget_size(F.col("n_tiles"), 0.10))
     return intervals.merge_blocks(top.withColumn("n_units", F.col("tile") * 64 + F.col("tile_len")), ["sample_id"], 64)
 
