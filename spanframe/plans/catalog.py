@@ -11,6 +11,8 @@ FAMILIES = (
     "budget_queries",
     "sequence_queries",
     "stats_queries",
+    "cohort_queries",
+    "audit_queries",
 )
 
 
