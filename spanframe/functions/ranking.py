@@ -86,7 +86,7 @@ def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int, n
 
 def first_in_group(df: DataFrame, group: list[str], order: list[str], carry: list[str]) -> DataFrame:
     """The first row per group by ``order``, as a combinable aggregate (no window)."""
-    picked = df.groupBy(*group).agg(F.min(F.struct(*order, *carry)).alias("_f"), F.count(F.lit(1)).alias("group_size"))
+    picked = df.groupBy(*group).agg(F.min(F.struct(*dict.fromkeys(order + carry))).alias("_f"), F.count(F.lit(1)).alias("group_size"))
     return picked.select(*group, *[F.col(f"_f.{c}").alias(c) for c in dict.fromkeys(order + carry)], "group_size")
 
 

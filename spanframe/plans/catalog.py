@@ -13,6 +13,7 @@ FAMILIES = (
     "stats_queries",
     "cohort_queries",
     "audit_queries",
+    "region_queries",
 )
 
 

@@ -12,8 +12,8 @@ K = ["key"]
 
 # running-maximum islands, a different method from the sweep under test
 ISLANDS = """
-m as (select *, max(hi) over (partition by key order by lo, hi rows between unbounded preceding and 1 preceding) as pm from src),
-i as (select *, sum(case when pm is null or pm < lo then 1 else 0 end) over (partition by key order by lo, hi rows unbounded preceding) as isl from m),
+imx as (select *, max(hi) over (partition by key order by lo, hi rows between unbounded preceding and 1 preceding) as pm from src),
+i as (select *, sum(case when pm is null or pm < lo then 1 else 0 end) over (partition by key order by lo, hi rows unbounded preceding) as isl from imx),
 norm as (select key, min(lo) as lo, max(hi) as hi from i group by key, isl)
 """
 SWEEP = """
