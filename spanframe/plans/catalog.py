@@ -14,6 +14,8 @@ FAMILIES = (
     "cohort_queries",
     "audit_queries",
     "region_queries",
+    "metric_queries",
+    "box_queries",
 )
 
 
