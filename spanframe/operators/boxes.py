@@ -8,10 +8,14 @@ as a whole.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.session import spread_rows
+
 GRID = 256
 
 
@@ -127,24 +131,36 @@ def match_detections(pred: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
         (F.lower(F.col("a.label")) == F.lower(F.col("b.label"))).alias("same"),
     )
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, used_p, used_t = [], set(), set()
-        best = pdf[pdf["same"]].sort_values(["score", "pred_id", "iou", "truth_id"], ascending=[False, True, False, True])
-        for r in best.itertuples():
-            if r.pred_id not in used_p and r.truth_id not in used_t:
-                used_p.add(r.pred_id)
-                used_t.add(r.truth_id)
-                rows.append((r.image_id, r.pred_id, r.truth_id, r.iou, "true_positive"))
-        left = set(pdf["truth_id"]) - used_t
-        rest = pdf[~pdf["pred_id"].isin(used_p)].sort_values(["pred_id", "iou", "truth_id"], ascending=[True, False, True])
-        for pid, g in rest.groupby("pred_id", sort=True):
-            g = g[g["truth_id"].isin(left)]
-            if len(g) and not g.iloc[0]["same"]:
-                left.discard(g.iloc[0]["truth_id"])
-                rows.append((g.iloc[0]["image_id"], pid, g.iloc[0]["truth_id"], g.iloc[0]["iou"], "class_mismatch"))
-        return pd.DataFrame(rows, columns=["image_id", "pred_id", "truth_id", "iou", "status"])
-
-    matched = pairs.groupBy("image_id").applyInPandas(greedy, "image_id bigint, pred_id bigint, truth_id bigint, iou double, status string")
+    # A pair that is the only one of both its boxes has no rival: its outcome is plain.
+    alone = (F.count(F.lit(1)).over(Window.partitionBy("image_id", "pred_id")) == 1) & (F.count(F.lit(1)).over(Window.partitionBy("image_id", "truth_id")) == 1)
+    judged = pairs.withColumn("_alone", alone)
+    easy = judged.filter("_alone").select("image_id", "pred_id", "truth_id", "iou", F.when(F.col("same"), "true_positive").otherwise("class_mismatch").alias("status"))
+    cell = F.struct("pred_id", "truth_id", "score", "iou", "same")
+    contested = spread_rows(judged.filter("not _alone"), "image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("pairs"))
+
+    def greedy(pairs: list) -> list[dict]:
+        used_p, used_t, out = set(), set(), []
+        for r in sorted((r for r in pairs if r["same"]), key=lambda r: (-r["score"], r["pred_id"], -r["iou"], r["truth_id"])):
+            if r["pred_id"] not in used_p and r["truth_id"] not in used_t:
+                used_p.add(r["pred_id"])
+                used_t.add(r["truth_id"])
+                out.append({"pred_id": r["pred_id"], "truth_id": r["truth_id"], "iou": r["iou"], "status": "true_positive"})
+        seen = set()
+        for r in sorted((r for r in pairs if r["pred_id"] not in used_p), key=lambda r: (r["pred_id"], -r["iou"], r["truth_id"])):
+            if r["pred_id"] in seen or r["truth_id"] in used_t:
+                continue
+            seen.add(r["pred_id"])  # only the best free truth box counts
+            if not r["same"]:
+                used_t.add(r["truth_id"])
+                out.append({"pred_id": r["pred_id"], "truth_id": r["truth_id"], "iou": r["iou"], "status": "class_mismatch"})
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"image_id": pdf["image_id"], "m": [greedy(list(p)) for p in pdf["pairs"]]})
+
+    hard = contested.mapInPandas(run, "image_id bigint, m array<struct<pred_id:bigint,truth_id:bigint,iou:double,status:string>>")
+    matched = easy.unionByName(hard.select("image_id", F.explode("m").alias("m")).select("image_id", "m.*"))
     tp = matched.filter("status = 'true_positive'")
     none = lambda t: F.lit(None).cast(t)
     fp = pred.select("image_id", F.col("box_id").alias("pred_id")).join(tp.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti")
@@ -190,7 +206,7 @@ def merge_boxes(det: DataFrame, threshold: float = 0.5, metric: str = "ios", cla
         return pd.DataFrame(out, columns=[*cols, "n_merged"])
 
     schema = "image_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, n_merged bigint"
-    merged = busy.groupBy("image_id").applyInPandas(absorb, schema)
+    merged = spread_rows(busy, "image_id").groupBy("image_id").applyInPandas(absorb, schema)
     alone = det.join(partners.select("image_id", "box_id"), ["image_id", "box_id"], "left_anti").select(*cols, F.lit(1).cast("bigint").alias("n_merged"))
     return merged.unionByName(alone)
 
@@ -199,31 +215,38 @@ def select_guarded(tiles: DataFrame, budget: float, coverage_ratio: float = 0.2)
     """Exact-budget tiles: guarded first by score, then farthest-point slots, then best score.
 
     tiles: image_id, tile, score, guarded, corners, width, height. The tiles of one
-    image form a grid of bounded size.
+    image form a grid of bounded size, so they travel as one array row per image.
     """
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        import numpy as np
+    cx = (F.col("x1") + F.col("x2")) / 2 / F.col("width")
+    cy = (F.col("y1") + F.col("y2")) / 2 / F.col("height")
+    cell = F.struct("tile", F.col("score").cast("double").alias("score"), F.col("guarded").alias("guarded"), cx.alias("cx"), cy.alias("cy"))
+    rows = spread_rows(tiles, "image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
-        pdf = pdf.sort_values("tile").reset_index(drop=True)
-        n = len(pdf)
+    def choose(cells: list) -> list[int]:
+        n = len(cells)
         want = max(1, min(n, math.ceil(n * budget)))
-        rank = pdf.sort_values(["score", "tile"], ascending=[False, True]).index.to_numpy()
-        guarded = [i for i in rank if pdf.at[i, "guarded"]]
-        chosen = guarded[:want]
-        cx = ((pdf["x1"] + pdf["x2"]) / 2 / pdf["width"]).to_numpy()
-        cy = ((pdf["y1"] + pdf["y2"]) / 2 / pdf["height"]).to_numpy()
-        near = np.full(n, np.inf)
-        for i in chosen:
-            near = np.minimum(near, (cx - cx[i]) ** 2 + (cy - cy[i]) ** 2)
+        rank = sorted(range(n), key=lambda i: (-cells[i]["score"], cells[i]["tile"]))
+        chosen = [i for i in rank if cells[i]["guarded"]][:want]
+        near = [math.inf] * n
+
+        def approach(c: int) -> None:
+            for i in range(n):
+                near[i] = min(near[i], (cells[i]["cx"] - cells[c]["cx"]) ** 2 + (cells[i]["cy"] - cells[c]["cy"]) ** 2)
+
+        for c in chosen:
+            approach(c)
         for _ in range(min(want - len(chosen), math.ceil(want * coverage_ratio))):
             taken = set(chosen)
-            best = max((i for i in range(n) if i not in taken), key=lambda i: (near[i] if chosen else 0.0, pdf.at[i, "score"], -pdf.at[i, "tile"]))
+            best = max((i for i in range(n) if i not in taken), key=lambda i: (near[i] if chosen else 0.0, cells[i]["score"], -cells[i]["tile"]))
             chosen.append(best)
-            near = np.minimum(near, (cx - cx[best]) ** 2 + (cy - cy[best]) ** 2)
+            approach(best)
         taken = set(chosen)
         chosen += [i for i in rank if i not in taken][: want - len(chosen)]
-        return pdf.loc[sorted(chosen), ["image_id", "tile"]]
+        return sorted(cells[i]["tile"] for i in chosen)
+
+    def run(batches):
+        for pdf in batches:
+            picked = [choose(list(c)) for c in pdf["cells"]]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "tiles": picked})
 
-    return tiles.groupBy("image_id").applyInPandas(pick, "image_id bigint, tile bigint")
+    return rows.mapInPandas(run, "image_id bigint, tiles array<bigint>").select("image_id", F.explode("tiles").alias("tile"))

@@ -16,6 +16,7 @@ FAMILIES = (
     "region_queries",
     "metric_queries",
     "box_queries",
+    "source_queries",
 )
 
 
