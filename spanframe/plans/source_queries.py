@@ -101,7 +101,8 @@ def a5(spark, sf):
     return out.withColumnRenamed("doc", "image_id").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-HEX = """hc as (select doc_id as sample_id, unnest(range(length(text))) as cp, hex(encode(unnest(string_split(text, '')))) as h from documents),
+HEX = """ht as (select doc_id as sample_id, unnest(range(length(text))) as cp, unnest(string_split(text, '')) as c from documents),
+hc as (select sample_id, cp, hex(encode(c)) as h from ht),
 hb as (select sample_id, cp, h, unnest(range(length(h) // 2)) as k from hc),
 bt as (select sample_id, row_number() over (partition by sample_id order by cp, k) - 1 as off, substr(h, 2 * k + 1, 2) as b from hb),
 nb as (select sample_id, count(*) as n from bt group by 1)"""
@@ -134,9 +135,11 @@ ASM = HEX + """, cl as (select sample_id, off, case when off = 1 then 'AA' when
  union select sample_id, 1, 'AA' from nb union select sample_id, 2, '??' from nb), cv as (select distinct sample_id, off, t from cl)"""
 
 
-@query("e14_assemble_dump", f"with {ASM} select sample_id, off, ('0x' || t)::integer as byte from cv where t <> '??'")
+@query("e14_assemble_dump", f"with {ASM} select sample_id, off // 512 as row, count(*) as n, cast(sum(('0x' || t)::integer) as bigint) as total, min(off) as first_off, max(off) as last_off from cv where t <> '??' group by 1, 2")
 def e14(spark, sf):
-    return dumps.assemble_dump(dumps.parse_hex_dumps(_dump_text(spark, sf), "text"))[0]
+    b = dumps.assemble_dump(dumps.parse_hex_dumps(_dump_text(spark, sf), "text"))[0]
+    return b.groupBy("sample_id", F.floor(F.col("off") / 512).alias("row")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("byte").alias("total"), F.min("off").alias("first_off"), F.max("off").alias("last_off"))
 
 
 @query("e14_dump_facts", f"with {ASM} select sample_id, max(off) + 1 as size, count(*) filter (t <> '??') as n_valid, round(count(*) filter (t <> '??') / (max(off) + 1)::double, 9) as valid_fraction from cv group by 1")
