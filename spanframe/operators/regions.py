@@ -303,62 +303,55 @@ def parse_layouts(df: DataFrame, content: str = "content") -> DataFrame:
 
     Fields are little-endian slices of the content column. df: sample_id, content.
     """
-    n = F.length(content)
-
     def le(at: Column, width: int) -> Column:
-        piece = F.col(content).substr((at + 1).cast("int"), F.lit(width))
-        return F.conv(_swap(F.hex(piece), width), 16, 10).cast("decimal(20,0)")
+        return F.conv(_swap(F.hex(F.col(content).substr((at + 1).cast("int"), F.lit(width))), width), 16, 10).cast("decimal(20,0)")
 
     i = lambda at, w: le(at, w).cast("bigint")
-    step = df.select("sample_id", content, n.alias("file_size"), F.hex(F.col(content).substr(1, 2)).alias("_mz"))
-    step = step.withColumn("_lf", F.when((F.col("file_size") >= 0x40) & (F.col("_mz") == "4D5A"), i(F.lit(0x3C), 4)))
-    lf, size = F.col("_lf"), F.col("file_size")
-    inside = lf + 24 <= size
-    step = step.withColumn("_sig", F.when(inside, F.hex(F.col(content).substr((lf + 1).cast("int"), F.lit(4)))))
+    size, lf, opt, end, dirs = (F.col(c) for c in ("file_size", "_lf", "_opt", "_end", "_dirs"))
+    # Each stage sits behind a generator, so a later field reads the earlier value, not its expression.
+    step = _once(df.select("sample_id", content), file_size=F.length(content).cast("bigint"), _mz=F.hex(F.col(content).substr(1, 2)))
+    step = _once(step, _lf=F.when((size >= 0x40) & (F.col("_mz") == "4D5A"), i(F.lit(0x3C), 4)))
+    step = _once(step, _opt=lf + 24, _sig=F.when(lf + 24 <= size, F.hex(F.col(content).substr((lf + 1).cast("int"), F.lit(4)))))
     good = F.col("_sig") == "50450000"
-    step = step.withColumn("n_sections", F.when(good, i(lf + 6, 2))).withColumn("_opt_size", F.when(good, i(lf + 20, 2)))
-    opt = lf + 24
-    end = opt + F.col("_opt_size")
-    step = step.withColumn("_magic", F.when(good & (F.col("_opt_size") >= 2) & (end <= size), i(opt, 2)))
-    plus = F.col("_magic") == PE32_PLUS
-    known = F.col("_magic").isin(PE32, PE32_PLUS)
-    dirs = opt + F.when(plus, 112).otherwise(96)
-    fits = known & (dirs <= end)
-    step = step.withColumn("_ndirs", F.when(fits, i(dirs - 4, 4)))
-    step = step.withColumn("image_base", F.when(fits, F.when(plus, le(opt + 24, 8)).otherwise(le(opt + 28, 4))))
-    for name, at in (("section_alignment", 32), ("file_alignment", 36), ("header_len", 60)):
-        step = step.withColumn(name, F.when(fits, i(opt + at, 4)))
-    table_ok = end + F.col("n_sections") * 40 <= size
+    step = _once(step, n_sections=F.when(good, i(lf + 6, 2)), _opt_size=F.when(good, i(lf + 20, 2)))
+    step = _once(step, _end=opt + F.col("_opt_size"))
+    step = _once(step, _magic=F.when(good & (F.col("_opt_size") >= 2) & (end <= size), i(opt, 2)))
+    plus, known = F.col("_magic") == PE32_PLUS, F.col("_magic").isin(PE32, PE32_PLUS)
+    step = _once(step, _dirs=F.when(known, opt + F.when(plus, 112).otherwise(96)))
+    fits = dirs <= end
+    step = _once(
+        step, _ndirs=F.when(fits, i(dirs - 4, 4)), image_base=F.when(fits, F.when(plus, le(opt + 24, 8)).otherwise(le(opt + 28, 4))),
+        section_alignment=F.when(fits, i(opt + 32, 4)), file_alignment=F.when(fits, i(opt + 36, 4)), header_len=F.when(fits, i(opt + 60, 4)),
+    )
     reason = (
-        F.when(size < 0x40, "file too small").when(F.col("_mz") != "4D5A", "missing first signature").when(~inside, "header past end of file")
+        F.when(size < 0x40, "file too small").when(F.col("_mz") != "4D5A", "missing first signature").when(lf + 24 > size, "header past end of file")
         .when(~good, "missing second signature").when(F.col("n_sections") > MAX_REGIONS, "too many sections")
         .when((F.col("_opt_size") < 2) | (end > size), "optional header truncated").when(~known, "unknown magic")
         .when(dirs > end, "optional header too small").when(dirs + F.col("_ndirs") * 8 > end, "data directories exceed header")
-        .when(~table_ok, "section table truncated")
+        .when(end + F.col("n_sections") * 40 > size, "section table truncated")
     )
-    step = step.withColumn("error", reason)
+    step = _once(step, error=reason)
     ok = F.col("error").isNull()
-    cert_lo, cert_n = F.when(ok & (F.col("_ndirs") > 4), i(dirs + 32, 4)), F.when(ok & (F.col("_ndirs") > 4), i(dirs + 36, 4))
-    has_cert = (cert_lo > 0) & (cert_n > 0)
-    step = step.withColumn("cert_lo", F.when(has_cert, cert_lo)).withColumn("cert_hi", F.when(has_cert, cert_lo + cert_n))
+    step = _once(step, _clo=F.when(ok & (F.col("_ndirs") > 4), i(dirs + 32, 4)), _cn=F.when(ok & (F.col("_ndirs") > 4), i(dirs + 36, 4)))
+    has_cert = (F.col("_clo") > 0) & (F.col("_cn") > 0)
 
-    def section(k: Column) -> Column:
+    def fields(k: Column) -> Column:
         at = end + k * 40
         name = F.regexp_replace(F.decode(F.col(content).substr((at + 1).cast("int"), F.lit(8)), "ISO-8859-1"), "\\x00.*$", "")
         vsize, rva, rsize, rlo = (i(at + o, 4) for o in (8, 12, 16, 20))
-        mapped = F.when((rsize > 0) & (rlo > 0), F.least(rsize, vsize)).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(k.cast("bigint").alias("idx"), rlo.alias("raw_lo"), rsize.alias("raw_size"), rva.alias("rva"), vsize.alias("vsize"), mapped.alias("mapped"), name.alias("name"))
+        return F.struct(k.alias("idx"), rlo.alias("raw_lo"), rsize.alias("raw_size"), rva.alias("rva"), vsize.alias("vsize"), name.alias("name"))
 
     indexes = F.when(ok & (F.col("n_sections") > 0), F.sequence(F.lit(0).cast("bigint"), F.col("n_sections") - 1)).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn("regions", F.transform(indexes, section))
+    step = _once(step, _raw=F.transform(indexes, fields))
+    mapped = lambda r: F.when(_has_raw(r), F.least(r["raw_size"], r["vsize"])).otherwise(F.lit(0).cast("bigint"))
+    step = _once(step, regions=F.transform("_raw", lambda r: F.struct(
+        r["idx"].alias("idx"), r["raw_lo"].alias("raw_lo"), r["raw_size"].alias("raw_size"), r["rva"].alias("rva"), r["vsize"].alias("vsize"), mapped(r).alias("mapped"), r["name"].alias("name"))))
     raw_end = F.aggregate(
-        "regions", F.col("header_len"),
-        lambda m, r: F.when(_has_raw(r), F.greatest(m, F.least(r["raw_lo"] + r["raw_size"], F.col("file_size").cast("bigint")))).otherwise(m),
+        "regions", F.col("header_len"), lambda m, r: F.when(_has_raw(r), F.greatest(m, F.least(r["raw_lo"] + r["raw_size"], F.col("file_size")))).otherwise(m),
     )
-    step = step.withColumn("overlay_offset", F.when(ok, F.least(raw_end, size.cast("bigint")))).withColumn("is_plus", F.when(ok, plus))
     return step.select(
-        "sample_id", F.col("file_size").cast("bigint").alias("file_size"), "is_plus", "image_base", "section_alignment", "file_alignment", "header_len",
-        "n_sections", "regions", "overlay_offset", "cert_lo", "cert_hi", "error",
+        "sample_id", "file_size", F.when(ok, plus).alias("is_plus"), "image_base", "section_alignment", "file_alignment", "header_len", "n_sections", "regions",
+        F.when(ok, F.least(raw_end, size)).alias("overlay_offset"), F.when(has_cert, F.col("_clo")).alias("cert_lo"), F.when(has_cert, F.col("_clo") + F.col("_cn")).alias("cert_hi"), "error",
     )
 
 

@@ -268,7 +268,7 @@ def _headers(spark, sf):
                    le(F.coalesce("cert_lo", F.lit(0)), 4), le(F.coalesce(F.col("cert_hi") - F.col("cert_lo"), F.lit(0)), 4))
     magic = F.when(F.col("sample_id") % 11 == 5, "4D5B").otherwise("4D5A")
     text = F.concat(magic, zero(58), le(k, 4), F.lit("50450000"), zero(2), le(n, 2), zero(12), le(F.lit(136), 2), zero(2), opt, F.concat_ws("", sec), zero(600))
-    return lay.select("sample_id", F.unhex(text).alias("content"))
+    return regions._once(lay, content=F.unhex(text)).select("sample_id", "content")
 
 
 HEAD = "rg as (select sample_id, row_number() over (partition by sample_id order by idx) - 1 as k, idx, src_lo, src_hi - src_lo as rs, dst_lo, dst_hi - dst_lo as vs from v_region)"
