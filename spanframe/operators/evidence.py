@@ -56,11 +56,25 @@ def observed_deletion_curve(steps: DataFrame, baselines: DataFrame) -> DataFrame
     """
     ends = steps.select("sample_id", F.explode(F.array("lo", "hi")).alias("pos")).distinct()
     w = Window.partitionBy("sample_id").orderBy("pos")
-    pieces = ends.withColumn("_next", F.lead("pos").over(w)).filter("_next is not null")
-    # Ranges and pieces of one content row; a range covers consecutive pieces.
-    owner = steps.alias("s").join(
-        pieces.alias("p"), (F.col("s.sample_id") == F.col("p.sample_id")) & (F.col("p.pos") >= F.col("s.lo")) & (F.col("p._next") <= F.col("s.hi"))
-    ).groupBy("s.sample_id", "p.pos").agg(F.min("s.step").alias("step"), F.max(F.col("p._next") - F.col("p.pos")).alias("_len"))
+    marks = ends.withColumn("_i", F.row_number().over(w) - 1).withColumn("_len", F.lead("pos").over(w) - F.col("pos"))
+    pieces = marks.withColumn("_top", F.floor(F.log2((F.count(F.lit(1)).over(Window.partitionBy("sample_id"))).cast("double"))).cast("int"))
+    # A range of pieces is the union of at most two aligned power-of-two blocks per level, so
+    # ranges meet pieces through equi joins on blocks instead of a range join.
+    at = lambda c, n: marks.select("sample_id", F.col("pos").alias(c), F.col("_i").alias(n))
+    spans = steps.select("sample_id", "step", "lo", "hi").join(at("lo", "_a"), ["sample_id", "lo"]).join(at("hi", "_b"), ["sample_id", "hi"])
+
+    def blocks(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        lo, hi = F.ceil(F.col("_a") / size), F.floor(F.col("_b") / size)
+        first = F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("level"), lo.alias("node")))
+        last = F.when((lo + lo % 2 < hi) & (hi % 2 == 1), F.struct(level.alias("level"), (hi - 1).alias("node")))
+        return F.array_compact(F.array(first, last))
+
+    nodes = spans.select("sample_id", "step", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), blocks))).alias("n"))
+    cover = nodes.groupBy("sample_id", F.col("n.level").alias("level"), F.col("n.node").alias("node")).agg(F.min("step").alias("step"))
+    seen = pieces.filter("_len is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    seen = seen.withColumn("node", F.floor(F.col("_i") / F.pow(F.lit(2.0), F.col("level"))))
+    owner = seen.join(cover, ["sample_id", "level", "node"]).groupBy("sample_id", "pos").agg(F.min("step").alias("step"), F.max("_len").alias("_len"))
     fresh = owner.groupBy("sample_id", "step").agg(F.sum("_len").alias("_new"))
     run = Window.partitionBy("sample_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     body = steps.join(fresh, ["sample_id", "step"], "left").join(baselines.select("sample_id", "n", F.col("nll").alias("baseline_nll")), "sample_id")
