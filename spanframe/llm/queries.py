@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("exact_dedup",)
+MODULES = ("exact_dedup", "simhash")
 
 
 def _load() -> None:
