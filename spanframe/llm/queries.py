@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("exact_dedup", "simhash")
+MODULES = ("exact_dedup", "simhash", "packing")
 
 
 def _load() -> None:
