@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("exact_dedup", "simhash", "packing")
+MODULES = ("exact_dedup", "simhash", "packing", "chat")
 
 
 def _load() -> None:
