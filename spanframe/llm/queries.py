@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("exact_dedup", "simhash", "packing", "chat")
+MODULES = ("exact_dedup", "simhash", "html_text", "packing", "chat")
 
 
 def _load() -> None:
