@@ -86,11 +86,12 @@ def stream_dedup(
     state = keyed_state(spark, path, id_col, text_col, digest, files_per_batch, folder)
     rows = prepared(source, id_col, text_col, digest)
     hits = state.filter("n > 1").select("key")
-    seen = may_match(rows.select("key", "norm"), "key", hits, "key").join(hits, "key", "left_semi")
+    # inner joins with unique keys: a semi join would be moved below the prefilter
+    seen = may_match(rows.select("key", "norm"), "key", hits, "key").join(hits, "key")
     clash = seen.groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).filter("low <> high").select("key")
     clash = durable(clash)  # no rows unless two texts share a digest
     same = rows.select("id", "at", "key", sha256_text(F.col("norm")).alias("sha")).join(clash, "key", "left_anti").join(state, "key")
-    odd = may_match(rows, "key", clash, "key").join(clash, "key", "left_semi")
+    odd = may_match(rows, "key", clash, "key").join(clash, "key")
     w = Window.partitionBy("norm")
     odd = odd.select(
         "id", "at", "key", sha256_text(F.col("norm")).alias("sha"),
