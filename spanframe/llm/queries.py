@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("exact_dedup", "simhash", "html_text", "packing", "chat")
+MODULES = ("piece_codec", "exact_dedup", "html_text", "simhash", "packing", "chat")
 
 
 def _load() -> None:
