@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("piece_codec", "exact_dedup", "html_text", "simhash", "packing", "quality", "chat")
+MODULES = ("piece_codec", "exact_dedup", "html_text", "simhash", "multi_index", "packing", "quality", "chat")
 
 
 def _load() -> None:
