@@ -19,7 +19,11 @@ from spanframe.llm.common import lower_ascii, may_match
 from spanframe.llm.registry import query
 from spanframe.session import durable, scratch_path
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without files sized in advance: there is a store for every shuffle partition.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_text(text: Column) -> Column:
@@ -49,19 +53,21 @@ def keyed_state(spark: SparkSession, path: str, id_col: str, text_col: str, dige
         # replayed batches overwrite their own folder
         changed.write.mode("overwrite").parquet(f"{folder}/state/batch_id={batch_id}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
         run = (
             stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream")
             .trigger(availableNow=True).start()
         )
         run.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     updates = spark.read.schema("key string, best struct<id: bigint, at: struct<file: string, row: bigint>>, n bigint, batch_id bigint").parquet(f"{folder}/state")
     return updates.groupBy("key").agg(F.max_by(F.struct("best", "n"), "batch_id").alias("s")).select("key", "s.best", "s.n")
 
