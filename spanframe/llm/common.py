@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,33 +15,28 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def batch(columns: dict[str, tuple], ) -> pa.RecordBatch:
-    """A record batch from name -> (values, arrow type)."""
-    return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
-
-
 def slot(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS)
 
 
-def may_match(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """The rows whose key hashes to a slot that some wanted key sets.
+def slot_marks(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Adds ``_marked``: does the key hash to a slot that some wanted key sets?
 
-    A prefilter in front of an exact join, so that only likely rows are shuffled: never
-    loses a match, may pass others. What is broadcast is a bitmap of 2^22 bits, at most
-    65,536 rows, whatever the size of the tables.
+    Never false for a wanted key; may be true for others. What is broadcast is a bitmap of
+    2^22 bits, at most 65,536 rows, whatever the size of the tables.
     """
     bits = wanted.select(slot(F.col(wanted_key)).alias("_s")).groupBy((F.shiftright("_s", 6)).alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits")
     )
-    marked = rows.withColumn("_s", slot(F.col(key))).withColumn("_word", F.shiftright("_s", 6))
-    return marked.join(F.broadcast(bits), "_word").filter(
-        F.expr("(shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1L) = 1L")
-    ).drop("_word", "_s", "_bits")
+    near = rows.withColumn("_s", slot(F.col(key))).withColumn("_word", F.shiftright("_s", 6)).join(F.broadcast(bits), "_word", "left")
+    on = F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return near.withColumn("_marked", on).drop("_word", "_s", "_bits")
+
+
+def may_match(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows that ``slot_marks`` marks: a prefilter in front of an exact join, so that only
+    likely rows are shuffled."""
+    return slot_marks(rows, key, wanted, wanted_key).filter("_marked").drop("_marked")
 
 
 def partitions(spark: SparkSession) -> int:
