@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from spanframe.llm.html_text import STOP_WORDS
 from spanframe.llm.registry import query, table
-from spanframe.session import durable
 
 #: At most so many labelled rows are used to fit, those of the smallest keyed hash.
 SAMPLE_ROWS = 12_000
@@ -66,17 +66,11 @@ def statistics_of(text: str) -> list[float]:
     ]
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, statistics...) of every row; null counts as empty."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            rows = np.array([statistics_of(t.as_py() or "") for t in b.column(1)], np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(rows[:, i]) for i in range(len(STATISTICS))]], names=["id", *STATISTICS])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+@F.arrow_udf(ArrayType(DoubleType()))
+def text_statistics(text: pa.Array) -> pa.Array:
+    """The statistics of each text; null counts as empty."""
+    rows = np.array([statistics_of(t.as_py() or "") for t in text], np.float64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * len(STATISTICS), pa.int32()), pa.array(rows))
 
 
 def held_out(id_: Column) -> Column:
@@ -174,13 +168,13 @@ class RuleModel:
     def __init__(self, intercept: float, rules: list[Rule], weights: list[float]):
         self.intercept, self.rules, self.weights = intercept, rules, weights
 
-    def column(self) -> Column:
-        """The score as a column expression over the statistics."""
+    def column(self, statistics: Column) -> Column:
+        """The score as a column expression over an array of the statistics."""
         total = F.lit(self.intercept)
         for rule, weight in zip(self.rules, self.weights):
             on = F.lit(True)
             for j, above, at in rule:
-                c = F.col(STATISTICS[j])
+                c = F.get(statistics, F.lit(j))
                 on = on & ((c > at) if above else (c <= at))
             total = total + F.when(on, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -208,12 +202,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.001) -> RuleModel
     return RuleModel(intercept, [r for r, _ in kept], [w for _, w in kept])
 
 
-def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, penalty: float = 0.001) -> RuleModel:
-    """Fit on labelled rows that are not held out; at most ``sample_rows``, by keyed hash."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label).alias("y"))
-    sample = stats.join(known, "id").orderBy(F.xxhash64("id", F.lit("quality sample")), "y", *STATISTICS).limit(sample_rows)
-    rows = sample.select("y", *STATISTICS).toPandas().to_numpy(np.float64).reshape(-1, len(STATISTICS) + 1)
-    return fit_rules(rows[:, 1:], rows[:, 0], penalty)
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, penalty: float = 0.001) -> RuleModel:
+    """Fit on at most ``sample_rows`` labelled rows that are not held out, by keyed hash."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col(label).cast("double").alias("_y"))
+    picked = known.orderBy(F.xxhash64("_id", F.lit("quality sample")), "_id", "_y").limit(sample_rows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).join(F.broadcast(picked), "_id")  # at most sample_rows
+    # ids that repeat in either table must not lift the bound
+    sample = rows.select("_y", text_statistics("_t").alias("_s"), F.xxhash64("_id", "_t").alias("_h")).orderBy("_h", "_y").limit(sample_rows).select("_y", "_s").collect()
+    x = np.array([r["_s"] for r in sample], np.float64).reshape(-1, len(STATISTICS))
+    return fit_rules(x, np.array([r["_y"] for r in sample], np.float64), penalty)
+
+
+def with_scores(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with _score and _predicted; no shuffle, all columns stay."""
+    scored = docs.withColumn("_statistics", text_statistics(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_score", model.column(F.col("_statistics")))
+    return scored.drop("_statistics").withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -221,13 +225,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Null and empty texts are scored like others, by statistics that are all zero. A null
     id is never held out and never learnt from; labels other than 0 and 1 are passed
-    over; repeated rows are scored each. An empty table gives no rows; other columns are
-    not read.
+    over; repeated rows are scored each; without labels the score is 0.5. An empty table
+    gives no rows; other columns are not read.
     """
-    stats = durable(text_statistics(docs, id_col, text_col))
-    score = learn(stats, labels, label, "doc_id", sample_rows).column()
-    out = stats.select("id", score.alias("score"))
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = with_scores(rows, learn(rows, labels, "id", "text", label, sample_rows), "text", threshold)
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
 @query("op9_quality_classifier")

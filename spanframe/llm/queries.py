@@ -12,6 +12,10 @@ MODULES = ("piece_codec", "licenses", "exact_dedup", "html_text", "simhash", "mu
 def _load() -> None:
     for name in MODULES:
         importlib.import_module(f"spanframe.llm.{name}")
+    pipeline = importlib.import_module("corpus_pipeline")  # stands at the top of the repository
+    registry.QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL is not None:
+        registry.ORACLES["pipeline"] = pipeline.ORACLE_SQL
 
 
 def queries() -> dict:
