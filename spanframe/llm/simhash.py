@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import slot_marks
+from spanframe.llm.common import partitions, slot_marks
 from spanframe.llm.registry import query, table
 from spanframe.operators.components import connected_components
 from spanframe.session import durable
@@ -132,7 +132,8 @@ def fingerprint_links(prints: DataFrame, radius: int = 4, dense: int = 4096) ->
     through midpoints (for a radius of four or less)."""
     if not 0 < radius <= 4:
         raise ValueError("radius must be 1 to 4")
-    nodes = prints.select("fp").distinct()
+    # an explicit number: each fingerprint makes 35 rows, too many for coalesced partitions
+    nodes = prints.select("fp").repartition(partitions(prints.sparkSession), "fp").distinct()
     rows = nodes.select("fp", *pivot_table(F.col("fp")), F.explode(F.array(*block_keys(F.col("fp"), radius))).alias("key"))
     met = durable(rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
     few = met.filter(F.col("n") <= dense)
