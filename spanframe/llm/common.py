@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanframe.session import scratch_path
+
 SLOT_BITS = 22
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -15,6 +17,13 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read again: cuts lineage like a checkpoint, compressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def slot(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS)
 

@@ -152,7 +152,9 @@ def brute_lines(rows):
     return out
 
 
-def test_line_dedup(docs, none, spark):
+@pytest.mark.parametrize("crowd", [64, 2, 1])
+def test_line_dedup(docs, none, spark, crowd):
+    """Small crowds send most lines through the second join."""
     import random
 
     random.seed(5)
@@ -168,7 +170,7 @@ def test_line_dedup(docs, none, spark):
             lines.append(" ".join(random.sample(line, len(line))))
         rows.append((100 + i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("uid", F.lit("clash")).withColumn("n_lines", F.lit("clash"))
-    got = line_dedup.without_similar_lines(df.coalesce(1))
+    got = line_dedup.without_similar_lines(df.coalesce(1), crowd=crowd)
     assert Counter((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute_lines(rows)
     assert line_dedup.without_similar_lines(none).count() == 0
     assert line_dedup.without_similar_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
