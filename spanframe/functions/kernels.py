@@ -81,36 +81,6 @@ def histogram_batches(size: int | None):
     return run
 
 
-def byte_row_batches(width: int):
-    """(sample_id, bytes) -> per fixed-width row: mean, entropy and distinct share.
-
-    The last row is filled with zero bytes, which count like any other byte.
-    """
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for sid, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(content or b"", dtype=np.uint8)
-                height = max(1, -(-data.size // width))
-                grid = np.zeros(height * width, dtype=np.uint8)
-                grid[: data.size] = data
-                grid = grid.reshape(height, width)
-                offset = np.arange(height, dtype=np.int64)[:, None] * 256
-                counts = np.bincount((grid + offset).ravel(), minlength=height * 256).reshape(height, 256)
-                out[0].append(np.full(height, sid, dtype=np.int64))
-                out[1].append(np.arange(height, dtype=np.int64))
-                out[2].append(grid.mean(axis=1) / 255.0)
-                out[3].append(entropy_rows(counts) / 8.0)
-                out[4].append((counts > 0).sum(axis=1) / 256.0)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out], names=["sample_id", "row", "mean", "entropy", "distinct"]
-                )
-
-    return run
-
-
 def bigram_batches(buckets: int, block: int | None = None):
     """(sample_id, bytes) -> sparse counts (sample_id, block, kind, bucket, cnt).
 
@@ -168,29 +138,38 @@ def regex_span_batches(rules: dict[str, str]):
     return run
 
 
-def inflate_batches(max_bytes: int):
-    """(sample_id, bytes) -> (sample_id, content, exclusion_reason); zlib in memory only."""
+def inflate_batches(chunk: int):
+    """(sample_id, bytes) -> (sample_id, chunk, content, exclusion_reason); zlib in memory only.
 
-    def run(batches):
+    Content leaves in pieces of at most ``chunk`` bytes, so its size is not bounded by a
+    column value; a stream that breaks off gives one row with the reason and no piece.
+    """
+
+    def pieces(raw):
         import zlib
 
+        engine, out, rest = zlib.decompressobj(), [], raw or b""
+        try:
+            while True:
+                part = engine.decompress(rest, chunk)
+                if part:
+                    out.append(part)
+                if engine.eof:
+                    return out or [b""], None
+                rest = engine.unconsumed_tail
+                if not part and not rest:
+                    return [None], "decompress_error:truncated"
+        except zlib.error as exc:
+            return [None], f"decompress_error:{type(exc).__name__}"
+
+    def run(batches):
         for batch in batches:
-            ids, contents, reasons = [], [], []
-            for sid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                content, reason = None, None
-                try:
-                    engine = zlib.decompressobj()
-                    content = engine.decompress(raw or b"", max_bytes)
-                    if engine.unconsumed_tail or not engine.eof:
-                        content, reason = None, "decompress_error:truncated_or_oversized"
-                except zlib.error as exc:
-                    reason = f"decompress_error:{type(exc).__name__}"
-                ids.append(sid)
-                contents.append(content)
-                reasons.append(reason)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(contents, pa.binary()), pa.array(reasons, pa.string())],
-                names=["sample_id", "content", "exclusion_reason"],
-            )
+            for sid, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found, reason = pieces(raw.as_py())
+                for k, part in enumerate(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([sid], pa.string()), pa.array([k], pa.int32()), pa.array([part], pa.binary()), pa.array([reason], pa.string())],
+                        names=["sample_id", "chunk", "content", "exclusion_reason"],
+                    )
 
     return run

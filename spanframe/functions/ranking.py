@@ -114,7 +114,7 @@ def attach_group(df: DataFrame, facts: DataFrame, keys: list[str], size_col: str
     return rows.join(copies, keys + ["_salt"]).drop("_salt")
 
 
-def order_values(df: DataFrame, by: list[str], x: str, positions, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def order_values(df: DataFrame, by: list[str], x: str, positions) -> DataFrame:
     """Rows ``(by, tag, value)`` holding the order statistics of ``x``.
 
     ``positions`` maps a tag to a function of the group size column giving a
@@ -123,16 +123,13 @@ def order_values(df: DataFrame, by: list[str], x: str, positions, hot_rows: int
     base = df.select(*by, F.col(x).alias("_x")).filter(F.col("_x").isNotNull())
     # Equal values share one row, so repeated values never inflate the ranked table.
     hist = base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    hist = durable(hist)
     total = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
     tags = F.array(*[
         F.struct(F.lit(tag).alias("tag"), fn(F.col("_n")).cast("bigint").alias("_i")) for tag, fn in positions.items()
     ])
     wanted = total.select(*by, "_n", F.explode(tags).alias("_t")).select(*by, "_n", "_t.tag", "_t._i")
-    if has_hot_group(hist, by, hot_rows):
-        cum = _running_count_sorted(hist, by)
-    else:
-        w = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("_hi", F.sum("_c").over(w))
+    cum = running_sums(hist, by, [F.col("_x")], {"_c": "_hi"})
     cum = cum.withColumn("_lo", F.col("_hi") - F.col("_c"))
     if by:
         j = cum.join(wanted, by)
@@ -143,22 +140,20 @@ def order_values(df: DataFrame, by: list[str], x: str, positions, hot_rows: int
     )
 
 
-def _running_count_sorted(hist: DataFrame, by: list[str]) -> DataFrame:
-    ranked = durable(
-        hist.sort(*by, "_x").withColumn("_mid", F.monotonically_increasing_id()).withColumn(
-            "_part", F.shiftright("_mid", 33)
-        )
-    )
-    cells = ranked.groupBy(*by, "_part").agg(F.sum("_c").alias("_pc"))
+def running_sums(df: DataFrame, by: list[str], order: list, sums: dict[str, str]) -> DataFrame:
+    """Adds the running sum of each column of ``sums`` within ``by`` under a total order.
+
+    One sort over the cluster, written once; every partition sums its own rows and adds
+    what the partitions before it hold, so a group may span any number of tasks.
+    """
+    ranked = durable(df.sort(*by, *order).withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33)))
+    cells = ranked.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_b{i}") for i, c in enumerate(sums)])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*by, "_part", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_before"))
+    cells = cells.select(*by, "_part", *[F.coalesce(F.sum(f"_b{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
     inside = Window.partitionBy(*by, "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ranked.withColumn("_run", F.sum("_c").over(inside))
-        .join(cells, by + ["_part"])
-        .withColumn("_hi", F.col("_run") + F.col("_before"))
-        .drop("_run", "_before", "_part", "_mid")
-    )
+    local = ranked.select("*", *[F.sum(c).over(inside).alias(f"_l{i}") for i, c in enumerate(sums)])
+    j = local.join(cells, [*by, "_part"])
+    return j.select(*df.columns, *[(F.col(f"_l{i}") + F.col(f"_b{i}")).alias(name) for i, name in enumerate(sums.values())])
 
 
 def linear_quantiles(df: DataFrame, by: list[str], x: str, probs: dict[str, float]) -> DataFrame:

@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.session import spread_rows
 
 GRID = 256
 
@@ -136,7 +135,7 @@ def match_detections(pred: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
     judged = pairs.withColumn("_alone", alone)
     easy = judged.filter("_alone").select("image_id", "pred_id", "truth_id", "iou", F.when(F.col("same"), "true_positive").otherwise("class_mismatch").alias("status"))
     cell = F.struct("pred_id", "truth_id", "score", "iou", "same")
-    contested = spread_rows(judged.filter("not _alone"), "image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("pairs"))
+    contested = judged.filter("not _alone").groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("pairs"))
 
     def greedy(pairs: list) -> list[dict]:
         used_p, used_t, out = set(), set(), []
@@ -206,7 +205,7 @@ def merge_boxes(det: DataFrame, threshold: float = 0.5, metric: str = "ios", cla
         return pd.DataFrame(out, columns=[*cols, "n_merged"])
 
     schema = "image_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, n_merged bigint"
-    merged = spread_rows(busy, "image_id").groupBy("image_id").applyInPandas(absorb, schema)
+    merged = busy.groupBy("image_id").applyInPandas(absorb, schema)
     alone = det.join(partners.select("image_id", "box_id"), ["image_id", "box_id"], "left_anti").select(*cols, F.lit(1).cast("bigint").alias("n_merged"))
     return merged.unionByName(alone)
 
@@ -220,7 +219,7 @@ def select_guarded(tiles: DataFrame, budget: float, coverage_ratio: float = 0.2)
     cx = (F.col("x1") + F.col("x2")) / 2 / F.col("width")
     cy = (F.col("y1") + F.col("y2")) / 2 / F.col("height")
     cell = F.struct("tile", F.col("score").cast("double").alias("score"), F.col("guarded").alias("guarded"), cx.alias("cx"), cy.alias("cy"))
-    rows = spread_rows(tiles, "image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    rows = tiles.groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
     def choose(cells: list) -> list[int]:
         n = len(cells)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions.hashing import hash_hex
-from spanframe.session import spread_rows
 
 BUDGETS = (0.02, 0.05, 0.10, 0.20, 0.50)
 TILE_UNITS = 49_152
@@ -105,7 +104,7 @@ def evidence_tiles(tiles: DataFrame, intervals: DataFrame, size: int) -> DataFra
     parts = tile_pieces(cut, ["sample_id"], size).select(
         "sample_id", "tile", F.struct("interval_id", "length", "n_bytes", (F.floor(F.col("interval_id") / size) == F.col("tile")).alias("first")).alias("part")
     )
-    both = spread_rows(tiles.unionByName(parts, allowMissingColumns=True), "sample_id")
+    both = tiles.unionByName(parts, allowMissingColumns=True)
     one = both.groupBy("sample_id", "tile").agg(
         F.max("tile_len").alias("tile_len"), F.max("entropy").alias("entropy"), F.collect_list("part").alias("parts")
     )

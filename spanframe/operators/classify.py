@@ -115,18 +115,20 @@ def flatten_metrics(df: DataFrame, key: list[str], metrics: str) -> DataFrame:
     return one.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
 
 
-def ranking_curves(df: DataFrame, by: list[str], score: str, positive: str, digits: int = 6, fprs: Sequence[float] = (0.001, 0.01)) -> DataFrame:
-    """Average precision, ROC AUC and TPR at fixed FPR per group.
+def ranking_curves(df: DataFrame, by: list[str], score: str, positive: str, fprs: Sequence[float] = (0.001, 0.01)) -> DataFrame:
+    """Average precision, ROC AUC and TPR at fixed FPR per group, on exact scores.
 
-    Scores are counted on a grid of ``digits`` decimals, so a probability score gives at
-    most a million rows per group however many samples there are.
+    Equal scores are counted together; the running counts come from one sort over the
+    cluster, so a group may be of any size.
     """
-    hist = df.groupBy(*by, F.round(score, digits).alias("_s")).agg(
+    from spanframe.functions.ranking import running_sums
+
+    hist = df.groupBy(*by, F.col(score).alias("_s")).agg(
         F.sum(F.col(positive).cast("bigint")).alias("_pos"), F.sum((~F.col(positive)).cast("bigint")).alias("_neg")
     )
-    w = Window.partitionBy(*by)
-    run = w.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = hist.withColumn("_tp", F.sum("_pos").over(run)).withColumn("_fp", F.sum("_neg").over(run)).withColumn("_all_pos", F.sum("_pos").over(w)).withColumn("_all_neg", F.sum("_neg").over(w))
+    c = running_sums(hist, by, [F.col("_s").desc()], {"_pos": "_tp", "_neg": "_fp"})
+    totals = df.groupBy(*by).agg(F.sum(F.col(positive).cast("bigint")).alias("_all_pos"), F.sum((~F.col(positive)).cast("bigint")).alias("_all_neg"))
+    c = c.join(totals, by)
     tpr, fpr = F.col("_tp") / F.col("_all_pos"), F.col("_fp") / F.col("_all_neg")
     ap = F.col("_pos") / F.col("_all_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     roc = F.col("_neg") / F.col("_all_neg") * (F.col("_tp") - F.col("_pos") / 2) / F.col("_all_pos")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,32 +105,23 @@ def stratified_round_robin(df: DataFrame, target: int, seed: str, tags: Sequence
     short = top_in_group(long, ["split", "s"], [F.col("h"), F.col("sample_id")], target)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        queues = {s: g.sort_values(["h", "sample_id"])["sample_id"].tolist() for s, g in pdf.groupby("s")}
-        at = dict.fromkeys(queues, 0)
-        used: set = set()
-        out = []
-
-        def take(s: str) -> bool:
-            q = queues.get(s, [])
-            while at.get(s, 0) < len(q):
-                sid = q[at[s]]
-                at[s] += 1
-                if sid not in used:
-                    used.add(sid)
-                    out.append((sid, s))
-                    return True
-            return False
-
-        moved = True
-        while moved and len(out) < target:
-            moved = False
-            for s in strata:
-                if len(out) >= target:
-                    break
-                moved = take(s) or moved
-        while len(out) < target and take("any"):
-            pass
-        return pd.DataFrame({"split": pdf["split"].iloc[0], "sample_id": [o[0] for o in out], "slot": range(len(out)), "via": [o[1] for o in out]})
+        waiting = {s: iter(g.sort_values(["h", "sample_id"])["sample_id"].tolist()) for s, g in pdf.groupby("s")}
+        used: dict = {}
+
+        def head(s: str):
+            return next((x for x in waiting.get(s, ()) if x not in used), None)
+
+        # a stratum's next turn is (round, place); the smallest turn picks, an empty stratum leaves
+        turns = [(0, k) for k in range(len(strata))]
+        while turns and len(used) < target:
+            lap, k = heappop(turns)
+            sid = head(strata[k])
+            if sid is not None:
+                used[sid] = strata[k]
+                heappush(turns, (lap + 1, k))
+        while len(used) < target and (sid := head("any")) is not None:
+            used[sid] = "any"
+        return pd.DataFrame({"split": pdf["split"].iloc[0], "sample_id": list(used), "slot": range(len(used)), "via": list(used.values())})
 
     id_type = df.schema["sample_id"].dataType.simpleString()
     return short.groupBy("split").applyInPandas(greedy, f"split string, sample_id {id_type}, slot bigint, via string")

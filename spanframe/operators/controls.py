@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +31,25 @@ def matched_controls(iv: DataFrame, samples: DataFrame, seed: str | int, attempt
     )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[int, int]] = []
-        rows = []
+        # placed windows by start; they are disjoint, so only the two neighbours can collide
+        lows: list[int] = []
+        highs: list[int] = []
+
+        def slot(start: int, length: int) -> int | None:
+            k = bisect_right(lows, start)
+            fits_left = k == 0 or highs[k - 1] <= start
+            fits_right = k == len(lows) or start + length <= lows[k]
+            return k if fits_left and fits_right else None
+
+        found = []
         for r in pdf.sort_values("lo").itertuples():
-            for s in r.starts:
-                if all(s + r.length <= a or s >= b for a, b in taken):
-                    taken.append((s, s + r.length))
-                    rows.append((r.sample_id, r.lo, int(s), int(s + r.length)))
-                    break
-        return pd.DataFrame(rows, columns=["sample_id", "for_lo", "lo", "hi"])
+            choice = next(((int(s), k) for s in r.starts if (k := slot(int(s), r.length)) is not None), None)
+            if choice:
+                start, k = choice
+                lows.insert(k, start)
+                highs.insert(k, start + r.length)
+                found.append((r.sample_id, r.lo, start, start + r.length))
+        return pd.DataFrame(found, columns=["sample_id", "for_lo", "lo", "hi"])
 
     placed = per.groupBy("sample_id").applyInPandas(place, "sample_id bigint, for_lo bigint, lo bigint, hi bigint")
     missing = iv.select("sample_id", F.col("lo").alias("for_lo"), "hi").join(placed.select("sample_id", "for_lo"), ["sample_id", "for_lo"], "left_anti")

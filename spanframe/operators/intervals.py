@@ -20,7 +20,13 @@ WIDTH = 1 << 20
 
 
 def _bucket(c: Column, width: int) -> Column:
-    return F.floor(c / F.lit(float(width))).cast("bigint")
+    """Floor of a whole-number division; doubles are inexact above 2^53."""
+    return _floor_div(c, width)
+
+
+def _floor_div(c: Column, width: int) -> Column:
+    c = c.cast("bigint")
+    return F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
 
 
 def cut_to_buckets(iv: DataFrame, keys: list[str], carry: list[str] = (), width: int = WIDTH) -> DataFrame:
@@ -196,7 +202,7 @@ def tile_rows(samples: DataFrame, size: int, n_col: str = "n_units", at_least_on
 
 def tile_pieces(iv: DataFrame, keys: list[str], size: int, name: str = "tile") -> DataFrame:
     """One row per (interval, tile touched) with the bytes they share."""
-    first, last = F.floor(F.col("lo") / F.lit(float(size))), F.floor((F.col("hi") - 1) / F.lit(float(size)))
+    first, last = _floor_div(F.col("lo"), size), _floor_div(F.col("hi") - 1, size)
     exploded = iv.filter(F.col("hi") > F.col("lo")).withColumn(name, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
     share = F.least(F.col("hi"), (F.col(name) + 1) * size) - F.greatest(F.col("lo"), F.col(name) * size)
     return exploded.withColumn("n_bytes", share)

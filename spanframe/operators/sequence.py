@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import kernels
-from spanframe.session import spread
 
 
 def _content(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return spread(df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("content")))
+    return df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("content"))
 
 
 def symbol_histogram(df: DataFrame, id_col: str, text_col: str, size: int | None = None) -> DataFrame:
@@ -64,8 +63,25 @@ def entropy_guide(df: DataFrame, id_col: str, text_col: str, size: int) -> DataF
 
 
 def row_statistics(df: DataFrame, id_col: str, bytes_col: str, width: int = 512) -> DataFrame:
-    return _content(df, id_col, bytes_col).mapInArrow(
-        kernels.byte_row_batches(width), "sample_id bigint, row bigint, mean double, entropy double, distinct double"
+    """Mean, entropy and distinct share of the bytes of each row of ``width`` bytes.
+
+    The last row is filled up with zero bytes, which are a count of code 0; a sample
+    without bytes has one row of zeros.
+    """
+    hist = symbol_histogram(df, id_col, bytes_col, width)
+    c, code = F.col("cnt"), F.col("code")
+    per = hist.groupBy("sample_id", F.col("tile").alias("row")).agg(
+        F.sum(code * c).alias("_total"), F.sum(c).alias("_n"), F.sum(F.when(code == 0, c).otherwise(0)).alias("_zeros"),
+        F.sum(F.when(code != 0, c * F.log2(c)).otherwise(0.0)).alias("_spread"), F.count(F.when(code != 0, F.lit(1))).alias("_codes"),
+    )
+    none = df.filter(F.coalesce(F.length(bytes_col), F.lit(0)) == 0).select(F.col(id_col).cast("bigint").alias("sample_id"))
+    long = lambda v: F.lit(v).cast("bigint")
+    per = per.unionByName(none.select("sample_id", long(0).alias("row"), long(0).alias("_total"), long(0).alias("_n"), long(0).alias("_zeros"), F.lit(0.0).alias("_spread"), long(0).alias("_codes")))
+    zeros = F.col("_zeros") + width - F.col("_n")
+    spread_ = F.col("_spread") + F.when(zeros > 0, zeros * F.log2(F.greatest(zeros, F.lit(1)))).otherwise(0.0)
+    return per.select(
+        "sample_id", "row", (F.col("_total") / width / 255.0).alias("mean"), ((F.log2(F.lit(float(width))) - spread_ / width) / 8.0).alias("entropy"),
+        ((F.col("_codes") + (zeros > 0).cast("int")) / 256.0).alias("distinct"),
     )
 
 
@@ -76,14 +92,20 @@ def bigram_counts(df: DataFrame, id_col: str, bytes_col: str, buckets: int = 102
 
 
 def hashed_bigram_features(df: DataFrame, id_col: str, bytes_col: str, buckets: int = 1024) -> DataFrame:
-    """Sparse L1-normalised features: index below 256 is a byte, above it a hashed pair."""
+    """Sparse L1-normalised features: index below 256 is a byte, above it a hashed pair.
+
+    A sample without bytes has the uniform byte part and no pairs, so no sample is lost.
+    """
     counts = bigram_counts(df, id_col, bytes_col, buckets)
     total = F.sum("cnt").over(Window.partitionBy("sample_id", "kind"))
-    return counts.select(
+    known = counts.select(
         "sample_id",
         (F.col("bucket") + F.when(F.col("kind") == 1, 256).otherwise(0)).alias("index"),
         (F.col("cnt") / total).alias("value"),
     )
+    none = df.filter(F.coalesce(F.length(bytes_col), F.lit(0)) == 0).select(F.col(id_col).cast("bigint").alias("sample_id"))
+    flat = none.select("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))).alias("index"), F.lit(1.0 / 256).alias("value"))
+    return known.unionByName(flat)
 
 
 def boundary_score(tiles: DataFrame, key: str = "sample_id", idx: str = "tile", value: str = "entropy", name: str = "boundary") -> DataFrame:

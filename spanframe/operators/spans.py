@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -9,33 +10,19 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import kernels
 from spanframe.operators.intervals import normalize
-from spanframe.session import spread, spread_rows
 
 
 def literal_spans(df: DataFrame, id_col: str, text_col: str, literals: list[str]) -> DataFrame:
-    """``(sample_id, rule, lo, hi)`` of every literal occurrence.
+    """``(sample_id, rule, lo, hi)`` of every literal occurrence, left to right without overlap.
 
-    Splitting on the literal gives the gap lengths; only those lengths leave the
-    row, and their running sum inside one document gives the positions.
+    Positions come from the task that reads the row; neither text nor gaps are shuffled.
     """
-    base = spread(df.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("_t")))
-    rules = F.array(*[F.struct(
-        F.lit(lit).alias("rule"), F.lit(len(lit)).alias("n"),
-        F.transform(F.split("_t", "\\Q" + lit + "\\E", -1), lambda p: F.length(p)).alias("gaps"),
-    ) for lit in literals])
-    gaps = spread_rows(base.select("sample_id", F.explode(F.filter(rules, lambda r: F.size(r["gaps"]) > 1)).alias("r")).select(
-        "sample_id", "r.rule", "r.n", F.size("r.gaps").alias("_last"), F.posexplode("r.gaps").alias("_i", "_gap")
-    ), "sample_id")
-    w = Window.partitionBy("sample_id", "rule").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    lo = (F.sum("_gap").over(w) + F.col("_i") * F.col("n")).cast("bigint")
-    return gaps.withColumn("lo", lo).filter(F.col("_i") < F.col("_last") - 1).select(
-        "sample_id", "rule", "lo", (F.col("lo") + F.col("n")).alias("hi")
-    )
+    return regex_spans(df, id_col, text_col, {lit: re.escape(lit) for lit in literals})
 
 
 def regex_spans(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str]) -> DataFrame:
     """Every non-empty match of each pattern."""
-    return spread(df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("t"))).mapInArrow(
+    return df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("t")).mapInArrow(
         kernels.regex_span_batches(rules), "sample_id bigint, rule string, lo bigint, hi bigint"
     )
 

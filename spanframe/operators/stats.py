@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from spanframe.functions.hashing import hash_hex, index_draw, poisson_weight, positive_weight
 from spanframe.functions.ranking import order_values, rank_in_group
-from spanframe.session import spread_rows
 
 # Two-sided 95 % critical values of the t distribution by sample size.
 T_CRITICAL_95 = {2: 12.706205, 3: 4.302653, 4: 3.182446, 5: 2.776445, 6: 2.570582}
@@ -29,10 +28,7 @@ def t_critical(n: Column, largest: int = 6) -> Column:
 def replicate_weights(df: DataFrame, key: list[str], replicates: int, seed: str | int) -> DataFrame:
     """``df`` with (rep, w) rows for every positive Poisson weight; one hash serves eight replicates."""
     chunks = -(-replicates // 8)
-    # Rows are spread by their own key before they multiply, so neither a hot group nor a
-    # small upstream partition decides how many tasks do the hashing.
-    rows = spread_rows(df, *key)
-    drawn = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("_h", hash_hex(seed, *key, "_c"))
+    drawn = df.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("_h", hash_hex(seed, *key, "_c"))
     digits = F.array(*[F.substring("_h", 8 * j + 1, 8) for j in range(8)])
     drawn = drawn.select(*df.columns, "_c", F.posexplode(digits).alias("_j", "_d")).filter(positive_weight(F.col("_d")))
     return drawn.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.operators.sequence import bigram_counts, hashed_bigram_features
@@ -46,6 +46,12 @@ def coefficients(model: LogisticRegressionModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind int, bucket bigint, cls int, w double")
 
 
+def _log_sum_exp(logits: str) -> Column:
+    """Of one logit per class, shifted by the largest so that no exponential overflows."""
+    top = F.array_max(logits)
+    return top + F.ln(F.aggregate(logits, F.lit(0.0), lambda a, z: a + F.exp(z - top)))
+
+
 def block_necessity(model: LogisticRegressionModel, df: DataFrame, bytes_col: str, label: str, block: int) -> DataFrame:
     """Loss change per block when its bytes follow the sample's own histogram instead.
 
@@ -74,7 +80,7 @@ def block_necessity(model: LogisticRegressionModel, df: DataFrame, bytes_col: st
     logits = j.withColumn("_z0", z0).withColumn("_z1", z1).join(df.select("sample_id", label), "sample_id")
     own = F.col("cls") == F.col(label)
     agg = logits.groupBy("sample_id", "block").agg(
-        F.sum(F.exp("_z0")).alias("_e0"), F.sum(F.exp("_z1")).alias("_e1"), F.max(F.when(own, F.col("_z0"))).alias("_o0"), F.max(F.when(own, F.col("_z1"))).alias("_o1")
+        F.collect_list("_z0").alias("_e0"), F.collect_list("_z1").alias("_e1"), F.max(F.when(own, F.col("_z0"))).alias("_o0"), F.max(F.when(own, F.col("_z1"))).alias("_o1")
     )
-    nll0, nll1 = F.ln("_e0") - F.col("_o0"), F.ln("_e1") - F.col("_o1")
+    nll0, nll1 = _log_sum_exp("_e0") - F.col("_o0"), _log_sum_exp("_e1") - F.col("_o1")
     return agg.select("sample_id", "block", nll0.alias("baseline_nll"), (nll1 - nll0).alias("delta")).withColumn("n_classes", F.lit(n_classes))

@@ -124,11 +124,13 @@ def d8(spark, sf):
 @query(
     "d8_to_positions",
     """with n as (select doc_id as key, doc_id as lo, doc_id + 1 + n_chars % 5 as hi from documents)
-    select key, unnest(range(lo, least(hi, 900))) as pos from n""",
+    select key, unnest(range(lo, least(hi, (select max(doc_id) + 1 from documents)))) as pos from n""",
 )
 def d8_to(spark, sf):
-    n = view(spark, sf, "documents").selectExpr("doc_id as key", "doc_id as lo", "doc_id + 1 + n_chars % 5 as hi")
-    return iv.to_positions(n, K, F.lit(900).cast("bigint"))
+    docs = view(spark, sf, "documents")
+    n = docs.selectExpr("doc_id as key", "doc_id as lo", "doc_id + 1 + n_chars % 5 as hi")
+    n = n.join(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("limit"))))  # one row
+    return iv.to_positions(n, K, F.col("limit"))
 
 
 @query(

@@ -280,19 +280,23 @@ def d26v(spark, sf):
     return regions.alignment_verdict(_alignment(spark, sf))
 
 
-ENC = """en as (select c_custkey as sample_id, case c_custkey % 3 when 0 then 'raw-rgb' when 1 then 'word16-rgb' else 'opcode-3gram-rgb' end as mode, case c_custkey % 3 when 0 then 3 when 1 then 2 else 1 end as stride, 3 as window_,
- 2000000 as n_source, case c_custkey % 3 when 0 then 666667 when 1 then 1000000 else 1999998 end as n_pixels from customer)"""
+SECONDS = "cast((extract(day from ts) - 1) * 86400 + extract(hour from ts) * 3600 + extract(minute from ts) * 60 + floor(extract(second from ts)) as bigint)"
+ENC = """ln as (select key, max(hi) as n from v_iv group by key),
+en as (select key as sample_id, case key % 3 when 0 then 'raw-rgb' when 1 then 'word16-rgb' else 'opcode-3gram-rgb' end as mode, case key % 3 when 0 then 3 when 1 then 2 else 1 end as stride, 3 as window_,
+ n as n_source, case key % 3 when 0 then (n + 2) // 3 when 1 then (n + 1) // 2 else n - 2 end as n_pixels from ln)"""
 PX = ENC + """, px as (select key, mode, greatest(0, lo) as l, least(hi, n_source) as h, stride, n_pixels from v_iv join en on sample_id = key where greatest(0, lo) < least(hi, n_source)),
 src as (select key, case when mode like 'opcode%' then greatest(0, l - 2) else l // stride end as lo, case when mode like 'opcode%' then least(h, n_pixels) else ceil(h::double / stride)::bigint end as hi from px), """ + ISLANDS
 
 
 def _enc(spark, sf):
-    k = F.col("c_custkey") % 3
+    """One encoding per user; its length is the end of the user's last interval."""
+    k = F.col("key") % 3
     long = lambda c: c.cast("bigint")
-    return view(spark, sf, "customer").select(
-        F.col("c_custkey").alias("sample_id"), F.when(k == 0, "raw-rgb").when(k == 1, "word16-rgb").otherwise("opcode-3gram-rgb").alias("mode"),
-        long(F.when(k == 0, 3).when(k == 1, 2).otherwise(1)).alias("stride"), F.lit(3).alias("window"), F.lit(2000000).cast("bigint").alias("n_source"),
-        long(F.when(k == 0, 666667).when(k == 1, 1000000).otherwise(1999998)).alias("n_pixels"))
+    ends = view(spark, sf, "v_iv").groupBy("key").agg(F.max("hi").alias("n"))
+    return ends.select(
+        F.col("key").alias("sample_id"), F.when(k == 0, "raw-rgb").when(k == 1, "word16-rgb").otherwise("opcode-3gram-rgb").alias("mode"),
+        long(F.when(k == 0, 3).when(k == 1, 2).otherwise(1)).alias("stride"), F.lit(3).alias("window"), F.col("n").alias("n_source"),
+        long(F.when(k == 0, F.expr("(n + 2) div 3")).when(k == 1, F.expr("(n + 1) div 2")).otherwise(F.col("n") - 2)).alias("n_pixels"))
 
 
 def _iv(spark, sf):
@@ -306,24 +310,27 @@ def d18(spark, sf):
 
 @query(
     "d18_pixels_to_bytes",
-    f"""with {ENC}, px as (select key, greatest(0, lo) * stride as lo, least(least(hi, n_pixels) * stride, n_source) as hi from v_iv join en on sample_id = key where mode not like 'opcode%' and greatest(0, lo) < least(hi, n_pixels)),
+    f"""with {ENC}, px as (select key, greatest(0, lo) * stride as lo, least(hi * stride, n_source * stride - 1) as hi from v_iv join en on sample_id = key where mode not like 'opcode%'),
     src as (select * from px where lo < hi), {ISLANDS} select key as sample_id, lo, hi from norm""",
     ("v_iv",),
 )
 def d18b(spark, sf):
-    return coordinates.pixels_to_bytes(_iv(spark, sf), _enc(spark, sf))
+    # the intervals are pixels here; the last pixel lacks one channel
+    enc = _enc(spark, sf).withColumn("n_pixels", F.col("n_source")).withColumn("n_source", F.col("n_source") * F.col("stride") - 1)
+    return coordinates.pixels_to_bytes(_iv(spark, sf), enc)
 
 
 @query(
     "d18_points",
     f"""with {ENC} select event_id, lo // stride as pixel, lo % stride as channel, case when lo // stride < n_pixels then lo // stride * stride end as span_lo, case when lo // stride < n_pixels then least((lo // stride + 1) * stride, n_source) end as span_hi
-    from (select event_id, user_id, event_id * 150 as lo from events) e join en on en.sample_id = user_id where lo // stride * stride < n_source""",
+    from (select event_id, user_id, {SECONDS} as lo from events) e join en on en.sample_id = user_id""",
+    ("v_iv",),
 )
 def d18p(spark, sf):
-    e = view(spark, sf, "events").select("event_id", F.col("user_id").alias("sample_id"), (F.col("event_id") * 150).alias("lo")).join(_enc(spark, sf), "sample_id")
+    e = view(spark, sf, "events").select("event_id", F.col("user_id").alias("sample_id"), F.expr(SECONDS).alias("lo")).join(_enc(spark, sf), "sample_id")
     pc = coordinates.byte_to_pixel_channel(F.col("lo"), F.col("stride"))
     e = e.withColumn("pc", pc).withColumn("span", coordinates.pixel_to_byte_span(F.col("pc.pixel"), F.col("stride"), F.col("n_pixels"), F.col("n_source")))
-    return e.filter("pc.pixel * stride < n_source").select("event_id", "pc.pixel", "pc.channel", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"))
+    return e.select("event_id", "pc.pixel", "pc.channel", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"))
 
 
 @query(

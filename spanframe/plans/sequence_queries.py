@@ -109,7 +109,7 @@ def e6(spark, sf):
 
 @query(
     "e7_seam_delta",
-    """with p as (select d.doc_id, d.text as host, b.text as graft, (d.n_chars // 2) as s, length(b.text) as g, d.n_chars as n from documents d join benchmark b on b.item_id = d.doc_id % 40),
+    """with p as (select d.doc_id, d.text as host, b.text as graft, (d.n_chars // 2) as s, length(b.text) as g, d.n_chars as n from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)),
     w as (select doc_id, 'b' as k, substr(host, (greatest(s - 2048, 0) + 1)::int, (s - greatest(s - 2048, 0))::int) as t from p
       union all select doc_id, 'a', substr(host, (s + g + 1)::int, 2048) from p
       union all select doc_id, 'gh', substr(graft, 1, 2048) from p
@@ -122,8 +122,9 @@ def e6(spark, sf):
     select doc_id, round(coalesce(greatest(case when s > 0 then abs(b - gh) end, case when s + g < n then abs(a - gt) end), 0.0), 9) as seam_delta from x""",
 )
 def e7(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"), F.expr("n_chars div 2").alias("start"))
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("graft"))
+    d = table(spark, sf, "documents").join(F.broadcast(b.agg(F.count(F.lit(1)).alias("items"))))  # one row
+    d = d.select("doc_id", "text", (F.col("doc_id") % F.col("items")).alias("item_id"), F.expr("n_chars div 2").alias("start"))
     return sequence.seam_delta(d.join(b, "item_id"), "text", "graft", "start").select("doc_id", F.round("seam_delta", 9).alias("seam_delta"))
 
 

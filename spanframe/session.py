@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     fresh = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(fresh)
     return spark.sparkContext.getCheckpointDir()
@@ -58,30 +60,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _tasks(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when a scan yields fewer tasks than the session has cores.
-
-    A table of many splits keeps them: there the shuffle would be waste. A plan that
-    already shuffles is left alone.
-    """
-    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
-
-
-def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition narrow rows by their own key ahead of work that multiplies them.
-
-    The explicit count also keeps adaptive coalescing from packing small inputs of
-    heavy work into one task.
-    """
-    return df.repartition(_tasks(df.sparkSession), *keys)

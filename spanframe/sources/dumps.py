@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import kernels
 
 
-def parse_hex_dumps(df: DataFrame, text: str, max_lines_bytes: int | None = None) -> DataFrame:
+LINE = r"^([0-9A-Fa-f]+)\s+(.*\S)\s*$"  # an address of any width, then byte tokens
+LISTED = r"^([^:\s]+):([0-9A-Fa-f]{6,16})\b"  # a segment name and an address of 6 to 16 digits
+
+
+def _address(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("decimal(20,0)").cast("bigint")
+
+
+def parse_hex_dumps(df: DataFrame, text: str) -> DataFrame:
     """One row per address line: line_no, addr, base, payload, n_tokens.
 
-    Other lines are dropped, as are lines below the first line's address.
-    df: sample_id and the dump text.
+    Other lines are dropped, as are lines below the first line's address. df: sample_id
+    and the dump text. ``refused_dumps`` names the samples that have no such line.
     """
     lines = df.select("sample_id", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "_l"))
     hit = lines.select(
-        "sample_id", "line_no", F.regexp_extract("_l", r"^([0-9A-Fa-f]{8})\s+(.*\S)\s*$", 1).alias("_a"), F.regexp_extract("_l", r"^([0-9A-Fa-f]{8})\s+(.*\S)\s*$", 2).alias("payload")
-    ).filter("_a <> ''").withColumn("addr", F.conv("_a", 16, 10).cast("bigint"))
+        "sample_id", "line_no", F.regexp_extract("_l", LINE, 1).alias("_a"), F.regexp_extract("_l", LINE, 2).alias("payload")
+    ).filter("_a <> ''").withColumn("addr", _address(F.col("_a")))
     base = F.first("addr").over(Window.partitionBy("sample_id").orderBy("line_no"))  # lines of one text row
     out = hit.withColumn("base", base).filter(F.col("addr") >= F.col("base"))
-    if max_lines_bytes is not None:
-        out = out.filter(F.col("addr") - F.col("base") < max_lines_bytes)
     return out.select("sample_id", "line_no", "addr", "base", "payload", F.size(F.split("payload", r"\s+")).alias("n_tokens"))
 
 
+def refused_dumps(df: DataFrame, text: str) -> DataFrame:
+    """(sample_id, reason) of dumps that hold nothing to read: empty, binary, or without an address line."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    reason = (
+        F.when(F.trim(body) == "", "empty").when(F.instr(body, "\u0000") > 0, "binary")
+        .when(~F.exists(F.split(body, "\r?\n"), lambda x: x.rlike(LINE)), "no_address_line")
+    )
+    return df.select("sample_id", reason.alias("reason")).filter("reason is not null")
+
+
 def read_hex_dumps(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1).alias("sample_id"), "value")
     return parse_hex_dumps(docs, "value")
@@ -45,9 +61,8 @@ def assemble_dump(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def parse_segment_listing(df: DataFrame, text: str) -> DataFrame:
     """Lowest and highest address per segment name of ``name:ADDR`` lines."""
     lines = df.select("sample_id", F.explode(F.split(text, "\r?\n")).alias("_l"))
-    pat = r"^([^:\s]+):([0-9A-Fa-f]{8})"
-    hit = lines.select("sample_id", F.regexp_extract("_l", pat, 1).alias("name"), F.regexp_extract("_l", pat, 2).alias("_a")).filter("_a <> ''")
-    addr = F.conv("_a", 16, 10).cast("bigint")
+    hit = lines.select("sample_id", F.regexp_extract("_l", LISTED, 1).alias("name"), F.regexp_extract("_l", LISTED, 2).alias("_a")).filter("_a <> ''")
+    addr = _address(F.col("_a"))
     return hit.groupBy("sample_id", "name").agg(F.min(addr).alias("lo"), F.max(addr).alias("hi"))
 
 
@@ -56,13 +71,24 @@ def read_segment_listing(spark: SparkSession, path: str) -> DataFrame:
     return parse_segment_listing(docs, "value")
 
 
-def inflate_samples(ids: DataFrame, blobs: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """sample_id, content, length, exclusion_reason for every wanted id; content is inflated in memory only."""
-    have = ids.select("sample_id").join(blobs.select("sample_id", "content"), "sample_id")
-    out = have.mapInArrow(kernels.inflate_batches(max_bytes), "sample_id string, content binary, exclusion_reason string")
-    gone = ids.select("sample_id").join(blobs.select("sample_id"), "sample_id", "left_anti")
-    missing = gone.select("sample_id", F.lit(None).cast("binary").alias("content"), F.concat(F.lit("missing:"), "sample_id").alias("exclusion_reason"))
-    return out.unionByName(missing).withColumn("length", F.length("content").cast("bigint"))
+def inflate_samples(ids: DataFrame, blobs: DataFrame, chunk: int = 1 << 26) -> DataFrame:
+    """sample_id, chunk, content, exclusion_reason for every wanted id; inflated in memory only.
+
+    Content comes in pieces of ``chunk`` bytes, in order, of any total size. The wanted names,
+    a narrow table, meet the compressed blobs in a semi join ahead of inflating, so the plan
+    can send the names to the scan; missing ids come from names alone.
+    """
+    wanted = ids.select("sample_id").distinct()
+    have = blobs.select("sample_id", "content").join(wanted, "sample_id", "left_semi")
+    out = have.mapInArrow(kernels.inflate_batches(chunk), "sample_id string, chunk int, content binary, exclusion_reason string")
+    gone = wanted.join(blobs.select("sample_id").distinct(), "sample_id", "left_anti")
+    missing = gone.select("sample_id", F.lit(0).alias("chunk"), F.lit(None).cast("binary").alias("content"), F.concat(F.lit("missing:"), "sample_id").alias("exclusion_reason"))
+    return out.unionByName(missing)
+
+
+def inflated_lengths(pieces: DataFrame) -> DataFrame:
+    """sample_id, length, exclusion_reason, one row per sample."""
+    return pieces.groupBy("sample_id").agg(F.sum(F.length("content")).cast("bigint").alias("length"), F.max("exclusion_reason").alias("exclusion_reason"))
 
 
 def read_binary_samples(spark: SparkSession, path: str, ids: DataFrame, suffix: str = ".zlib") -> DataFrame:

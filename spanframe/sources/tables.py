@@ -70,12 +70,17 @@ def check_scores(scores: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFr
     return j.filter("n_scores = n_tiles").drop("n_scores", "n_tiles"), bad
 
 
-def append_run_record(spark: SparkSession, path: str, kind: str, params: dict[str, str], counts: dict[str, int], inputs: str = "", commit: str = "") -> None:
-    """One provenance row: kind, UTC time, code commit, parameters, input identity and counts."""
-    row = [(kind, dt.datetime.now(dt.timezone.utc).isoformat(), commit, {k: str(v) for k, v in params.items()}, inputs, {k: int(v) for k, v in counts.items()})]
-    spark.createDataFrame(
-        row, "kind string, at string, commit string, params map<string,string>, inputs string, counts map<string,bigint>"
-    ).coalesce(1).write.mode("append").parquet(path)
+def append_run_record(path: str, kind: str, params: dict[str, str], counts: DataFrame, inputs: str = "", commit: str = "") -> None:
+    """One provenance row: kind, UTC time, code commit, parameters, input identity and counts.
+
+    ``counts`` has one row (name, n) per counted thing and is counted by the write itself.
+    """
+    given = F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv]) if params else F.create_map().cast("map<string,string>")
+    row = counts.agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("n").cast("bigint")))).alias("counts"))
+    row.select(
+        F.lit(kind).alias("kind"), F.lit(dt.datetime.now(dt.timezone.utc).isoformat()).alias("at"), F.lit(commit).alias("commit"), given.alias("params"),
+        F.lit(inputs).alias("inputs"), "counts",
+    ).write.mode("append").parquet(path)
 
 
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:

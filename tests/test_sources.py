@@ -11,7 +11,7 @@ def test_binary_samples(spark, tmp_path):
     (tmp_path / "b.zlib").write_bytes(b"not compressed")
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "sample_id string")
     rows = {r.sample_id: r for r in dumps.read_binary_samples(spark, str(tmp_path), ids).collect()}
-    assert bytes(rows["a"].content) == b"hello" and rows["a"].length == 5
+    assert bytes(rows["a"].content) == b"hello" and rows["a"].chunk == 0
     assert rows["b"].exclusion_reason.startswith("decompress_error:")
     assert rows["c"].exclusion_reason == "missing:c"
 
