@@ -18,18 +18,22 @@ from spanframe.streaming import ingest, runs
 
 @query(
     "a2_manifest_round_trip",
-    """select sample_id::varchar as sample_id, split, role, pos, size, case when role = 'primary' then '1=' || pos else '' end as tag_counts, ok, case when role = 'primary' and sample_id % 23 = 0 then 'selection:withdrawn' else '' end as exclusion_reason from v_manifest""",
+    """select sample_id::varchar as sample_id, split, sample_id * 3.5::double as first_seen, '' as tags, pos::bigint as detection_count, 'seed' as seed, role, case when role = 'primary' then '1=' || pos else '' end as tag_counts,
+    '' as replaces, '' as stored_sha256, '' as content_sha256, 'e' || sample_id as etag, case when ok then pos * 2 else 0 end::bigint as content_length, case when ok then 'ok' else 'missing' end as download_status,
+    '' as inflate_status, '' as layout_status, '' as parser_status, '' as evidence_status, case when role = 'primary' and sample_id % 23 = 0 then 'selection:withdrawn' else '' end as exclusion_reason, size::varchar as size from v_manifest""",
     ("v_manifest",),
 )
 def a2(spark, sf):
+    """The file has other header names, another order, lacks optional columns and has one more."""
     m = _manifest(spark, sf)
     text = m.select(
-        F.col("sample_id").cast("string"), "split", "role", F.col("pos").cast("string"), F.col("size").cast("string"), F.lit("").alias("tags"),
-        F.when(F.col("role") == "primary", F.concat(F.lit("1="), "pos")).otherwise("").alias("tag_counts"), F.when(F.col("ok"), "True").otherwise("0").alias("ok"),
-        F.coalesce("exclusion_reason", F.lit("")).alias("exclusion_reason"), F.lit("").alias("replaces"))
+        F.col("size").cast("string").alias("size"), F.coalesce("exclusion_reason", F.lit("")).alias("exclusion_reason"), F.when(F.col("ok"), "ok").otherwise("missing").alias("download_status"),
+        F.when(F.col("ok"), (F.col("pos") * 2).cast("string")).alias("bytes"), F.concat(F.lit("e"), "sample_id").alias("etag"),
+        F.when(F.col("role") == "primary", F.concat(F.lit("1="), "pos")).otherwise("").alias("tag_counts"), F.col("role").alias("selection"), F.lit("seed").alias("seed"), F.lit("").alias("tags"),
+        F.col("pos").cast("string").alias("detection_count"), (F.col("sample_id") * 3.5).cast("string").alias("seen"), "split", F.col("sample_id").cast("string").alias("digest"))
     path = scratch_path(spark, "manifest")
     tables.write_manifest(text, path)
-    return tables.read_manifest(spark, path).select("sample_id", "split", "role", "pos", "size", "tag_counts", "ok", "exclusion_reason")
+    return tables.read_manifest(spark, path, {"digest": "sample_id", "selection": "role", "seen": "first_seen", "bytes": "content_length"})
 
 
 @query("a2_outcomes_round_trip", "select sample_id::varchar as sample_id, ok, case when ok then sample_id * 10 else 0 end as content_length, case when ok then '' else 'gone' end as error from v_manifest", ("v_manifest",))
@@ -43,26 +47,51 @@ def a2o(spark, sf):
 
 
 def _manifest_docs(spark, sf):
+    """One manifest per nation with a sample per supplier; odd suppliers break one rule each."""
     s = table(spark, sf, "supplier")
-    a = F.array(F.struct(F.when(F.col("s_acctbal") > 0, "plus").otherwise("minus").alias("category"), F.col("s_suppkey").alias("start"), (F.col("s_suppkey") + 5).alias("end")))
-    sample = F.struct(F.col("s_name").alias("sample_id"), F.lit("src").alias("source"), F.lit("train").alias("split"), F.lit("raw-rgb").alias("encoding"), F.lit(256).alias("width"), a.alias("annotations"),
-                      F.when(F.col("s_suppkey") % 10 == 3, "x").alias("extra"))
+    k = F.col("s_suppkey")
+    bad = lambda n: k % 40 == n
+    box = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))
+    ranged = (k % 2 == 0) | bad(13)
+    a = F.struct(
+        F.when(bad(5), 9).when(F.col("s_acctbal") > 0, 1).otherwise(2).alias("category_id"), F.when(bad(7), "guess").when(bad(9) | bad(11), "bayesian_gradcam").otherwise("human_verified").alias("annotation_source"),
+        F.when(bad(3), False).alias("verified"), F.when(ranged, k).alias("start"), F.when(ranged, k + 5).alias("end"), F.when(~ranged | bad(13), box).alias("bbox_xywh"),
+        F.when(bad(11), "v1").alias("annotation_version"), F.when(bad(15), 1.5).otherwise(0.5).alias("source_score"), F.when(bad(17), "x").alias("note"))
+    sample = F.struct(
+        F.when(bad(19), "NUL.x").when(bad(21), "a b").otherwise(F.concat(F.lit("s"), k)).alias("sample_id"), F.lit("src").alias("source"), F.when(bad(23), "dev").otherwise("train").alias("split"),
+        F.lit("raw-rgb").alias("encoding"), F.when(bad(25), 0).when(bad(27), 512).alias("width"), F.array(a).alias("annotations"), F.when(bad(29), "xyz").alias("sha256"), F.when(bad(31), "x").alias("extra"))
     g = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(sample)).alias("samples"))
-    doc = F.to_json(F.struct(F.when(F.col("s_nationkey") == 7, 2).otherwise(1).alias("version"), F.concat(F.lit("n"), "s_nationkey").alias("name"),
-                             F.array(F.struct(F.lit(1).alias("id"), F.lit("plus").alias("name")), F.struct(F.lit(2).alias("id"), F.lit("minus").alias("name"))).alias("categories"), "samples",
-                             F.when(F.col("s_nationkey") == 3, "y").alias("comment")))
+    n = F.col("s_nationkey")
+    doc = F.to_json(F.struct(F.when(n == 7, 2).otherwise(1).alias("version"), F.concat(F.lit("n"), n).alias("name"),
+                             F.array(F.struct(F.lit(1).alias("id"), F.lit("plus").alias("name")), F.struct(F.when(n == 9, 3).otherwise(2).alias("id"), F.when(n == 11, "PLUS").otherwise("minus").alias("name"))).alias("categories"), "samples",
+                             F.when(n == 3, "y").alias("comment")))
     return g.select("s_nationkey", doc.alias("text"))
 
 
-@query("a3_annotation_rows", "select s_nationkey as doc, s_name as sample_id, 0 as ann_pos, case when s_acctbal > 0 then 'plus' else 'minus' end as category, s_suppkey as start, s_suppkey + 5 as \"end\" from supplier")
+SPECS = """sp as (select s_nationkey as doc, s_suppkey as k, s_suppkey % 40 as m, case when s_suppkey % 40 = 19 then 'NUL.x' when s_suppkey % 40 = 21 then 'a b' else 's' || s_suppkey end as sample_id,
+ case when s_suppkey % 40 = 5 then 9 when s_acctbal > 0 then 1 else 2 end as category_id, s_suppkey % 2 = 0 or s_suppkey % 40 = 13 as ranged from supplier)"""
+
+
+@query(
+    "a3_annotation_rows",
+    f"""with {SPECS} select doc, sample_id, 0 as ann_pos, category_id, case when m = 7 then 'guess' when m in (9, 11) then 'bayesian_gradcam' else 'human_verified' end as annotation_source, m not in (3, 7, 9, 11) as verified,
+    case when ranged then k end as start, case when ranged then k + 5 end as "end", case when not ranged or m = 13 then 4.0::double end as box_h, case when m = 11 then 'v1' end as annotation_version, case when m = 15 then 1.5::double else 0.5 end as source_score from sp""",
+)
 def a3(spark, sf):
-    return ann.parse_annotation_manifests(_manifest_docs(spark, sf), "text", "s_nationkey")["annotations"].drop("bbox")
+    a = ann.parse_annotation_manifests(_manifest_docs(spark, sf), "text", "s_nationkey")["annotations"]
+    return a.withColumn("box_h", F.get("bbox", F.lit(3))).drop("bbox", "teacher_model")
 
 
 @query(
     "a3_manifest_violations",
-    """select 7 as doc, 'wrong version' as rule where 7 in (select s_nationkey from supplier) union all select 3, 'unknown key comment' where 3 in (select s_nationkey from supplier)
-    union all select distinct s_nationkey, 'unknown sample key extra' from supplier where s_suppkey % 10 = 3""",
+    f"""with {SPECS} select 7 as doc, null::varchar as sample, null::int as ann_pos, 'wrong version' as rule where 7 in (select doc from sp)
+    union all select 3, null, null, 'unknown root key comment' where 3 in (select doc from sp) union all select 9, null, null, 'category ids do not count from 1' where 9 in (select doc from sp)
+    union all select 11, null, null, 'category names repeat' where 11 in (select doc from sp)
+    union all select doc, null, null, 'sample_id repeats' from sp group by doc having count(*) > count(distinct lower(sample_id))
+    union all select doc, sample_id, null, case m when 19 then 'sample_id is no portable name' when 21 then 'bad sample_id' when 23 then 'unknown split' when 25 then 'width out of range' when 29 then 'bad sha256' else 'unknown sample key extra' end from sp where m in (19, 21, 23, 25, 29, 31)
+    union all select doc, sample_id, 0, case m when 3 then 'human_verified but not verified' when 7 then 'unknown annotation_source' when 9 then 'annotation_version is required' when 13 then 'needs either a range or a box'
+      when 15 then 'source_score out of range' else 'unknown annotation key note' end from sp where m in (3, 7, 9, 13, 15, 17)
+    union all select doc, sample_id, 0, 'unknown category' from sp where category_id = 9 or (doc = 9 and category_id = 2)""",
 )
 def a3v(spark, sf):
     return ann.parse_annotation_manifests(_manifest_docs(spark, sf), "text", "s_nationkey")["violations"]
@@ -84,20 +113,51 @@ def a4v(spark, sf):
     return tables.read_labels(spark, path, 1, 2)[1]
 
 
+def _box_docs(spark, sf, scored):
+    """One document per image, in both spellings of every key; box 7 has a bad score, box 6 no size."""
+    v = view(spark, sf, "v_box").withColumn("score", F.when(F.col("box_id") == 7, 1.5).otherwise(F.col("score")))
+    box = F.array(*[F.col(c).cast("double") for c in ("x1", "y1")], F.when(F.col("box_id") == 6, 0.0).otherwise(F.col("w").cast("double")), F.col("h").cast("double"))
+    odd = F.col("image_id") % 2 == 1
+    cid = F.when(F.col("label") == "A", 1).when(F.col("label") == "N", 2).otherwise(3)
+    named = F.col("box_id") % 3 == 0
+    item = F.struct(
+        "box_id", F.when(odd, box).alias("bbox"), F.when(~odd, box).alias("bbox_xywh"), F.when(odd, cid).alias("category_id"), F.when(~odd, cid).alias("class_id"),
+        F.when(odd & named, F.concat(F.lit(" "), "label")).alias("category_name"), F.when(~odd & named, F.col("label")).alias("class_name"),
+        *([F.when(odd, F.col("score")).alias("score"), F.when(~odd, F.col("score")).alias("confidence")] if scored else [(F.col("box_id") % 2).alias("image_id")]))
+    return v.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("a"))
+
+
+LABEL = "case label when 'A' then 1 when 'N' then 2 else 3 end"
+
+
 @query(
     "a5_read_roi_annotations",
-    """select image_id, box_id - 1 as pos, 'im' || image_id || '.png' as image, label, x1::double as x, y1::double as y, w::double as w, h::double as h, score, case when score not between 0 and 1 then 'score out of range' end as violation
+    f"""select image_id, box_id - 1 as pos, {LABEL}::bigint as category_id, case when box_id % 3 = 0 then label else 'id:' || {LABEL} end as label, x1::double as x, y1::double as y, case when box_id = 6 then 0.0 else w end::double as w, h::double as h,
+    score, case when box_id = 6 then 'bbox needs a positive size' when score not between 0 and 1 then 'score out of range' end as violation
     from (select * replace (case when box_id = 7 then 1.5 else score end as score) from v_box)""",
     ("v_box",),
 )
 def a5(spark, sf):
-    v = view(spark, sf, "v_box").withColumn("score", F.when(F.col("box_id") == 7, 1.5).otherwise(F.col("score")))
-    box = F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "w", "h")])
-    odd = F.col("image_id") % 2 == 1
-    item = F.struct("box_id", F.concat(F.lit("D:\\a/IM"), "image_id", F.lit(".PNG")).alias("image"), F.when(odd, box).alias("bbox"), F.when(~odd, box).alias("bbox_xywh"), F.when(odd, F.col("label")).alias("category"), F.when(~odd, F.col("label")).alias("label"), "score")
-    g = v.groupBy("image_id").agg(F.sort_array(F.collect_list(item)).alias("a"))
-    text = F.when(F.col("image_id") % 2 == 1, F.to_json("a")).otherwise(F.to_json(F.struct(F.col("a").alias("annotations"))))
-    out = ann.parse_rois(g.select("image_id", text.alias("t")), "t", "image_id")
+    docs = _box_docs(spark, sf, True).select("image_id", F.to_json("a").alias("t"))
+    return ann.parse_predictions(docs, "t", "image_id").withColumnRenamed("doc", "image_id").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(
+    "a5_truth_annotations",
+    f"""select image_id, box_id - 1 as pos, {LABEL}::bigint as category_id, case when box_id % 3 = 0 or label = 'A' then label when label = 'N' then 'named' else 'id:3' end as label, x1::double as x, y1::double as y,
+    case when box_id = 6 then 0.0 else w end::double as w, h::double as h, case when box_id = 6 then 'bbox needs a positive size' end as violation from v_box where image_id % 5 <> 0 and (image_id % 5 <> 1 or box_id % 2 = 1)
+    union all select distinct image_id, null, null, null, null, null, null, null, 'no unique image' from v_box where image_id % 5 = 0""",
+    ("v_box",),
+)
+def a5t(spark, sf):
+    """Images with ``images`` (one fits, none fits) and documents of a single image."""
+    k = F.col("image_id") % 5
+    file = F.struct(F.lit(1).alias("id"), F.concat(F.lit("set/IM"), "image_id", F.lit(".PNG")).alias("file_name"))
+    other = F.struct(F.lit(0).alias("id"), F.lit("x.png").alias("file_name"))
+    cats = F.array(F.struct(F.lit(1).alias("id"), F.lit("A").alias("name")), F.struct(F.lit(2).alias("id"), F.lit("named").alias("name")))
+    doc = F.to_json(F.struct(F.col("a").alias("annotations"), cats.alias("categories"), F.when(k == 0, F.array(other)).when(k == 1, F.array(other, file)).alias("images")))
+    docs = _box_docs(spark, sf, False).select("image_id", doc.alias("t"), F.concat(F.lit("D:\\a/im"), "image_id", F.lit(".png")).alias("name"))
+    out = ann.parse_truth(docs, "t", "image_id", "name").drop("score")
     return out.withColumnRenamed("doc", "image_id").withColumn("pos", F.col("pos").cast("bigint"))
 
 

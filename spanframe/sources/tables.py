@@ -7,10 +7,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST_SCHEMA = (
-    "sample_id string, split string, role string, pos string, size string, tags string, tag_counts string, ok string, "
-    "exclusion_reason string, replaces string"
-)
+#: The fields of a cohort manifest: type, and must the file have it?
+MANIFEST = {
+    "sample_id": ("string", True), "split": ("string", True), "first_seen": ("double", True), "tags": ("string", True), "detection_count": ("bigint", True),
+    "seed": ("string", True), "role": ("string", True), "tag_counts": ("string", False), "replaces": ("string", False), "stored_sha256": ("string", False),
+    "content_sha256": ("string", False), "etag": ("string", False), "content_length": ("bigint", False), "download_status": ("string", False),
+    "inflate_status": ("string", False), "layout_status": ("string", False), "parser_status": ("string", False), "evidence_status": ("string", False),
+    "exclusion_reason": ("string", False),
+}
 
 
 def parse_ok(c: Column) -> Column:
@@ -26,11 +30,27 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> DataFrame:
-    """Everything is text in the file; only numbers and flags are cast, an absent number is 0."""
-    raw = spark.read.schema(schema).option("header", True).option("emptyValue", "").csv(path)
-    text = raw.na.fill("")
-    return text.withColumn("pos", number_or_zero(F.col("pos"))).withColumn("size", number_or_zero(F.col("size"), "double")).withColumn("ok", parse_ok(F.col("ok")))
+def read_manifest(spark: SparkSession, path: str, names: dict[str, str] | None = None, fields: dict[str, tuple[str, bool]] | None = None) -> DataFrame:
+    """All manifest fields, found by header name in any order.
+
+    ``names`` maps header names of the file to field names. A missing required column is
+    an error, a missing other one is empty; further columns follow as text. Text is
+    trimmed of nothing; an absent number is 0.
+    """
+    fields = fields or MANIFEST
+    raw = spark.read.option("header", True).option("emptyValue", "").csv(path)
+    for old, new in (names or {}).items():
+        raw = raw.withColumnRenamed(old, new)
+    lost = [f for f, (_, needed) in fields.items() if needed and f not in raw.columns]
+    if lost:
+        raise ValueError(f"manifest lacks columns: {', '.join(lost)}")
+
+    def field(name: str, kind: str) -> Column:
+        c = F.coalesce(F.col(name), F.lit("")) if name in raw.columns else F.lit("")
+        return (c if kind == "string" else number_or_zero(c, kind)).alias(name)
+
+    more = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns if c not in fields]
+    return raw.select(*[field(n, k) for n, (k, _) in fields.items()], *more)
 
 
 def write_outcomes(df: DataFrame, path: str) -> None:

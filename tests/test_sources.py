@@ -3,6 +3,8 @@
 import json
 import zlib
 
+import pytest
+
 from spanframe.sources import annotations, dumps, tables
 
 
@@ -28,9 +30,14 @@ def test_scores_and_rois_files(spark, tmp_path):
     (tmp_path / "scores.json").write_text(json.dumps({"d1": {"att": [0.1, 0.9]}}))
     s = tables.read_scores(spark, str(tmp_path / "scores.json"))
     assert [(r.tile, r.score) for r in s.orderBy("tile").collect()] == [(0, 0.1), (1, 0.9)]
-    (tmp_path / "roi.json").write_text(json.dumps({"annotations": [{"image": "x/Y.png", "bbox": [1, 2, 3, 4], "category": "a", "score": 2}]}))
-    r = annotations.read_roi_annotations(spark, [str(tmp_path / "roi.json")]).first()
-    assert r.image == "y.png" and r.violation == "score out of range"
+    (tmp_path / "roi.json").write_text(json.dumps([{"bbox": [1, 2, 3, 4], "category_name": "a", "score": 2}, {"bbox_xywh": [1, 2, 3, 4], "class_id": 4, "confidence": 0.5}]))
+    r = annotations.read_roi_annotations(spark, [str(tmp_path / "roi.json")]).orderBy("pos").collect()
+    assert (r[0].label, r[0].violation) == ("a", "score out of range") and (r[1].label, r[1].score, r[1].violation) == ("id:4", 0.5, None)
+    (tmp_path / "truth.json").write_text(json.dumps({"annotations": [{"bbox": [0, 0, 1, 1], "category_id": 1}], "categories": [{"id": 1, "name": "n"}], "images": [{"id": None, "file_name": "a"}, {"id": 2, "file_name": "b"}]}))
+    assert annotations.read_roi_annotations(spark, [str(tmp_path / "truth.json")], truth=True).first().violation == "no unique image"
+    (tmp_path / "m.csv").write_text("role,split\nprimary,train\n")
+    with pytest.raises(ValueError):
+        tables.read_manifest(spark, str(tmp_path / "m.csv"))
 
 
 def test_detection_dataset_written(spark, tmp_path):
@@ -38,4 +45,4 @@ def test_detection_dataset_written(spark, tmp_path):
     an = spark.createDataFrame([(5, 0, 1, 1, 1, 2, 2)], "sample_id bigint, ann_pos bigint, class_id int, x int, y int, w int, h int")
     annotations.write_detection_dataset(im, an, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "annotations")).first().area == 4
-    assert spark.read.text(str(tmp_path / "out" / "labels")).first().value == "0 0.20000000 0.20000000 0.20000000 0.20000000"
+    assert spark.read.json(str(tmp_path / "out" / "labels")).first().value == "0 0.20000000 0.20000000 0.20000000 0.20000000"
