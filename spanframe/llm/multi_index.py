@@ -99,10 +99,10 @@ def nearest(
     spark = vectors.sparkSession
     out_schema = "query_id bigint, rank int, vec_id bigint, score double"
     base = durable(usable(vectors, id_col, vec_col))
-    sample = base.orderBy(F.xxhash64("id", F.lit("centroids")), "v").limit(sample_rows).select("v").toPandas()["v"]
+    sample = base.orderBy(F.xxhash64("id", F.lit("centroids")), "v").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     if len(sample) == 0:
         return spark.createDataFrame([], out_schema)
-    x = np.stack(sample.to_numpy())
+    x = _matrix(sample)
     half = x.shape[1] // 2
     c1, c2 = centroids(x[:, :half], k_centroids), centroids(x[:, half:], k_centroids)
     copies = Window.partitionBy("v").orderBy("id")
