@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.operators.stats import holm, paired_bootstrap
+from spanframe.session import durable
 
 
 def stratum_report(
@@ -19,7 +20,8 @@ def stratum_report(
     than two pairs enter the family with p = 1 and show null.
     """
     names = list(dict.fromkeys([*selectors, *baselines]))
-    wide = ev.filter(F.col("selector").isin(*names)).groupBy("sample_id", "stratum").pivot("selector", names).agg(F.max("coverage"))
+    # one narrow row per sample, written once: the evaluation behind it runs a single time
+    wide = durable(ev.filter(F.col("selector").isin(*names)).groupBy("sample_id", "stratum").pivot("selector", names).agg(F.max("coverage")))
     pairs = F.array(*[
         F.struct(F.lit(i * len(baselines) + j).alias("pos"), F.lit(s).alias("selector"), F.lit(b).alias("baseline"), F.col(s).alias("treatment"), F.col(b).alias("control"))
         for i, s in enumerate(selectors) for j, b in enumerate(baselines)
@@ -37,10 +39,10 @@ def stratum_report(
     table = holm(table, ["stratum"], "_p", ["pos"], alpha)
     shown = lambda c: F.when(enough, F.col(c)).alias(c)
     positive = F.coalesce(F.col("estimate") > 0, F.lit(False)) & enough
-    return table.select(
+    return durable(table.select(
         "stratum", "selector", "baseline", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), shown("estimate"), shown("low"), shown("high"),
         shown("cohens_d"), shown("p_value"), positive.alias("positive"), (F.col("holm_reject") & positive).alias("significant"),
-    )
+    ))
 
 
 def coverage_means(ev: DataFrame) -> DataFrame:
