@@ -1,8 +1,7 @@
-"""Ranks inside groups that may be arbitrarily large.
+"""Ranks, running sums and order statistics inside groups of any size.
 
-``rank_in_group`` uses a plain window while every group is small enough for one
-task. Once a group is larger, the table is range-sorted over the whole cluster,
-checkpointed, and local positions are shifted by per-partition offsets, so no
+There is one plan for all sizes: a range sort over the cluster, written once, local
+positions within each partition, and offsets from one row per group and partition. No
 group is ever held by a single task.
 """
 
@@ -13,17 +12,6 @@ from pyspark.sql import functions as F
 
 from spanframe.session import durable
 
-HOT_GROUP_ROWS = 5_000_000
-
-
-def has_hot_group(df: DataFrame, group: list[str], limit: int = HOT_GROUP_ROWS) -> bool:
-    """True when one group holds more rows than a single task should sort."""
-    if group:
-        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-        return bool(sizes.limit(1).count())
-    return df.count() > limit
-
-
 def sorted_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Exact 1-based rank per group from one range-partitioned sort of all rows."""
     ordered = df.sort(*[F.col(g) for g in group], *order).withColumn("_mid", F.monotonically_increasing_id())
@@ -50,23 +38,9 @@ def sorted_rank(df: DataFrame, group: list[str], order: list[Column], name: str
     )
 
 
-def rank_in_group(
-    df: DataFrame,
-    group: list[str],
-    order: list[Column],
-    name: str = "rank",
-    sizes: DataFrame | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
-    """1-based ``row_number`` per group under a total order.
-
-    ``sizes`` may be any cheaper table with one row per counted row of ``df``
-    (the group columns are enough); it is only used for the size check.
-    """
-    if has_hot_group((sizes if sizes is not None else df), group, hot_rows) or not group:
-        return sorted_rank(df, group, order, name)
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """1-based ``row_number`` per group under a total order."""
+    return sorted_rank(df, group, order, name)
 
 
 def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -94,13 +68,13 @@ def attach_group(df: DataFrame, facts: DataFrame, keys: list[str], size_col: str
     """Join per-group ``facts`` back to the rows, splitting hot groups over salts.
 
     A group above ``hot_rows`` rows is replicated once per million rows on the facts
-    side and its rows are spread over the copies. There are at most
-    rows/``hot_rows`` hot groups, which bounds the broadcast list of them.
+    side and its rows are spread over the copies. There are at most rows/``hot_rows`` hot
+    groups; how their list is joined is left to the planner.
     """
     hot = facts.filter(F.col(size_col) > hot_rows).select(
         *keys, F.ceil(F.col(size_col) / F.lit(float(hot_rows))).cast("int").alias("_salts")
     )
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(
+    rows = df.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce("_salts", F.lit(1))).cast("int")

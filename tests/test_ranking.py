@@ -1,5 +1,6 @@
 """Hot-group paths must give what the plain window gives."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import ranking
@@ -13,17 +14,27 @@ def _rows(spark):
 def test_sorted_rank_equals_window(spark):
     df = _rows(spark)
     order = [F.col("x").desc(), F.col("id")]
-    plain = {(r.id, r["rank"]) for r in ranking.rank_in_group(df, ["g"], order).collect()}
-    spread = {(r.id, r["rank"]) for r in ranking.rank_in_group(df, ["g"], order, hot_rows=10).collect()}
-    assert plain == spread
+    plain = {(r.id, r["rank"]) for r in df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).collect()}
+    assert plain == {(r.id, r["rank"]) for r in ranking.rank_in_group(df, ["g"], order).collect()}
 
 
-def test_order_values_hot_equals_plain(spark):
+def test_order_values_equal_sorted_lists(spark):
     df = _rows(spark)
     pos = {"lo": lambda n: F.floor(n / 4), "hi": lambda n: n - 1}
-    a = {tuple(r) for r in ranking.order_values(df, ["g"], "x", pos).collect()}
-    b = {tuple(r) for r in ranking.order_values(df, ["g"], "x", pos, hot_rows=5).collect()}
-    assert a == b
+    got = {(r.g, r.tag): r.value for r in ranking.order_values(df, ["g"], "x", pos).collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.g, []).append(r.x)
+    for g, xs in groups.items():
+        xs.sort()
+        assert got[(g, "lo")] == xs[len(xs) // 4] and got[(g, "hi")] == xs[-1]
+
+
+def test_running_sums_over_partitions(spark):
+    df = _rows(spark).groupBy("g", "x").count()
+    w = Window.partitionBy("g").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
+    want = {tuple(r) for r in df.withColumn("t", F.sum("count").over(w)).collect()}
+    assert want == {tuple(r) for r in ranking.running_sums(df, ["g"], [F.desc("x")], {"count": "t"}).collect()}
 
 
 def test_attach_group_salts_hot_groups(spark):
