@@ -152,9 +152,10 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [64, 2, 1])
-def test_line_dedup(docs, none, spark, crowd):
-    """Small crowds send most lines through the second join."""
+@pytest.mark.parametrize("crowd", [4096, 9, 2])
+def test_line_dedup(docs, none, spark, crowd, monkeypatch):
+    """Small crowds and few partners send most lines through the second join."""
+    monkeypatch.setattr(line_dedup, "FEW", 8 if crowd > 9 else 1)
     import random
 
     random.seed(5)
