@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import partitions, slot_marks
+from spanframe.llm.near_copies import similar_components
 from spanframe.llm.registry import query, table
 from spanframe.operators.components import connected_components
 from spanframe.session import durable
@@ -173,17 +174,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: the smallest by (id, place in the table).
 
-    Linked fingerprints share well over 0.8 of their shingles. A null id is the smallest;
-    rows may repeat; all columns stay. The input must give the same rows when read again:
-    a table or a checkpoint. Only rows that may go are shuffled.
+    Rows link if the Jaccard similarity of their shingles reaches the threshold, by the exact
+    join of ``near_copies``: fingerprints within a few bits miss most pairs near 0.8. A null id
+    is the smallest; rows may repeat; all columns stay. The input must give the same rows
+    when read again: a table or a checkpoint. Only rows that may go are shuffled.
     """
     placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = placed.select(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("at"), F.col(text_col).alias("text"))
-    found = simhash_components(rows, "at", "text", words, radius)
-    gone = durable(found.filter(F.col("at.row") != F.col("component_id.row")).select(F.col("at.row").alias("_row")))
+    rows = placed.select(F.col(id_col).alias("id"), F.col("_row").alias("row"), F.col(text_col).alias("text"))
+    found = similar_components(rows, words, threshold)
+    gone = durable(found.filter(F.col("row") != F.col("low.row")).select(F.col("row").alias("_row")))
     marked = slot_marks(placed, "_row", gone, "_row")
     likely = marked.filter("_marked").join(gone, "_row", "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]
