@@ -3,7 +3,7 @@
 Pre-tokenisation takes a single space between two words together with the word after
 it, so a text without runs of white space is the join of its space-led words, and a
 word has the same ids wherever it occurs. Ids are kept as little-endian uint32 bytes.
-Other texts are encoded whole.
+Other texts are encoded whole, and so are texts that spell out an added token.
 """
 
 from __future__ import annotations
@@ -43,15 +43,18 @@ class ByteBpe:
     """``folder`` holds byte_bpe_50k.json and byte_bpe_50k.tiktoken, one vocabulary in two formats.
 
     The rank file encodes short chunks (it is the faster library), the JSON file long
-    ones; tests hold both against each other."""
+    ones; tests hold both against each other. An added token that a text spells out is
+    text like any other if ``literal``; else the text goes to the JSON tokenizer at its
+    defaults, which give the token its own id."""
 
-    def __init__(self, folder: str, room: int = 300_000):
+    def __init__(self, folder: str, room: int = 300_000, literal: bool = True):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(os.path.join(folder, f"{VOCABULARY}.json"))
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = literal
+        self.added = () if literal else tuple(t.content for t in self.full.get_added_tokens_decoder().values())
         with open(os.path.join(folder, f"{VOCABULARY}.tiktoken"), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.short = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
@@ -65,7 +68,7 @@ class ByteBpe:
         """Ids as little-endian uint32 bytes."""
         if not text:
             return b""
-        if _RUN.search(text):
+        if _RUN.search(text) or any(t in text for t in self.added):
             return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         memo = self.memo
@@ -85,9 +88,9 @@ def default_folder() -> str:
     return os.path.dirname(public_tokenizers.path(f"{VOCABULARY}.json"))
 
 
-def open_bpe(folder: str | None = None) -> ByteBpe:
-    """One instance per Python worker, kept between tasks."""
-    key = (folder,)
+def open_bpe(folder: str | None = None, literal: bool = True) -> ByteBpe:
+    """One instance of each kind per Python worker, kept between tasks."""
+    key = (folder, literal)
     if key not in _OPEN:
-        _OPEN[key] = ByteBpe(folder or default_folder())
+        _OPEN[key] = ByteBpe(folder or default_folder(), literal=literal)
     return _OPEN[key]

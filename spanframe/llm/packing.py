@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        bpe = open_bpe(folder)
+        bpe = open_bpe(folder, literal=False)
         for b in batches:
             at, out = [], ([], [], [], [], [])
             for row, text in enumerate(b.column(1)):
