@@ -43,27 +43,23 @@ def unescape(text: str) -> str:
     return _BACK.sub(lambda m: ESCAPE if m[1] == "0" else CONTROLS[int(m[1]) - 1][0], text)
 
 
-def _splice(role: str, text: str, bpe) -> tuple[bytes, int, int, int]:
-    """Ids of a turn, loss start and end in tokens, characters of the formatted turn."""
-    raw = escape(text)
-    body = bpe.encode(raw)
+def _splice(role: str, text: str, bpe) -> tuple[bytes, int, int]:
+    """Ids of a turn, loss start and end in tokens."""
+    body = bpe.encode(escape(text))
     known = role in _OPENING
     head, tail = (_OPENING[role], _CLOSING[role]) if known else ((6,), (1,))
     ids = b"".join((RESERVED + i).to_bytes(4, "little") for i in head)
-    chars = sum(len(CONTROLS[i]) for i in (*head, *tail)) + len(raw)
     if not known:  # any other role is named: [ROLE]name[/ROLE]text</s>
-        name = escape(role)
-        ids += bpe.encode(name) + (RESERVED + 7).to_bytes(4, "little")
-        chars += len(name) + len(CONTROLS[7])
+        ids += bpe.encode(escape(role)) + (RESERVED + 7).to_bytes(4, "little")
     start = len(ids) // 4
     ids += body
     end = len(ids) // 4
     ids += b"".join((RESERVED + i).to_bytes(4, "little") for i in tail)
-    return ids, start, (end if role == "assistant" else start), chars
+    return ids, start, (end if role == "assistant" else start)
 
 
 def encode_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", folder: str | None = None) -> DataFrame:
-    """(conv, turn, ids, loss_start, loss_end, n_tokens, n_chars) per row; each row by itself, so a
+    """(conv, turn, ids, loss_start, loss_end, n_tokens) per row; each row by itself, so a
     long conversation or a common text is no burden to one task."""
     kinds = [turns.schema[c].dataType.simpleString() for c in (conv, turn)]
 
@@ -71,14 +67,14 @@ def encode_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         bpe = open_bpe(folder)
         for b in batches:
             parts = [_splice(r.as_py() or "", t.as_py() or "", bpe) for r, t in zip(b.column(2), b.column(3))]
-            ids, lo, hi, chars = (list(x) for x in zip(*parts)) if parts else ([], [], [], [])
+            ids, lo, hi = (list(x) for x in zip(*parts)) if parts else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()),
-                 pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(chars, pa.int64())],
-                names=["conv", "turn", "ids", "loss_start", "loss_end", "n_tokens", "n_chars"])
+                 pa.array([len(x) // 4 for x in ids], pa.int64())],
+                names=["conv", "turn", "ids", "loss_start", "loss_end", "n_tokens"])
 
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, ids binary, loss_start int, loss_end int, n_tokens bigint, n_chars bigint")
+    return rows.mapInArrow(run, f"conv {kinds[0]}, turn {kinds[1]}, ids binary, loss_start int, loss_end int, n_tokens bigint")
 
 
 def in_order(segments: DataFrame) -> DataFrame:
@@ -111,30 +107,33 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
             place = np.asarray(starts, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("conv"), b.column("turn"), b.column("ids"), pa.array(place, pa.int64()),
-                 pa.array(place + b.column("loss_start").to_numpy(), pa.int64()), pa.array(place + b.column("loss_end").to_numpy(), pa.int64()), b.column("n_chars")],
-                names=["conv", "turn", "ids", "token_start", "loss_start", "loss_end", "n_chars"])
+                 pa.array(place + b.column("loss_start").to_numpy(), pa.int64()), pa.array(place + b.column("loss_end").to_numpy(), pa.int64())],
+                names=["conv", "turn", "ids", "token_start", "loss_start", "loss_end"])
 
     c, t = (fields[x].dataType.simpleString() for x in ("conv", "turn"))
-    return segments.mapInArrow(run, f"conv {c}, turn {t}, ids binary, token_start bigint, loss_start bigint, loss_end bigint, n_chars bigint")
+    return segments.mapInArrow(run, f"conv {c}, turn {t}, ids binary, token_start bigint, loss_start bigint, loss_end bigint")
 
 
-def _read_segment(ids: np.ndarray, pieces: list[bytes]) -> tuple[str, str]:
-    """Role and text of a segment, from its ids alone."""
+def _read_segment(ids: np.ndarray, pieces: list[bytes]) -> tuple[str, str, int]:
+    """Role, text and formatted characters of a segment, from its ids alone."""
     marks = np.flatnonzero(ids >= RESERVED)
     kinds = (ids[marks] - RESERVED).tolist()
-    plain = lambda a, b: unescape(b"".join([pieces[i] for i in ids[a:b].tolist()]).decode())
+    bounds = zip([0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])
+    held = [b"".join([pieces[i] for i in ids[a:b].tolist()]).decode() for a, b in bounds]  # still escaped
+    chars = sum(map(len, held)) + sum(len(CONTROLS[k]) for k in kinds)
     if kinds[0] == 6:
-        return plain(1, marks[1]), plain(marks[1] + 1, marks[2])
+        return unescape(held[1]), unescape(held[2]), chars
     if kinds[0] == 0:
-        return ("user" if kinds[1] == 2 else "system"), plain(2, marks[2])
-    return "assistant", plain(0, marks[0])
+        return ("user" if kinds[1] == 2 else "system"), unescape(held[2]), chars
+    return "assistant", unescape(held[0]), chars
 
 
 def read_back(formatted: DataFrame, folder: str | None = None) -> DataFrame:
     """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Read from the ids and spans only: roles from the reserved ids, texts by decoding what
-    lies between them, the loss text from the loss spans. Digests run along the sorted
+    lies between them, the loss text from the loss spans, characters from the texts as they
+    stand, still escaped, and the control strings of the reserved ids. Digests run along the sorted
     rows and hold one segment at a time.
     """
     kind = formatted.schema["conv"].dataType.simpleString()
@@ -150,13 +149,13 @@ def read_back(formatted: DataFrame, folder: str | None = None) -> DataFrame:
             done.append((last, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
 
         for b in batches:
-            for c, raw, at, lo, hi, chars in zip(*(b.column(x).to_pylist() for x in ("conv", "ids", "token_start", "loss_start", "loss_end", "n_chars"))):
+            for c, raw, at, lo, hi in zip(*(b.column(x).to_pylist() for x in ("conv", "ids", "token_start", "loss_start", "loss_end"))):
                 if state is None or c != last:
                     if state is not None:
                         close()
                     last, state = c, [hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 ids = np.frombuffer(raw, "<u4")
-                role, text = _read_segment(ids, pieces)
+                role, text, chars = _read_segment(ids, pieces)
                 state[0].update(f"{role}\n{text}\n".encode())
                 state[1] += 1
                 learnt = unescape(b"".join([pieces[i] for i in ids[lo - at : hi - at].tolist()]).decode())
