@@ -6,7 +6,7 @@ import importlib
 
 from spanframe.llm import registry
 
-MODULES = ("piece_codec", "licenses", "exact_dedup", "html_text", "simhash", "multi_index", "line_dedup", "packing", "quality", "chat", "divergence", "lexical")
+MODULES = ("piece_codec", "licenses", "exact_dedup", "html_text", "simhash", "multi_index", "line_dedup", "packing", "quality", "chat", "divergence", "lexical", "collocations")
 
 
 def _load() -> None:
