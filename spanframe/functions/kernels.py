@@ -59,20 +59,61 @@ def tile_entropy_batches(size: int):
     return run
 
 
+def known_symbols(content, runs) -> tuple[np.ndarray, np.ndarray | None]:
+    """Symbols of one sample and their positions; with ``runs`` only those inside a run.
+
+    Positions are None for a sample without a mask: its symbols stand side by side.
+    """
+    codes = codes_of(content or b"")
+    if runs is None:
+        return codes, None
+    cuts = [(max(0, r["lo"]), min(codes.size, r["hi"])) for r in runs if r["lo"] < codes.size]
+    if not cuts:
+        return codes[:0], np.zeros(0, np.int64)
+    return np.concatenate([codes[lo:hi] for lo, hi in cuts]), np.concatenate([np.arange(lo, hi) for lo, hi in cuts])
+
+
+def fill_batches(batches):
+    """(sample_id, size, offs, bytes, runs) -> (sample_id, content, runs); unknown bytes are zero."""
+    for batch in batches:
+        out = []
+        for size, offs, values in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            data = np.zeros(size, np.uint8)
+            data[offs or []] = values or []
+            out.append(data.tobytes())
+        runs = [r or [] for r in batch.column(4).to_pylist()]
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(runs, kind)], names=["sample_id", "content", "runs"])
+
+
+def _samples(batch):
+    """(sample_id, content, runs) of each row; runs are None where the batch has no mask."""
+    runs = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+    masked = batch.num_columns > 2
+    for sid, content, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), runs):
+        yield sid, content, (own or []) if masked else None
+
+
 def histogram_batches(size: int | None):
-    """(sample_id, content) -> (sample_id, tile, code, cnt), already summed per tile."""
+    """(sample_id, content[, runs]) -> (sample_id, tile, code, cnt), already summed per tile."""
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for sid, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = codes_of(content or "")
-                counts, alphabet = tile_counts(codes, size or max(1, codes.size))
-                t, a = np.nonzero(counts)
+            for sid, content, runs in _samples(batch):
+                codes, at = known_symbols(content, runs)
+                if at is None:
+                    counts, alphabet = tile_counts(codes, size or max(1, codes.size))
+                    t, a = np.nonzero(counts)
+                    cnt = counts[t, a]
+                    a = alphabet[a]
+                else:
+                    key, cnt = np.unique((at // size if size else at * 0) * 0x110000 + codes, return_counts=True)
+                    t, a = key // 0x110000, key % 0x110000
                 out[0].append(np.full(t.size, sid, dtype=np.int64))
                 out[1].append(t.astype(np.int64))
-                out[2].append(alphabet[a].astype(np.int64))
-                out[3].append(counts[t, a].astype(np.int64))
+                out[2].append(a.astype(np.int64))
+                out[3].append(cnt.astype(np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x)) for x in out], names=["sample_id", "tile", "code", "cnt"]
@@ -82,23 +123,25 @@ def histogram_batches(size: int | None):
 
 
 def bigram_batches(buckets: int, block: int | None = None):
-    """(sample_id, bytes) -> sparse counts (sample_id, block, kind, bucket, cnt).
+    """(sample_id, bytes[, runs]) -> sparse counts (sample_id, block, kind, bucket, cnt).
 
-    ``kind`` 0 is the byte histogram, 1 the hashed pair histogram. With ``block``
-    each block's own bytes and inner pairs are counted separately.
+    ``kind`` 0 is the byte histogram, 1 the hashed pair histogram, 2 marks a sample without
+    bytes by one row. With ``block`` each block's own bytes and inner pairs are counted
+    separately. Known bytes count as neighbours across what is unknown between them.
     """
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for sid, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(content or b"", dtype=np.uint8).astype(np.int64)
+            for sid, content, runs in _samples(batch):
+                data, _ = known_symbols(content, runs)
+                data = data.astype(np.int64)
                 step = block or max(1, data.size)
                 for b in range(max(1, -(-data.size // step))):
                     part = data[b * step : (b + 1) * step]
                     uni = np.bincount(part, minlength=256)
                     pairs = np.bincount(((part[:-1] << 8) | part[1:]) % buckets, minlength=buckets) if part.size > 1 else np.zeros(0, dtype=np.int64)
-                    for kind, counts in ((0, uni), (1, pairs)):
+                    for kind, counts in ((0, uni), (1, pairs), (2, np.array([int(data.size == 0)]))):
                         nz = np.nonzero(counts)[0]
                         out[0].append(np.full(nz.size, sid, dtype=np.int64))
                         out[1].append(np.full(nz.size, b, dtype=np.int64))

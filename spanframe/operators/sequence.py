@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from spanframe.functions import kernels
 
 
-def _content(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("content"))
+def _content(df: DataFrame, id_col: str, text_col: str, valid: str | None = None) -> DataFrame:
+    mask = [F.col(valid).alias("runs")] if valid else []
+    return df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("content"), *mask)
 
 
-def symbol_histogram(df: DataFrame, id_col: str, text_col: str, size: int | None = None) -> DataFrame:
-    """Counts per (sample, tile, code); ``size=None`` makes the whole sample one tile."""
-    return _content(df, id_col, text_col).mapInArrow(
+def symbol_histogram(df: DataFrame, id_col: str, text_col: str, size: int | None = None, valid: str | None = None) -> DataFrame:
+    """Counts per (sample, tile, code); ``size=None`` makes the whole sample one tile.
+
+    ``valid`` names a column of runs (array of lo, hi); symbols outside them are unknown and
+    count nowhere. A null list has no run. Tiles are cut by position, known or not.
+    """
+    return _content(df, id_col, text_col, valid).mapInArrow(
         kernels.histogram_batches(size), "sample_id bigint, tile bigint, code bigint, cnt bigint"
     )
 
@@ -62,21 +67,22 @@ def entropy_guide(df: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     return tile_entropy(df, id_col, text_col, size).filter(F.col("n_units") > 0).withColumn("guide", F.col("entropy") / 8.0)
 
 
+def _row_sums(hist: DataFrame) -> DataFrame:
+    c, code = F.col("cnt"), F.col("code")
+    return hist.groupBy("sample_id", F.col("tile").alias("row")).agg(
+        F.sum(code * c).alias("_total"), F.sum(c).alias("_n"), F.sum(F.when(code == 0, c).otherwise(0)).alias("_zeros"),
+        F.sum(F.when(code > 0, c * F.log2(F.greatest(c, F.lit(1)))).otherwise(0.0)).alias("_spread"), F.count(F.when(code > 0, F.lit(1))).alias("_codes"),
+    )
+
+
 def row_statistics(df: DataFrame, id_col: str, bytes_col: str, width: int = 512) -> DataFrame:
     """Mean, entropy and distinct share of the bytes of each row of ``width`` bytes.
 
     The last row is filled up with zero bytes, which are a count of code 0; a sample
     without bytes has one row of zeros.
     """
-    hist = symbol_histogram(df, id_col, bytes_col, width)
-    c, code = F.col("cnt"), F.col("code")
-    per = hist.groupBy("sample_id", F.col("tile").alias("row")).agg(
-        F.sum(code * c).alias("_total"), F.sum(c).alias("_n"), F.sum(F.when(code == 0, c).otherwise(0)).alias("_zeros"),
-        F.sum(F.when(code != 0, c * F.log2(c)).otherwise(0.0)).alias("_spread"), F.count(F.when(code != 0, F.lit(1))).alias("_codes"),
-    )
-    none = df.filter(F.coalesce(F.length(bytes_col), F.lit(0)) == 0).select(F.col(id_col).cast("bigint").alias("sample_id"))
-    long = lambda v: F.lit(v).cast("bigint")
-    per = per.unionByName(none.select("sample_id", long(0).alias("row"), long(0).alias("_total"), long(0).alias("_n"), long(0).alias("_zeros"), F.lit(0.0).alias("_spread"), long(0).alias("_codes")))
+    filled = df.select(F.col(id_col).alias("sample_id"), F.when(F.length(bytes_col) > 0, F.col(bytes_col)).otherwise(F.lit(b"\0")).alias("content"))
+    per = _row_sums(symbol_histogram(filled, "sample_id", "content", width))
     zeros = F.col("_zeros") + width - F.col("_n")
     spread_ = F.col("_spread") + F.when(zeros > 0, zeros * F.log2(F.greatest(zeros, F.lit(1)))).otherwise(0.0)
     return per.select(
@@ -85,27 +91,36 @@ def row_statistics(df: DataFrame, id_col: str, bytes_col: str, width: int = 512)
     )
 
 
-def bigram_counts(df: DataFrame, id_col: str, bytes_col: str, buckets: int = 1024, block: int | None = None) -> DataFrame:
-    return _content(df, id_col, bytes_col).mapInArrow(
+def valid_row_statistics(df: DataFrame, id_col: str, bytes_col: str, valid: str, width: int = 512) -> DataFrame:
+    """The same figures over the known bytes of each row alone, and their number; a row without any is absent."""
+    per = _row_sums(symbol_histogram(df, id_col, bytes_col, width, valid))
+    n, zeros = F.col("_n"), F.col("_zeros")
+    spread_ = F.col("_spread") + F.when(zeros > 0, zeros * F.log2(F.greatest(zeros, F.lit(1)))).otherwise(0.0)
+    return per.select(
+        "sample_id", "row", n.alias("n_valid"), (F.col("_total") / n / 255.0).alias("mean"), ((F.log2(n) - spread_ / n) / 8.0).alias("entropy"),
+        ((F.col("_codes") + (zeros > 0).cast("int")) / 256.0).alias("distinct"),
+    )
+
+
+def bigram_counts(df: DataFrame, id_col: str, bytes_col: str, buckets: int = 1024, block: int | None = None, valid: str | None = None) -> DataFrame:
+    """Sparse counts; a sample without (known) bytes has one row of kind 2."""
+    return _content(df, id_col, bytes_col, valid).mapInArrow(
         kernels.bigram_batches(buckets, block), "sample_id bigint, block bigint, kind int, bucket bigint, cnt bigint"
     )
 
 
-def hashed_bigram_features(df: DataFrame, id_col: str, bytes_col: str, buckets: int = 1024) -> DataFrame:
+def hashed_bigram_features(df: DataFrame, id_col: str, bytes_col: str, buckets: int = 1024, valid: str | None = None) -> DataFrame:
     """Sparse L1-normalised features: index below 256 is a byte, above it a hashed pair.
 
     A sample without bytes has the uniform byte part and no pairs, so no sample is lost.
+    With ``valid``, a column of runs, unknown bytes count in neither part.
     """
-    counts = bigram_counts(df, id_col, bytes_col, buckets)
+    counts = bigram_counts(df, id_col, bytes_col, buckets, None, valid)
     total = F.sum("cnt").over(Window.partitionBy("sample_id", "kind"))
-    known = counts.select(
-        "sample_id",
-        (F.col("bucket") + F.when(F.col("kind") == 1, 256).otherwise(0)).alias("index"),
-        (F.col("cnt") / total).alias("value"),
-    )
-    none = df.filter(F.coalesce(F.length(bytes_col), F.lit(0)) == 0).select(F.col(id_col).cast("bigint").alias("sample_id"))
-    flat = none.select("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))).alias("index"), F.lit(1.0 / 256).alias("value"))
-    return known.unionByName(flat)
+    shared = counts.select("sample_id", "kind", "bucket", (F.col("cnt") / total).alias("value"))
+    even = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint")), lambda i: F.struct(i.alias("index"), F.lit(1.0 / 256).alias("value")))
+    own = F.array(F.struct((F.col("bucket") + F.when(F.col("kind") == 1, 256).otherwise(0)).alias("index"), F.col("value").alias("value")))
+    return shared.select("sample_id", F.explode(F.when(F.col("kind") == 2, even).otherwise(own)).alias("f")).select("sample_id", "f.index", "f.value")
 
 
 def boundary_score(tiles: DataFrame, key: str = "sample_id", idx: str = "tile", value: str = "entropy", name: str = "boundary") -> DataFrame:

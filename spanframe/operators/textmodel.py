@@ -60,7 +60,7 @@ def block_necessity(model: LogisticRegressionModel, df: DataFrame, bytes_col: st
     drops the block's own pairs. df: sample_id, content bytes, label.
     """
     spark = df.sparkSession
-    counts = bigram_counts(df, "sample_id", bytes_col, BUCKETS, block)
+    counts = bigram_counts(df, "sample_id", bytes_col, BUCKETS, block).filter("kind < 2")
     n_classes = model.numClasses
     coef = F.broadcast(coefficients(model, spark))
     per = counts.join(coef, ["kind", "bucket"]).groupBy("sample_id", "block", "cls").agg(

@@ -360,7 +360,7 @@ BOXB = ENC + """, bx as (select image_id % 1500 as sample_id, x1 as x, y1 as y,
 pb as (select r.sample_id as key, lo * stride as lo, least(least(lo + w, n_pixels) * stride, n_source) as hi from rw r join en using (sample_id) where mode not like 'opcode%' and lo < n_pixels), src as (select * from pb where lo < hi), """ + ISLANDS
 
 
-@query("d19_bbox_to_bytes", f"with {BOXB} select key as sample_id, lo, hi from norm", ("v_box",))
+@query("d19_bbox_to_bytes", f"with {BOXB} select key as sample_id, lo, hi from norm", ("v_box", "v_iv"))
 def d19b(spark, sf):
     b = view(spark, sf, "v_box").select((F.col("image_id") % 1500).alias("sample_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), "w", "h")
     return coordinates.bbox_to_bytes(b, _enc(spark, sf), 640)
@@ -370,6 +370,7 @@ def d19b(spark, sf):
     "d19_mask_to_bytes",
     f"""with {ENC}, p as (select distinct user_id as sample_id, event_id as pos from events), s as (select p.sample_id as key, pos * stride as lo, least((pos + 1) * stride, n_source) as hi from p join en using (sample_id) where mode not like 'opcode%'),
     src as (select * from s), {ISLANDS} select key as sample_id, lo, hi from norm""",
+    ("v_iv",),
 )
 def d19m(spark, sf):
     m = view(spark, sf, "events").select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("pos"))

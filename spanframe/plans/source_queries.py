@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spanframe.operators import regions, textmodel
+from spanframe.operators import regions, sequence, textmodel
 from spanframe.plans.cohort_queries import _manifest
 from spanframe.plans.region_queries import _layouts
 from spanframe.plans.registry import query
@@ -190,7 +190,31 @@ def _dump_text(spark, sf):
     union all select sample_id, ((n + 15) // 16)::int, 4198401, 4198400, 2 from nb""",
 )
 def a6(spark, sf):
-    return dumps.parse_hex_dumps(_dump_text(spark, sf), "text").drop("payload")
+    d = dumps.parse_hex_dumps(_dump_text(spark, sf), "text").drop("payload", "offset")
+    return d.withColumn("addr", F.col("addr").cast("bigint")).withColumn("base", F.col("base").cast("bigint"))
+
+
+def _wide_text(spark, sf):
+    """Lines from the top of the address space, one below the first, one with 18 digits and one with zeros in front."""
+    at = lambda c: F.concat(F.lit("FFFFF8"), F.lpad(F.hex(c), 10, "0"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("k"))
+    text = F.concat_ws("\n", *[F.concat(a, F.lit(" 55 8B EC")) for a in (
+        at(F.col("k") + 4096), at(F.col("k") + 4112), at(F.col("k") + 4095), F.concat(F.lit("12"), at(F.col("k"))), F.concat(F.lit("00"), at(F.col("k") + 5000)))])
+    return o.select("sample_id", text.alias("text"))
+
+
+@query(
+    "a6_wide_addresses",
+    """select o_orderkey as sample_id, i::int as line_no, (18446735277616529408::hugeint + o_custkey + d)::varchar as addr, (d - 4096)::bigint as "offset", null as reason
+      from orders, (values (0, 4096), (1, 4112), (4, 5000)) as v(i, d)
+    union all select o_orderkey, 2, (18446735277616529408::hugeint + o_custkey + 4095)::varchar, null, 'below_base' from orders
+    union all select o_orderkey, 3, null, null, 'address_too_long' from orders""",
+)
+def a6w(spark, sf):
+    d = _wide_text(spark, sf)
+    ok = dumps.parse_hex_dumps(d, "text").select("sample_id", "line_no", F.col("addr").cast("string").alias("addr"), "offset", F.lit(None).cast("string").alias("reason"))
+    value = F.when(F.col("reason") == "below_base", dumps._address(F.col("address")).cast("string"))
+    return ok.unionByName(dumps.refused_lines(d, "text").select("sample_id", "line_no", value.alias("addr"), F.lit(None).cast("bigint").alias("offset"), "reason"))
 
 
 ASM = HEX + """, cl as (select sample_id, off, case when off = 1 then 'AA' when off = 2 then '??' when off % 16 = 0 and off // 16 % 5 = 2 then '??' else b end as t from bt where off // 16 % 7 <> 6
@@ -210,12 +234,72 @@ def e14f(spark, sf):
     return f.withColumn("valid_fraction", F.round("valid_fraction", 9))
 
 
+def _masked(spark, sf):
+    valid, facts, _ = dumps.assemble_dump(dumps.parse_hex_dumps(_dump_text(spark, sf), "text"))
+    # a fifth of the samples has no valid byte at all
+    return dumps.masked_content(valid.filter("sample_id % 5 <> 0"), facts)
+
+
+KNOWN = ASM + """, vb as (select sample_id, off, ('0x' || t)::integer as b from cv where t <> '??' and sample_id % 5 <> 0), sm as (select distinct sample_id from cv)"""
+
+
+@query("e14_valid_runs", f"with {KNOWN}, g as (select *, off - row_number() over (partition by sample_id order by off) as isl from vb) select sample_id, min(off) as lo, max(off) + 1 as hi from g group by sample_id, isl")
+def e14r(spark, sf):
+    return _masked(spark, sf).select("sample_id", F.explode("runs").alias("r")).select("sample_id", "r.lo", "r.hi")
+
+
+@query("e1_masked_histogram", f"with {KNOWN} select sample_id, off // 64 as tile, b::bigint as code, count(*) as cnt from vb group by all")
+def e1m(spark, sf):
+    return sequence.symbol_histogram(_masked(spark, sf), "sample_id", "content", 64, "runs")
+
+
+@query(
+    "e1_masked_probabilities",
+    f"""with {KNOWN} select sample_id, b::bigint as code, round(count(*) / sum(count(*)) over (partition by sample_id), 9) as p from vb group by sample_id, b
+    union all select sample_id, unnest(range(256)), round(1 / 256.0, 9) from sm where sample_id % 5 = 0""",
+)
+def e1mp(spark, sf):
+    m = _masked(spark, sf)
+    p = sequence.symbol_probabilities(sequence.symbol_histogram(m, "sample_id", "content", None, "runs"), m)
+    return p.withColumn("p", F.round("p", 9))
+
+
+@query(
+    "e3_masked_rows",
+    f"""with {KNOWN}, h as (select sample_id, off // 512 as row, b, count(*) as c from vb group by all)
+    select sample_id, row, sum(c)::bigint as n_valid, round(sum(b * c) / sum(c) / 255.0, 9) as mean, round((log2(sum(c)) - sum(c * log2(c)) / sum(c)) / 8.0, 9) as entropy, round(count(*) / 256.0, 9) as "distinct" from h group by all""",
+)
+def e3m(spark, sf):
+    r = sequence.valid_row_statistics(_masked(spark, sf), "sample_id", "content", "runs")
+    return r.select("sample_id", "row", "n_valid", *[F.round(c, 9).alias(c) for c in ("mean", "entropy", "distinct")])
+
+
+@query(
+    "e4_masked_bigrams",
+    f"""with {KNOWN}, pr as (select sample_id, b, lead(b) over (partition by sample_id order by off) as nx from vb),
+    f as (select sample_id, b::bigint as index, 0 as kind from vb union all select sample_id, 256 + (b * 256 + nx) % 1024, 1 from pr where nx is not null),
+    c as (select sample_id, kind, index, count(*) as n from f group by all)
+    select sample_id, index, round(n / sum(n) over (partition by sample_id, kind), 9) as value from c
+    union all select sample_id, unnest(range(256)), round(1 / 256.0, 9) from sm where sample_id % 5 = 0""",
+)
+def e4m(spark, sf):
+    return sequence.hashed_bigram_features(_masked(spark, sf), "sample_id", "content", valid="runs").withColumn("value", F.round("value", 9))
+
+
 @query("a7_read_segment_listing", "select user_id as sample_id, '.' || event_type as name, min(4096 + event_id) as lo, max(4096 + event_id) as hi from events group by 1, 2")
 def a7(spark, sf):
     e = table(spark, sf, "events")
     line = F.concat(F.lit("."), "event_type", F.lit(":"), F.lpad(F.hex(F.col("event_id") + 4096), F.when(F.col("event_id") % 3 == 0, 8).when(F.col("event_id") % 3 == 1, 16).otherwise(6), "0"), F.lit("  mov"))
     t = e.groupBy(F.col("user_id").alias("sample_id")).agg(F.concat_ws("\n", F.collect_list(line), F.array(F.lit("; end"))).alias("text"))
-    return dumps.parse_segment_listing(t, "text")
+    return dumps.parse_segment_listing(t, "text").select("sample_id", "name", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+
+
+@query("a7_wide_addresses", "select c_custkey as sample_id, '.text' as name, (18446735277616529408::hugeint + c_custkey)::varchar as lo, (18446735277616529408::hugeint + c_custkey + 255)::varchar as hi from customer")
+def a7w(spark, sf):
+    line = lambda d: F.concat(F.lit(".text:FFFFF8"), F.lpad(F.hex(F.col("c_custkey") + d), 10, "0"), F.lit("  mov"))
+    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), F.concat_ws("\n", line(9), line(0), line(255)).alias("text"))
+    s = dumps.parse_segment_listing(t, "text")
+    return s.select("sample_id", "name", F.col("lo").cast("string").alias("lo"), F.col("hi").cast("string").alias("hi"))
 
 
 def _packed(spark, sf):

@@ -6,29 +6,51 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import kernels
+from spanframe.operators.intervals import normalize
 
 
 LINE = r"^([0-9A-Fa-f]+)\s+(.*\S)\s*$"  # an address of any width, then byte tokens
 LISTED = r"^([^:\s]+):([0-9A-Fa-f]{6,16})\b"  # a segment name and an address of 6 to 16 digits
 
 
-def _address(digits: Column) -> Column:
-    return F.conv(digits, 16, 10).cast("decimal(20,0)").cast("bigint")
+#: Addresses are unsigned 64-bit numbers: at most 16 digits after leading zeros.
+ADDRESS = "decimal(20,0)"
 
 
-def parse_hex_dumps(df: DataFrame, text: str) -> DataFrame:
-    """One row per address line: line_no, addr, base, payload, n_tokens.
+def _address(digits: Column) -> Column:
+    """The number that hex digits spell, null above 64 bits. Halves are converted apart, as long values overflow."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    padded = F.lpad(short, 16, "0")
+    half = lambda at: F.conv(F.substring(padded, at, 8), 16, 10).cast(ADDRESS)
+    return F.when(F.length(short) <= 16, (half(1) * F.lit(1 << 32).cast("decimal(10,0)") + half(9)).cast(ADDRESS))
 
-    Other lines are dropped, as are lines below the first line's address. df: sample_id
-    and the dump text. ``refused_dumps`` names the samples that have no such line.
-    """
+
+def _address_lines(df: DataFrame, text: str) -> DataFrame:
+    """Every line that starts with an address: its number, that of the sample's first line, and their distance."""
     lines = df.select("sample_id", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "_l"))
     hit = lines.select(
         "sample_id", "line_no", F.regexp_extract("_l", LINE, 1).alias("_a"), F.regexp_extract("_l", LINE, 2).alias("payload")
     ).filter("_a <> ''").withColumn("addr", _address(F.col("_a")))
-    base = F.first("addr").over(Window.partitionBy("sample_id").orderBy("line_no"))  # lines of one text row
-    out = hit.withColumn("base", base).filter(F.col("addr") >= F.col("base"))
-    return out.select("sample_id", "line_no", "addr", "base", "payload", F.size(F.split("payload", r"\s+")).alias("n_tokens"))
+    base = F.first("addr", ignorenulls=True).over(Window.partitionBy("sample_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return hit.withColumn("base", base).withColumn("offset", F.expr("try_cast(addr - base as bigint)"))  # lines of one text row
+
+
+def parse_hex_dumps(df: DataFrame, text: str) -> DataFrame:
+    """One row per address line: line_no, addr, base, offset, payload, n_tokens.
+
+    Addresses are decimal(20,0), so any 64-bit one fits; ``offset`` is the distance from the
+    first. Other lines are dropped; ``refused_lines`` lists the address lines that are. df:
+    sample_id and the dump text. ``refused_dumps`` names the samples that have no such line.
+    """
+    out = _address_lines(df, text).filter("offset >= 0")
+    return out.select("sample_id", "line_no", "addr", "base", "offset", "payload", F.size(F.split("payload", r"\s+")).alias("n_tokens"))
+
+
+def refused_lines(df: DataFrame, text: str) -> DataFrame:
+    """(sample_id, line_no, address, reason) of address lines that hold no place: over 64 bits, below
+    the first address, or further from it than a signed 64-bit distance."""
+    reason = F.when(F.col("addr").isNull(), "address_too_long").when(F.col("addr") < F.col("base"), "below_base").when(F.col("offset").isNull(), "too_far")
+    return _address_lines(df, text).select("sample_id", "line_no", F.col("_a").alias("address"), reason.alias("reason")).filter("reason is not null")
 
 
 def refused_dumps(df: DataFrame, text: str) -> DataFrame:
@@ -48,8 +70,8 @@ def read_hex_dumps(spark: SparkSession, path: str) -> DataFrame:
 
 def assemble_dump(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(valid bytes, per-sample facts, malformed tokens); a later line wins, ``??`` and gaps are not bytes."""
-    tok = lines.select("sample_id", "line_no", "addr", "base", F.posexplode(F.split("payload", r"\s+")).alias("i", "t"))
-    tok = tok.withColumn("off", F.col("addr") - F.col("base") + F.col("i"))
+    tok = lines.select("sample_id", "line_no", "offset", F.posexplode(F.split("payload", r"\s+")).alias("i", "t"))
+    tok = tok.withColumn("off", F.col("offset") + F.col("i"))
     shaped = F.col("t").rlike("^([0-9A-Fa-f]{2}|[?]{2})$")
     bad = tok.filter(~shaped).select("sample_id", "line_no", "i", F.col("t").alias("token"))
     cell = tok.filter(shaped).groupBy("sample_id", "off").agg(F.max_by("t", "line_no").alias("t"))
@@ -58,8 +80,26 @@ def assemble_dump(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return valid, facts.withColumn("valid_fraction", F.col("n_valid") / F.col("size")), bad
 
 
+def valid_runs(valid: DataFrame) -> DataFrame:
+    """(sample_id, lo, hi): runs of neighbouring valid bytes, of a sample of any size."""
+    return normalize(valid.select("sample_id", F.col("off").alias("lo"), (F.col("off") + 1).alias("hi")), ["sample_id"])
+
+
+def masked_content(valid: DataFrame, facts: DataFrame) -> DataFrame:
+    """(sample_id, content, runs): the bytes of each dump, zero where unknown, and its valid runs.
+
+    A sample's content is one row value, like everywhere in the library. ``facts`` keeps
+    the samples without a valid byte; they have no run.
+    """
+    runs = valid_runs(valid).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    cells = valid.groupBy("sample_id").agg(F.collect_list("off").alias("offs"), F.collect_list("byte").alias("bytes"))
+    rows = facts.select("sample_id", "size").join(cells, "sample_id", "left").join(runs, "sample_id", "left")
+    return rows.select("sample_id", "size", "offs", "bytes", "runs").mapInArrow(
+        kernels.fill_batches, f"sample_id {dict(valid.dtypes)['sample_id']}, content binary, runs array<struct<lo:bigint,hi:bigint>>")
+
+
 def parse_segment_listing(df: DataFrame, text: str) -> DataFrame:
-    """Lowest and highest address per segment name of ``name:ADDR`` lines."""
+    """Lowest and highest address, decimal(20,0), per segment name of ``name:ADDR`` lines."""
     lines = df.select("sample_id", F.explode(F.split(text, "\r?\n")).alias("_l"))
     hit = lines.select("sample_id", F.regexp_extract("_l", LISTED, 1).alias("name"), F.regexp_extract("_l", LISTED, 2).alias("_a")).filter("_a <> ''")
     addr = _address(F.col("_a"))
