@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanframe.operators import intervals, sequence, spans
+from spanframe.operators import headers, intervals, sequence, spans
 from spanframe.plans import flagship
 from spanframe.plans.registry import query
 from spanframe.plans.sql_parts import CHARS, ENTROPY, MERGED, RANKS, SPANS
@@ -255,6 +255,51 @@ def d21s(spark, sf):
     return spans.span_summary(spans.literal_spans(_docs(spark, sf), "doc_id", "text", flagship.RULES))
 
 
+#: Planted headers, in ASCII: pointer 64, one to three sections, an optional part of 96 bytes.
+PIECE = 97
+
+
+def _planted(spark, sf):
+    """Texts with a header at their start, in the middle twice in a row (the second lies in the region
+    of the first), a bare mark, a header of no sections and one at the end, cut into pieces."""
+    z = lambda n: F.repeat(F.lit("\0"), n)
+    n = F.chr(F.col("doc_id") % 3 + 1)
+
+    def header(sections, gap):
+        return F.concat(F.lit("MZ"), z(58), F.chr(F.lit(64 + gap)), z(3 + gap), F.lit("PE"), z(4), sections, z(13), F.lit("`"), z(3), F.chr(F.lit(11)), F.chr(F.lit(1)))
+
+    t = F.regexp_replace("text", "[^\\x00-\\x7F]", "?")
+    half = (F.length(t) / 2).cast("int")
+    whole = F.concat(
+        header(n, 0), F.substring(t, F.lit(1), half), header(n, 0), header(n, 0), F.substring(t, half + 1, F.length(t)), F.lit("MZ"), header(F.lit("\0"), 0), F.lit("M"), header(n, 9))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.encode(whole, "utf-8").alias("c"))
+    cut = d.select("sample_id", "c", F.explode(F.sequence(F.lit(0), F.expr(f"(length(c) - 1) div {PIECE}"))).alias("piece"))
+    return cut.select("sample_id", "piece", F.col("c").substr(F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("content"))
+
+
+@query(
+    "d21_header_scan",
+    r"""with recursive z as (select chr(0) as o),
+    t as (select doc_id as sample_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as t, chr((doc_id % 3 + 1)::int) as n from documents),
+    h as (select sample_id, t, (length(t) // 2)::int as half, 'MZ' || repeat(o, 58) || chr(64) || repeat(o, 3) || 'PE' || repeat(o, 4) || n || repeat(o, 13) || '`' || repeat(o, 3) || chr(11) || chr(1) as hd,
+      'MZ' || repeat(o, 58) || chr(64) || repeat(o, 3) || 'PE' || repeat(o, 4) || o || repeat(o, 13) || '`' || repeat(o, 3) || chr(11) || chr(1) as h0,
+      'MZ' || repeat(o, 58) || chr(73) || repeat(o, 12) || 'PE' || repeat(o, 4) || n || repeat(o, 13) || '`' || repeat(o, 3) || chr(11) || chr(1) as h9 from t, z),
+    c as (select sample_id, hd || substr(t, 1, half) || hd || hd || substr(t, half + 1) || 'MZ' || h0 || 'M' || h9 as c from h),
+    f as (select sample_id, c, unnest(list_transform(string_split(c, 'MZ'), lambda x: length(x))) as n, generate_subscripts(string_split(c, 'MZ'), 1) as j from c),
+    p as (select sample_id, c, j, sum(n + 2) over (partition by sample_id order by j rows between unbounded preceding and 1 preceding) - 1 as i from f),
+    m as (select sample_id, i::bigint as k, length(c) as total, ascii(substr(c, i::bigint + 60, 1)) as jump, c from p where i >= 2),
+    v as (select sample_id, k, total, row_number() over (partition by sample_id order by k) as r, case when k + 63 <= total and jump > 0 and k + jump + 25 <= total and substr(c, k + jump, 4) = 'PE' || chr(0) || chr(0)
+      and ascii(substr(c, k + jump + 6, 1)) between 1 and 96 and ascii(substr(c, k + jump + 25, 1)) in (1, 2) and ascii(substr(c, k + jump + 24, 1)) = 11 then jump + 24 + ascii(substr(c, k + jump + 20, 1)) + 40 * ascii(substr(c, k + jump + 6, 1)) end as span from m),
+    walk as (select sample_id, 0::bigint as r, 0::bigint as lo, 0::bigint as hi, 2::bigint as go from c
+      union all select w.sample_id, v.r, v.k, case when v.span is null or v.k < w.go then 0 else least(v.k + v.span, v.total + 1) end,
+        case when v.k < w.go then w.go when v.span is null then v.k + 2 else least(v.k + v.span, v.total + 1) end
+      from walk w join v on v.sample_id = w.sample_id and v.r = w.r + 1)
+    select sample_id, lo - 1 as lo, hi - 1 as hi from walk where hi > 0""",
+)
+def d21h(spark, sf):
+    return headers.scan_headers(_planted(spark, sf), PIECE)
+
+
 @query(
     "d24_merge_blocks",
     f"""with {RANKS}, s as (select sample_id, tile, tile * 64 as lo, tile * 64 + tile_len as hi from rk where r_entropy <= least(n_tiles, greatest(1, cast(ceil(0.10::double * n_tiles) as bigint)))),
