@@ -11,9 +11,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.operators.greedy import greedy_owners, greedy_pairs
+from spanframe.session import durable
+
 
 GRID = 256
 
@@ -120,9 +123,10 @@ def match_detections(pred: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
     """Status per prediction and truth box: true_positive, class_mismatch, false_positive, false_negative.
 
     pred: image_id, box_id, label, score, corners; truth: image_id, box_id, label, corners.
-    Only pairs of enough overlap can ever match, so the greedy step sees those pairs
-    alone: predictions by falling score take their best free truth box of the same
-    folded label, then the rest report overlaps with another label.
+    Only pairs of enough overlap can ever match: predictions by falling score take their
+    best free truth box of the same folded label, then the rest, by id, report overlaps with
+    another label. Both passes run as rounds over all images, so an image may hold any
+    number of boxes. A null score counts as 0.
     """
     near = touching_pairs(pred, truth).withColumn("iou", overlap_ratio("a", "b", "iou")).filter(F.col("iou") >= iou)
     pairs = near.select(
@@ -130,36 +134,12 @@ def match_detections(pred: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
         (F.lower(F.col("a.label")) == F.lower(F.col("b.label"))).alias("same"),
     )
 
-    # A pair that is the only one of both its boxes has no rival: its outcome is plain.
-    alone = (F.count(F.lit(1)).over(Window.partitionBy("image_id", "pred_id")) == 1) & (F.count(F.lit(1)).over(Window.partitionBy("image_id", "truth_id")) == 1)
-    judged = pairs.withColumn("_alone", alone)
-    easy = judged.filter("_alone").select("image_id", "pred_id", "truth_id", "iou", F.when(F.col("same"), "true_positive").otherwise("class_mismatch").alias("status"))
-    cell = F.struct("pred_id", "truth_id", "score", "iou", "same")
-    contested = judged.filter("not _alone").groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("pairs"))
-
-    def greedy(pairs: list) -> list[dict]:
-        used_p, used_t, out = set(), set(), []
-        for r in sorted((r for r in pairs if r["same"]), key=lambda r: (-r["score"], r["pred_id"], -r["iou"], r["truth_id"])):
-            if r["pred_id"] not in used_p and r["truth_id"] not in used_t:
-                used_p.add(r["pred_id"])
-                used_t.add(r["truth_id"])
-                out.append({"pred_id": r["pred_id"], "truth_id": r["truth_id"], "iou": r["iou"], "status": "true_positive"})
-        seen = set()
-        for r in sorted((r for r in pairs if r["pred_id"] not in used_p), key=lambda r: (r["pred_id"], -r["iou"], r["truth_id"])):
-            if r["pred_id"] in seen or r["truth_id"] in used_t:
-                continue
-            seen.add(r["pred_id"])  # only the best free truth box counts
-            if not r["same"]:
-                used_t.add(r["truth_id"])
-                out.append({"pred_id": r["pred_id"], "truth_id": r["truth_id"], "iou": r["iou"], "status": "class_mismatch"})
-        return out
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"image_id": pdf["image_id"], "m": [greedy(list(p)) for p in pdf["pairs"]]})
-
-    hard = contested.mapInPandas(run, "image_id bigint, m array<struct<pred_id:bigint,truth_id:bigint,iou:double,status:string>>")
-    matched = easy.unionByName(hard.select("image_id", F.explode("m").alias("m")).select("image_id", "m.*"))
+    pairs = durable(pairs)
+    same = greedy_pairs(pairs.filter("same"), "image_id", "pred_id", "truth_id", [-F.col("score"), F.col("pred_id"), -F.col("iou"), F.col("truth_id")])
+    rest = pairs.join(same.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(same.select("image_id", "truth_id"), ["image_id", "truth_id"], "left_anti")
+    other = greedy_pairs(rest, "image_id", "pred_id", "truth_id", [F.col("pred_id"), -F.col("iou"), F.col("truth_id")])
+    found = lambda d, s: d.select("image_id", "pred_id", "truth_id", "iou", F.lit(s).alias("status"))
+    matched = found(same, "true_positive").unionByName(found(other, "class_mismatch"))
     tp = matched.filter("status = 'true_positive'")
     none = lambda t: F.lit(None).cast(t)
     fp = pred.select("image_id", F.col("box_id").alias("pred_id")).join(tp.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti")
@@ -178,36 +158,20 @@ def status_counts(status: DataFrame) -> DataFrame:
 def merge_boxes(det: DataFrame, threshold: float = 0.5, metric: str = "ios", class_aware: bool = True) -> DataFrame:
     """Greedy merge: the best box absorbs what overlaps it; coordinates are score-weighted.
 
-    det: image_id, box_id, label, score, corners. Boxes that overlap no other box pass
-    through on Spark; only boxes with a partner enter the greedy step of their image.
+    det: image_id, box_id, label, score, corners. Boxes go by falling score, then label,
+    corners and id; one that is still free takes its free partners. This runs as rounds over
+    all images, so an image may hold any number of boxes.
     """
     extra = ["label"] if class_aware else []
-    pair = touching_pairs(det, det, extra=extra).filter((F.col("a.box_id") != F.col("b.box_id")) & (overlap_ratio("a", "b", metric) >= threshold))
-    linked = pair.select(F.col("a.image_id").alias("image_id"), F.col("a.box_id").alias("box_id"), F.col("b.box_id").alias("other"))
-    partners = linked.groupBy("image_id", "box_id").agg(F.collect_list("other").alias("near"))
-    busy = det.join(partners, ["image_id", "box_id"])
-    cols = ["image_id", "label", "score", "x1", "y1", "x2", "y2"]
-
-    def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(neg=-pdf["score"]).sort_values(["neg", "label", "x1", "y1", "x2", "y2", "box_id"])
-        rows = {r.box_id: r for r in pdf.itertuples()}
-        free, out = set(rows), []
-        for bid, r in rows.items():
-            if bid not in free:
-                continue
-            near = set(r.near)
-            group = [rows[o] for o in rows if o in free and (o == bid or o in near)]
-            free -= {g.box_id for g in group}
-            weight = [max(g.score, 1e-8) for g in group]
-            total = sum(weight)
-            c = [sum(getattr(g, a) * w for g, w in zip(group, weight)) / total for a in ("x1", "y1", "x2", "y2")]
-            out.append((r.image_id, r.label, max(g.score for g in group), *c, len(group)))
-        return pd.DataFrame(out, columns=[*cols, "n_merged"])
-
-    schema = "image_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, n_merged bigint"
-    merged = busy.groupBy("image_id").applyInPandas(absorb, schema)
-    alone = det.join(partners.select("image_id", "box_id"), ["image_id", "box_id"], "left_anti").select(*cols, F.lit(1).cast("bigint").alias("n_merged"))
-    return merged.unionByName(alone)
+    place = lambda a: F.struct((-F.col(f"{a}.score")).alias("neg"), *[F.col(f"{a}.{c}").alias(c) for c in ("label", "x1", "y1", "x2", "y2", "box_id")])
+    pair = touching_pairs(det, det, extra=extra).filter((place("b") < place("a")) & (overlap_ratio("a", "b", metric) >= threshold))
+    rivals = pair.select(F.col("a.image_id").alias("image_id"), F.col("a.box_id").alias("box_id"), F.col("b.box_id").alias("rival"), place("b").alias("key"))
+    owners = greedy_owners(det, rivals, "image_id", "box_id")
+    w = F.greatest(F.col("score"), F.lit(1e-8))
+    label = det.select("image_id", F.col("box_id").alias("owner"), "label")
+    groups = det.join(owners, ["image_id", "box_id"]).groupBy("image_id", "owner").agg(
+        F.max("score").alias("score"), *[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in ("x1", "y1", "x2", "y2")], F.count(F.lit(1)).alias("n_merged"))
+    return groups.join(label, ["image_id", "owner"]).select("image_id", "label", "score", "x1", "y1", "x2", "y2", "n_merged")
 
 
 def select_guarded(tiles: DataFrame, budget: float, coverage_ratio: float = 0.2) -> DataFrame:

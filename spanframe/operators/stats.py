@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions.hashing import hash_hex, index_draw, poisson_weight, positive_weight
-from spanframe.functions.ranking import order_values, rank_in_group
+from spanframe.functions.ranking import attach_group, order_values, rank_in_group, running_sums
+from spanframe.session import durable
 
 # Two-sided 95 % critical values of the t distribution by sample size.
 T_CRITICAL_95 = {2: 12.706205, 3: 4.302653, 4: 3.182446, 5: 2.776445, 6: 2.570582}
@@ -139,31 +140,34 @@ def summarize_paired(pairs: DataFrame, by: list[str], key: list[str], replicates
 
 
 def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Tau-b per group without enumerating pairs.
+    """Tau-b per group without enumerating pairs; a group may span any number of tasks.
 
-    Two rows with different x-ranks differ first at exactly one bit, counted from
-    the top. For each bit, rows sharing the higher bits form a block in which a
-    running count over y says how many zero-bit rows lie below and above each
-    one-bit row. Work is rows x log2(distinct x).
+    Two rows with different x-ranks differ first at exactly one bit, counted from the top.
+    For each bit, rows sharing the higher bits form a block, in which a running count over y
+    says how many zero-bit rows lie below and above each one-bit row. Equal (x, y) share a
+    row and equal y of a block do, ranks and running counts come from sorts over the
+    cluster. Work is distinct (x, y) x log2(distinct x).
     """
-    group = Window.partitionBy(*by)
-    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, (F.dense_rank().over(group.orderBy(x)) - 1).alias("rx"), (F.dense_rank().over(group.orderBy(y)) - 1).alias("ry")
-    )
-    top = r.withColumn("_max", F.max("rx").over(group))
+    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("rx"), F.col(y).alias("ry")).agg(F.count(F.lit(1)).alias("_c"))
+    r = durable(r)
+    values = r.groupBy(*by, "rx").agg(F.count(F.lit(1)).alias("_rows"))
+    top = values.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("_max"), F.sum("_rows").alias("_all"))
+    places = rank_in_group(values, by, [F.col("rx")], "_place")
+    placed = attach_group(r, places, [*by, "rx"], "_rows").select(*by, (F.col("_place") - 1).alias("_at"), "ry", "_c")
+    placed = attach_group(placed, top.select(*by, "_max", "_all"), by, "_all")
     bits = F.when(F.col("_max") > 0, F.sequence(F.lit(0), F.floor(F.log2(F.col("_max").cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
-    levels = top.withColumn("_b", F.explode(bits)).select(
-        *by, "_b", "ry", F.expr("shiftright(rx, _b + 1)").alias("_p"), F.expr("shiftright(rx, _b) & 1").alias("_one")
-    )
-    block = Window.partitionBy(*by, "_b", "_p")
-    zero = (F.col("_one") == 0).cast("bigint")
-    below = F.sum(zero).over(block.orderBy("ry").rangeBetween(Window.unboundedPreceding, -1))
-    upto = F.sum(zero).over(block.orderBy("ry").rangeBetween(Window.unboundedPreceding, 0))
-    scored = levels.withColumn("_s", F.coalesce(below, F.lit(0)) - (F.sum(zero).over(block) - F.coalesce(upto, F.lit(0))))
-    score = scored.filter("_one = 1").groupBy(*by).agg(F.sum("_s").alias("_s"))
+    levels = placed.withColumn("_b", F.explode(bits)).select(
+        *by, "_b", F.expr("shiftright(_at, _b + 1)").alias("_p"), "ry", "_c", (F.expr("shiftright(_at, _b) & 1") == 1).alias("_one"))
+    block = [*by, "_b", "_p"]
+    cells = levels.groupBy(*block, "ry").agg(
+        F.sum(F.when(~F.col("_one"), F.col("_c")).otherwise(0)).alias("_z"), F.sum(F.when(F.col("_one"), F.col("_c")).otherwise(0)).alias("_o"))
+    cum = running_sums(cells, block, [F.col("ry")], {"_z": "_upto"})
+    # below less above: (upto - z) - (total - upto) for each one-bit row
+    per = cum.groupBy(*block).agg(F.sum(F.col("_o") * (2 * F.col("_upto") - F.col("_z"))).alias("_s"), F.sum("_z").alias("_zs"), F.sum("_o").alias("_os"))
+    score = per.groupBy(*by).agg(F.sum(F.col("_s") - F.col("_zs") * F.col("_os")).alias("_s"))
 
     def tied(c: str) -> DataFrame:
-        t = r.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_t"))
+        t = r.groupBy(*by, c).agg(F.sum("_c").alias("_t"))
         return t.groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") - 1) / 2).alias(f"_tie_{c}"), F.sum("_t").alias(f"_n_{c}"))
 
     joined = tied("rx").join(tied("ry"), by).join(score, by, "left")

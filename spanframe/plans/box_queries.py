@@ -58,9 +58,30 @@ def g3(spark, sf):
     return _r(bx.tile_recall(_tiles(spark, sf), _truth(spark, sf)), "recall", digits=9)
 
 
-@query("g4_match_detections")
+#: All overlapping pairs of predictions ``p`` and truths ``t`` of an image.
+NEAR = """bp as (select image_id, box_id, label, score, px1::double as x1, py1::double as y1, px1::double + w as x2, py1::double + h as y2 from v_box),
+bt as (select image_id, box_id, label, x1::double as x1, y1::double as y1, x1::double + w as x2, y1::double + h as y2 from v_box)"""
+
+
+@query(
+    "g4_match_detections",
+    f"""with recursive {NEAR},
+    jo as (select p.image_id, p.box_id as pred_id, t.box_id as truth_id, p.score, p.label = t.label as same, greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) as i,
+      (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) as s from bp p join bt t on t.image_id = p.image_id),
+    pr as (select *, i / (s - i) as iou from jo where i > 0 and i / (s - i) >= 0.5),
+    o as (select *, row_number() over (partition by image_id order by not same, case when same then -score else 0 end, pred_id, -iou, truth_id) as r from pr),
+    walk as (select distinct image_id, 0::bigint as r, []::bigint[] as ps, []::bigint[] as ts, false as hit from o
+      union all select w.image_id, o.r, case when f.ok then list_append(w.ps, o.pred_id) else w.ps end, case when f.ok then list_append(w.ts, o.truth_id) else w.ts end, f.ok
+      from walk w join o on o.image_id = w.image_id and o.r = w.r + 1, lateral (select not list_contains(w.ps, o.pred_id) and not list_contains(w.ts, o.truth_id) as ok) f),
+    mt as (select o.image_id, o.pred_id, o.truth_id, o.iou, case when same then 'true_positive' else 'class_mismatch' end as status from walk w join o on o.image_id = w.image_id and o.r = w.r where w.hit)
+    select image_id, pred_id, truth_id, round(iou, 9) as iou, status from mt
+    union all select image_id, box_id, null, null, 'false_positive' from bp where not exists (select 1 from mt where mt.image_id = bp.image_id and mt.pred_id = bp.box_id and status = 'true_positive')
+    union all select image_id, null, box_id, null, 'false_negative' from bt where not exists (select 1 from mt where mt.image_id = bt.image_id and mt.truth_id = bt.box_id and status = 'true_positive')""",
+    V,
+    recursive=True,
+)
 def g4(spark, sf):
-    return bx.match_detections(_pred(spark, sf), _truth(spark, sf))
+    return _r(bx.match_detections(_pred(spark, sf), _truth(spark, sf)), "iou", digits=9)
 
 
 @query(
@@ -75,7 +96,22 @@ def g4s(spark, sf):
     return bx.status_counts(st).select("image_id", "n_truth", "tp")
 
 
-@query("g5_merge_boxes")
+@query(
+    "g5_merge_boxes",
+    f"""with recursive {NEAR},
+    o as (select *, row_number() over (partition by image_id order by -score, label, x1, y1, x2, y2, box_id) as r from bp),
+    near as (select b.image_id, b.r, list(a.r order by a.r) as js from o a join o b on a.image_id = b.image_id and a.label = b.label and a.r < b.r
+      and least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1)
+      and (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) >= 0.5 group by 1, 2),
+    walk as (select distinct image_id, 0::bigint as r, []::bigint[] as seeds, 0::bigint as own from o
+      union all select w.image_id, o.r, case when f.j is null then list_append(w.seeds, o.r) else w.seeds end, coalesce(f.j, o.r)
+      from walk w join o on o.image_id = w.image_id and o.r = w.r + 1 left join near n on n.image_id = o.image_id and n.r = o.r, lateral (select list_min(list_intersect(w.seeds, coalesce(n.js, []::bigint[]))) as j) f)
+    select o.image_id, any_value(s.label) as label, max(o.score) as score, round(sum(o.x1 * greatest(o.score, 1e-8)) / sum(greatest(o.score, 1e-8)), 6) as x1, round(sum(o.y1 * greatest(o.score, 1e-8)) / sum(greatest(o.score, 1e-8)), 6) as y1,
+      round(sum(o.x2 * greatest(o.score, 1e-8)) / sum(greatest(o.score, 1e-8)), 6) as x2, round(sum(o.y2 * greatest(o.score, 1e-8)) / sum(greatest(o.score, 1e-8)), 6) as y2, count(*) as n_merged
+    from walk w join o on o.image_id = w.image_id and o.r = w.r join o s on s.image_id = w.image_id and s.r = w.own group by o.image_id, w.own""",
+    V,
+    recursive=True,
+)
 def g5(spark, sf):
     return _r(bx.merge_boxes(_pred(spark, sf)), "x1", "y1", "x2", "y2")
 
