@@ -72,23 +72,22 @@ def times_of(words: Column, wanted: Column) -> Column:
 
 
 def class_counts(rows: DataFrame, source: str) -> DataFrame:
-    """Adds ``classes``, the code points of each class in the column ``source`` other than white
-    space, ``spaces``, and ``rest``, the symbols."""
+    """Adds ``classes``, the code points of each class in the column ``source``, which holds no
+    white space, and ``rest``, the symbols."""
     out = rows.withColumn("rest", F.col(source))
-    for k, pattern in enumerate((SPACE, *CLASSES)):
+    for k, pattern in enumerate(CLASSES):
         out = out.withColumn("less", F.regexp_replace("rest", pattern, "")).withColumn(f"c{k}", (F.length("rest") - F.length("less")).cast("bigint"))
         out = out.drop("rest").withColumnRenamed("less", "rest")
-    counts = [f"c{k + 1}" for k in range(len(CLASSES))]
-    return out.withColumn("classes", F.array(*counts, F.length("rest").cast("bigint"))).drop(*counts).withColumnRenamed("c0", "spaces")
+    counts = [f"c{k}" for k in range(len(CLASSES))]
+    return out.withColumn("classes", F.array(*counts, F.length("rest").cast("bigint"))).drop(*counts)
 
 
 def with_counts(rows: DataFrame) -> DataFrame:
     """The counts of ``text`` that need no reference."""
-    out = class_counts(rows, "text").withColumn("words", words_of(F.col("text")))
-    out = out.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
+    out = rows.withColumn("words", words_of(F.col("text"))).withColumn("joined", F.array_join("words", ""))
+    out = class_counts(out, "joined").withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
     return with_repeated_words(out).select(
-        *rows.columns, "classes", "words", F.size("words").cast("bigint").alias("n_words"),
-        (F.length("text") - F.col("spaces")).cast("bigint").alias("word_chars"),
+        *rows.columns, "classes", "words", F.size("words").cast("bigint").alias("n_words"), F.length("joined").cast("bigint").alias("word_chars"),
         (F.length("rest") - F.length(F.translate("rest", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         "n_repeat_words",
