@@ -74,16 +74,16 @@ def leftmost_disjoint(spans: DataFrame, widest: int) -> DataFrame:
     spans = durable(spans.select("sample_id", "lo", "hi"))
     heads = normalize(spans, ["sample_id"]).select("sample_id", "lo")
     taken = durable(spans.join(heads, ["sample_id", "lo"], "left_semi"))
-    rest = spans.join(heads, ["sample_id", "lo"], "left_anti")
     # per bucket, the first start at or after each end, else the first start of the next bucket
     at = lambda c: F.expr(f"{c} div {widest}")
-    starts = rest.select("sample_id", at("lo").alias("b"), F.col("lo").alias("pos"), F.lit(1).alias("kind"), F.col("lo").alias("start"), F.lit(None).cast("bigint").alias("own"))
+    starts = spans.select("sample_id", at("lo").alias("b"), F.col("lo").alias("pos"), F.lit(1).alias("kind"), F.col("lo").alias("start"), F.lit(None).cast("bigint").alias("own"))
     ends = spans.select("sample_id", at("hi").alias("b"), F.col("hi").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("start"), F.col("lo").alias("own"))
     w = Window.partitionBy("sample_id", "b").orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
     here = starts.unionByName(ends).withColumn("next", F.first("start", ignorenulls=True).over(w)).filter("kind = 0")
     firsts = starts.groupBy("sample_id", (F.col("b") - 1).alias("b")).agg(F.min("start").alias("later"))
     jump = here.join(firsts, ["sample_id", "b"], "left").select("sample_id", F.col("own").alias("lo"), F.coalesce("next", "later").alias("to")).filter("`to` is not null")
-    jump = durable(jump)
+    # a head is taken in any case, so no jump needs to lead there
+    jump = durable(jump.join(heads.withColumnRenamed("lo", "to"), ["sample_id", "to"], "left_anti").select("sample_id", "lo", "to"))
     found = taken.select("sample_id", "lo")
     while not jump.isEmpty():
         new = found.join(jump, ["sample_id", "lo"]).select("sample_id", F.col("to").alias("lo"))
