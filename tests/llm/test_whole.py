@@ -14,7 +14,7 @@ from spanframe.llm import queries, simhash
 
 NAMES = {
     "op1_sentencepiece", "op2_license_scan", "op3_exact_dedup", "op4_html_extraction", "op5_simhash", "op6_nearest_neighbours", "op7_line_dedup",
-    "op8_best_fit_packing", "op9_quality_classifier", "op10_chat_formatting", "pipeline",
+    "op8_best_fit_packing", "op9_quality_classifier", "op10_chat_formatting", "op11_divergence_rules", "op12_ranked_search", "op13_collocations", "pipeline",
 }
 
 
@@ -26,7 +26,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_twins(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cur = con.execute(queries.oracle_sql()[name])
     cols = sorted(d[0] for d in cur.description)
