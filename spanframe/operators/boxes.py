@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,26 +187,26 @@ def select_guarded(tiles: DataFrame, budget: float, coverage_ratio: float = 0.2)
     rows = tiles.groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
     def choose(cells: list) -> list[int]:
-        n = len(cells)
+        tile, score, guarded, cx, cy = (np.array([c[k] for c in cells]) for k in ("tile", "score", "guarded", "cx", "cy"))
+        n = len(tile)
         want = max(1, min(n, math.ceil(n * budget)))
-        rank = sorted(range(n), key=lambda i: (-cells[i]["score"], cells[i]["tile"]))
-        chosen = [i for i in rank if cells[i]["guarded"]][:want]
-        near = [math.inf] * n
+        rank = np.lexsort((tile, -score))
+        chosen = rank[guarded[rank]][:want].tolist()
+        near = np.full(n, np.inf)  # squared distance to the nearest chosen tile, -inf for chosen ones
 
         def approach(c: int) -> None:
-            for i in range(n):
-                near[i] = min(near[i], (cells[i]["cx"] - cells[c]["cx"]) ** 2 + (cells[i]["cy"] - cells[c]["cy"]) ** 2)
+            np.minimum(near, (cx - cx[c]) * (cx - cx[c]) + (cy - cy[c]) * (cy - cy[c]), out=near)
+            near[c] = -np.inf
 
         for c in chosen:
             approach(c)
         for _ in range(min(want - len(chosen), math.ceil(want * coverage_ratio))):
-            taken = set(chosen)
-            best = max((i for i in range(n) if i not in taken), key=lambda i: (near[i] if chosen else 0.0, cells[i]["score"], -cells[i]["tile"]))
+            far = np.flatnonzero(near == near.max())  # before the first choice all are as far
+            best = int(far[np.lexsort((tile[far], -score[far]))[0]])
             chosen.append(best)
             approach(best)
-        taken = set(chosen)
-        chosen += [i for i in rank if i not in taken][: want - len(chosen)]
-        return sorted(cells[i]["tile"] for i in chosen)
+        chosen += rank[near[rank] > -np.inf][: want - len(chosen)].tolist()
+        return sorted(tile[chosen].tolist())
 
     def run(batches):
         for pdf in batches:

@@ -162,7 +162,23 @@ def f12s(spark, sf):
     return bx.select_guarded(_scored(spark, sf), 0.3, 0.0)
 
 
-@query("f12_select_guarded")
+@query(
+    "f12_select_guarded",
+    f"""with recursive {TILES}, g as (select distinct t.image_id, t.tile from tl t join v_box v on v.image_id = t.image_id and v.score >= 0.9 and v.px1 < t.x2 and v.px1 + w > t.x1 and v.py1 < t.y2 and v.py1 + h > t.y1),
+    s as (select tl.image_id, tl.tile, g.tile is not null as guarded, (tl.x1 + tl.x2)::double / 2 / 640 as cx, (tl.y1 + tl.y2)::double / 2 / 640 as cy,
+      {SCORE.replace('image_id', 'tl.image_id').replace(', tile)', ', tl.tile)')} as score from tl left join g on g.image_id = tl.image_id and g.tile = tl.tile),
+    r as (select *, row_number() over (partition by image_id, guarded order by score desc, tile) as rk, greatest(1, least(count(*) over (partition by image_id), ceil(count(*) over (partition by image_id) * 0.5::double)))::int as want from s),
+    z as (select image_id, any_value(want) as want, coalesce(list({{'tile': tile, 'cx': cx, 'cy': cy}}) filter (guarded and rk <= want), []) as chosen from r group by image_id),
+    walk as (select image_id, want, 0 as k, least(want - len(chosen), ceil(want * 0.4::double))::int as slots, chosen from z
+      union all select w.image_id, w.want, w.k + 1, w.slots, list_append(w.chosen, list({{'tile': s.tile, 'cx': s.cx, 'cy': s.cy}}
+        order by coalesce(list_min(list_transform(w.chosen, lambda c: (s.cx - c.cx) * (s.cx - c.cx) + (s.cy - c.cy) * (s.cy - c.cy))), 0) desc, s.score desc, s.tile)[1])
+      from walk w join s on s.image_id = w.image_id where w.k < w.slots and not list_contains(list_transform(w.chosen, lambda c: c.tile), s.tile) group by w.image_id, w.want, w.k, w.slots, w.chosen),
+    done as (select image_id, want, list_transform(chosen, lambda c: c.tile) as ts from walk where k = slots),
+    more as (select s.image_id, s.tile, row_number() over (partition by s.image_id order by score desc, s.tile) as rk, want - len(ts) as room from s join done d on d.image_id = s.image_id where not list_contains(ts, s.tile))
+    select image_id, unnest(ts) as tile from done union all select image_id, tile from more where rk <= room""",
+    V,
+    recursive=True,
+)
 def f12(spark, sf):
     return bx.select_guarded(_scored(spark, sf), 0.5, 0.4)
 

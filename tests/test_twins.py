@@ -11,7 +11,7 @@ from spanframe.sources import dumps
 
 COMPARED = (
     "a6_wide_addresses", "a7_wide_addresses", "d19_bbox_to_bytes", "d19_mask_to_bytes", "d21_header_scan", "e14_valid_runs", "e1_masked_histogram",
-    "e1_masked_probabilities", "e3_masked_rows", "e4_masked_bigrams", "g4_match_detections", "g5_merge_boxes",
+    "e1_masked_probabilities", "e3_masked_rows", "e4_masked_bigrams", "f12_select_guarded", "g4_match_detections", "g5_merge_boxes",
 )
 
 
