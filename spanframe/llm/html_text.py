@@ -2,9 +2,11 @@
 
 A page is read once into blocks (text between block-level tags) that know their words,
 stop words, characters in links and the region they stand in. The first pass decides
-blocks by region, link density, stop-word density and length; short and middling blocks
-stay open. In the second pass open blocks take the label of the nearest decided
-neighbour in their region. Pages are independent: no shuffle, memory is one page.
+blocks by region, link density, stop-word density and length; short blocks stay open. In
+the second pass open blocks take the label of the nearest decided neighbour in their
+region. A long block without links that reads as sentences is text in any language, so
+none is lost for want of a stop-word list; inside a main region an open block goes only if
+the decided blocks on both sides do. Pages are independent: no shuffle, memory is one page.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+#: A sentence mark at the end of a word or of the block; the wide marks need no space after them.
+_SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*(?:\s|\Z)|[。！？｡।؟۔]")
 
 GOOD, BAD, OPEN = 1, 0, None
 
@@ -82,6 +86,8 @@ def _is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 parts = _NAME.findall(one)
+                if in_main and parts and parts[-1] == "header" and (tag == "header" or len(parts) > 1):
+                    continue  # the head of an article holds its title
                 if parts and not {"has", "with", "no"} & set(parts) and (parts[0] in FURNITURE or parts[-1] in FURNITURE):
                     return True
     return False
@@ -162,43 +168,48 @@ def decide(blocks: list[Block], rules: Rules) -> None:
             density = sum(w in rules.stop for w in words) / len(words) if words else 0.0
             if density >= rules.stop_high or (density >= rules.stop_low and len(b.text) > rules.long):
                 b.label = GOOD
-            elif density < rules.stop_low and not b.main:
+            elif b.main or (b.link == 0 and _SENTENCE.search(b.text)):
+                b.label = GOOD  # prose of a language without a list, or of few function words
+            elif density < rules.stop_low:
                 b.label = BAD
 
 
 def settle(blocks: list[Block]) -> None:
-    """Second pass: open blocks take the label of the nearest decided block of their region; on a
-    tie, or with none decided, main regions count as text and others do not."""
+    """Second pass: open blocks take the label of the nearest decided block of their region.
+
+    On a tie, or with none decided, main regions count as text; others do only on a page
+    without a main region that has nothing decided in them. In a main region a block of
+    links counts against an open block only if the decided blocks on both sides are such.
+    """
     for main in (True, False):
         region = [b for b in blocks if b.main == main and not b.furniture]
-        known = [i for i, b in enumerate(region) if b.label is not OPEN]
-        left, k = -1, 0
+        first = [b.label for b in region]
+        known = [i for i, label in enumerate(first) if label is not OPEN]
+        alone = main or not (known or any(b.main for b in blocks))
+        k = 0
         for i, b in enumerate(region):
             if k < len(known) and known[k] == i:
-                left, k = i, k + 1
+                k += 1
                 continue
-            right = known[k] if k < len(known) else -1
-            a = (i - left) if left >= 0 else None
-            c = (right - i) if right >= 0 else None
-            if a is not None and (c is None or a < c):
-                b.label = region[left].label
-            elif c is not None and (a is None or c < a):
-                b.label = region[right].label
-            elif a is not None and region[left].label == region[right].label:
-                b.label = region[left].label
+            left = known[k - 1] if k else None
+            right = known[k] if k < len(known) else None
+            sides = [first[j] for j in (left, right) if j is not None]
+            if not sides:
+                b.label = GOOD if alone else BAD
+            elif main:
+                b.label = BAD if sides == [BAD, BAD] else GOOD
+            elif len(sides) == 1 or sides[0] == sides[1]:
+                b.label = sides[0]
+            elif i - left == right - i:
+                b.label = BAD
             else:
-                b.label = GOOD if main else BAD
+                b.label = sides[0] if i - left < right - i else sides[1]
 
 
 def main_text(html: str | None, rules: Rules | None = None) -> str:
     blocks = blocks_of(html or "")
     decide(blocks, rules or Rules())
-    known = [b.label for b in blocks]
     settle(blocks)
-    for b, first in zip(blocks, known):
-        # decided labels never change; `settle` only reads them
-        if first is not OPEN:
-            b.label = first
     kept = [b for b in blocks if b.label == GOOD]
     if any(b.main for b in kept):
         kept = [b for b in kept if b.main]
