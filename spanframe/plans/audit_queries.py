@@ -8,6 +8,7 @@ from spanframe.operators import audit, cohort, components, events
 from spanframe.plans.cohort_queries import SPLIT3
 from spanframe.plans.registry import query
 from spanframe.plans.views import table, view
+from spanframe.sources import behavior
 
 DOCSPLIT = "case when length(source) = 4 then 'val' else 'train' end"
 
@@ -308,3 +309,47 @@ def c17(spark, sf):
 )
 def c17c(spark, sf):
     return events.character_codes(table(spark, sf, "events"), ["event_id"], "event_type")
+
+
+#: Events as reports of 64 numbers with a process per user class; a few names are not ASCII or blank.
+CALLS = """e as (select event_id // 64 as report, user_id % 3 as process, event_id, case event_type when 'click' then 'process' when 'signup' then 'registry' when 'purchase' then 'network' when 'view' then 'filesystem' end as category,
+    case when event_id % 640 = 7 then 'Ouvré' when event_id % 960 = 11 then ' ' when value < 50 then 'Open' else 'Close' end as api from events),
+wrong as (select report, arg_min(case when api = ' ' then 'api is no text' else 'api is not ASCII' end, process * 1000000000000 + event_id) as fault
+    from e where category is not null and api in (' ', 'Ouvré') group by 1)"""
+
+
+def _reports(spark, sf):
+    """JSON documents of at most 64 events each."""
+    kinds = {"click": "process", "signup": "registry", "purchase": "network", "view": "filesystem"}
+    category = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()], F.lit("misc"))
+    api = F.when(F.col("event_id") % 640 == 7, "Ouvré").when(F.col("event_id") % 960 == 11, " ").when(F.col("value") < 50, "Open").otherwise("Close")
+    call = F.struct("event_id", category.alias("category"), api.alias("api"), F.struct(F.col("props").alias("value")).alias("arguments"))
+    e = table(spark, sf, "events").select(F.expr("event_id div 64").alias("report"), (F.col("user_id") % 3).alias("process"), call.alias("call"))
+    processes = e.groupBy("report", "process").agg(F.sort_array(F.collect_list("call")).alias("calls"))
+    whole = processes.groupBy("report").agg(F.sort_array(F.collect_list(F.struct("process", "calls"))).alias("processes"))
+    return whole.select("report", F.to_json(F.struct(F.struct("processes").alias("behavior"))).alias("json"))
+
+
+@query(
+    "c16_behavior_reports",
+    f"""with {CALLS} select e.report, any_value(fault) as fault, count(*) filter (fault is null and category is null) as ignored,
+    count(*) filter (fault is null and category is not null) as n_calls from e left join wrong using (report) group by 1""",
+)
+def c16r(spark, sf):
+    read = behavior.read_behavior_reports(_reports(spark, sf), "report", "json")
+    return read.select("report", "fault", "ignored", F.size("calls").cast("bigint").alias("n_calls"))
+
+
+@query(
+    "c17_behavior_profile",
+    f"""with {CALLS}, k as (select * from e where category is not null and report not in (select report from wrong)),
+    lg as (select *, category || ':' || api as what, lag(category || ':' || api) over (partition by report, process order by event_id) as pv from k),
+    cr as (select * from lg where what is distinct from pv),
+    sq as (select report, process, string_agg(what, '>' order by event_id) as s from cr group by 1, 2),
+    firsts as (select report, min(process) as process from sq group by report, s),
+    n as (select report, category, count(*) as n_calls, cast(sum(length(api)) as bigint) as n_chars from cr join firsts using (report, process) group by 1, 2)
+    select *, greatest(n_chars - 16384, 0) as truncated, greatest(16384 - n_chars, 0) as repeated from n""",
+)
+def c17b(spark, sf):
+    read = behavior.read_behavior_reports(_reports(spark, sf), "report", "json")
+    return events.sequence_profile(behavior.behavior_sequences(read), ["report", "category"], "api")
