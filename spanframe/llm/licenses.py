@@ -149,11 +149,9 @@ def best_matches(texts: DataFrame, templates=TEMPLATES) -> DataFrame:
     counts = written(line_counts(texts), "license-terms")
     terms = vocabulary(templates)
     lines = sum(r["n"] for r in counts.filter("term = ''").collect())
-    held = {t: 0 for t in terms}
-    held |= {r["term"]: r["n"] for r in counts.filter(F.col("term").isin(terms)).collect()}  # at most one row per template term
-    spark = texts.sparkSession
-    priced = spark.createDataFrame(list(held.items()), "term string, n bigint").select("term", squared_weight(F.col("n"), lines).alias("w"))
-    weights = {r["term"]: r["w"] for r in priced.collect()}
+    absent = texts.sparkSession.range(1).select(squared_weight(F.lit(0), lines).alias("w")).first()["w"]
+    priced = counts.filter(F.col("term").isin(terms)).select("term", squared_weight(F.col("n"), lines).alias("w"))
+    weights = dict.fromkeys(terms, absent) | {r["term"]: r["w"] for r in priced.collect()}  # at most one row per template term
     units = texts.select("row", F.explode(candidates(F.col("text"), F.col("whole"), terms)).alias("unit")).select("row", term_set(F.col("unit")).alias("found"))
     split = units.select("row", F.array_intersect("found", _strings(terms)).alias("own"), F.array_except("found", _strings(terms)).alias("others")).filter(F.size("own") > 0)
     known = F.create_map(*[F.lit(x) for x in (v for pair in weights.items() for v in pair)])
