@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes for the jobs started inside, so that long texts do
+    not wait in memory by the thousand."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def slot(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS)
 
