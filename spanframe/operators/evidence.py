@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.functions.ranking import attach_group, rank_in_group, running_sums
 from spanframe.operators.stats import kendall_tau_b, summarize_paired
+from spanframe.session import durable
 
 
 def positive(delta: str | Column) -> Column:
@@ -52,16 +54,22 @@ def observed_deletion_curve(steps: DataFrame, baselines: DataFrame) -> DataFrame
 
     steps: sample_id, step, lo, hi, nll (cumulative deletions, 1-based, in order);
     baselines: sample_id, n, nll. A step adds only the bytes no earlier step covered.
-    Elementary pieces of the ranges belong to the first step that covers them.
+    Elementary pieces of the ranges belong to the first step that covers them. Positions are
+    ranked and shares summed over the cluster, so a sample may have any number of steps.
     """
-    ends = steps.select("sample_id", F.explode(F.array("lo", "hi")).alias("pos")).distinct()
-    w = Window.partitionBy("sample_id").orderBy("pos")
-    marks = ends.withColumn("_i", F.row_number().over(w) - 1).withColumn("_len", F.lead("pos").over(w) - F.col("pos"))
-    pieces = marks.withColumn("_top", F.floor(F.log2((F.count(F.lit(1)).over(Window.partitionBy("sample_id"))).cast("double"))).cast("int"))
+    # a position with its rank and how many ends it is, so that one met by many steps is salted
+    ends = steps.select("sample_id", F.explode(F.array("lo", "hi")).alias("pos")).groupBy("sample_id", "pos").agg(F.count(F.lit(1)).alias("_uses"))
+    marks = durable(rank_in_group(ends, ["sample_id"], [F.col("pos")], "_i").withColumn("_i", F.col("_i") - 1))
+    after = marks.select("sample_id", (F.col("_i") - 1).alias("_i"), F.col("pos").alias("_next"))
+    sizes = marks.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_top", F.floor(F.log2(F.col("_n").cast("double"))).cast("int"))
+    pieces = marks.join(after, ["sample_id", "_i"]).select("sample_id", "_i", "pos", (F.col("_next") - F.col("pos")).alias("_len"))
+    pieces = attach_group(pieces, sizes, ["sample_id"], "_n").drop("_n")
     # A range of pieces is the union of at most two aligned power-of-two blocks per level, so
     # ranges meet pieces through equi joins on blocks instead of a range join.
-    at = lambda c, n: marks.select("sample_id", F.col("pos").alias(c), F.col("_i").alias(n))
-    spans = steps.select("sample_id", "step", "lo", "hi").join(at("lo", "_a"), ["sample_id", "lo"]).join(at("hi", "_b"), ["sample_id", "hi"])
+    at = lambda c, n: marks.select("sample_id", F.col("pos").alias(c), F.col("_i").alias(n), "_uses")
+    spans = steps.select("sample_id", "step", "lo", "hi")
+    for c, n in (("lo", "_a"), ("hi", "_b")):
+        spans = attach_group(spans, at(c, n), ["sample_id", c], "_uses").drop("_uses")
 
     def blocks(level: Column) -> Column:
         size = F.pow(F.lit(2.0), level)
@@ -72,13 +80,16 @@ def observed_deletion_curve(steps: DataFrame, baselines: DataFrame) -> DataFrame
 
     nodes = spans.select("sample_id", "step", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), blocks))).alias("n"))
     cover = nodes.groupBy("sample_id", F.col("n.level").alias("level"), F.col("n.node").alias("node")).agg(F.min("step").alias("step"))
-    seen = pieces.filter("_len is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_top"))))
-    seen = seen.withColumn("node", F.floor(F.col("_i") / F.pow(F.lit(2.0), F.col("level"))))
-    owner = seen.join(cover, ["sample_id", "level", "node"]).groupBy("sample_id", "pos").agg(F.min("step").alias("step"), F.max("_len").alias("_len"))
+    seen = pieces.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    seen = seen.withColumn("node", F.floor(F.col("_i") / F.pow(F.lit(2.0), F.col("level")))).drop("_top")
+    # a block of a level holds at most 2^level pieces
+    cover = cover.withColumn("_most", F.pow(F.lit(2.0), F.col("level")).cast("bigint"))
+    owner = attach_group(seen, cover, ["sample_id", "level", "node"], "_most").groupBy("sample_id", "pos").agg(F.min("step").alias("step"), F.max("_len").alias("_len"))
     fresh = owner.groupBy("sample_id", "step").agg(F.sum("_len").alias("_new"))
-    run = Window.partitionBy("sample_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    body = steps.join(fresh, ["sample_id", "step"], "left").join(baselines.select("sample_id", "n", F.col("nll").alias("baseline_nll")), "sample_id")
-    body = body.withColumn("fraction", F.sum(F.coalesce("_new", F.lit(0))).over(run) / F.col("n"))
+    body = steps.join(fresh, ["sample_id", "step"], "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    body = running_sums(body, ["sample_id"], [F.col("step")], {"_new": "_covered"})
+    facts = baselines.select("sample_id", "n", F.col("nll").alias("baseline_nll")).join(steps.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_steps")), "sample_id")
+    body = attach_group(body, facts, ["sample_id"], "_steps").withColumn("fraction", F.col("_covered") / F.col("n"))
     start = baselines.select("sample_id", F.lit(0).cast("bigint").alias("step"), "nll", F.col("nll").alias("baseline_nll"), F.lit(0.0).alias("fraction"))
     curve = body.select("sample_id", F.col("step").cast("bigint").alias("step"), "nll", "baseline_nll", "fraction").unionByName(start)
     return curve.withColumn("delta_nll", F.col("nll") - F.col("baseline_nll")).drop("baseline_nll")
