@@ -344,6 +344,14 @@ def a9e(spark, sf):
     return tables.check_scores(*_scores(spark, sf))[1]
 
 
+def _detections(spark, sf):
+    o = table(spark, sf, "orders")
+    im = o.select(F.col("o_orderkey").alias("sample_id"), F.when(F.col("o_orderstatus") == "F", "val").otherwise("train").alias("split"), F.col("o_orderkey").alias("pos"), F.lit(640).alias("width"), F.lit(640).alias("height"))
+    cls = F.when(F.col("label") == "A", 1).when(F.col("label") == "N", 2).otherwise(3)
+    a = view(spark, sf, "v_box").select(F.col("image_id").alias("sample_id"), F.col("box_id").alias("ann_pos"), cls.alias("class_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), "w", "h")
+    return im, a
+
+
 @query(
     "a10_detection_tables",
     """with im as (select o_orderkey as sample_id, case when o_orderstatus = 'F' then 'val' else 'train' end as split from orders), id as (select *, row_number() over (partition by split order by sample_id) as image_id from im),
@@ -352,11 +360,27 @@ def a9e(spark, sf):
     ("v_box",),
 )
 def a10(spark, sf):
-    o = table(spark, sf, "orders")
-    im = o.select(F.col("o_orderkey").alias("sample_id"), F.when(F.col("o_orderstatus") == "F", "val").otherwise("train").alias("split"), F.col("o_orderkey").alias("pos"), F.lit(640).alias("width"), F.lit(640).alias("height"))
-    cls = F.when(F.col("label") == "A", 1).when(F.col("label") == "N", 2).otherwise(3)
-    a = view(spark, sf, "v_box").select(F.col("image_id").alias("sample_id"), F.col("box_id").alias("ann_pos"), cls.alias("class_id"), F.col("x1").alias("x"), F.col("y1").alias("y"), "w", "h")
-    return ann.detection_tables(im, a)[1].select("sample_id", "split", "image_id", "ann_pos", "class_id", "annotation_id", "line")
+    return ann.detection_tables(*_detections(spark, sf))[1].select("sample_id", "split", "image_id", "ann_pos", "class_id", "annotation_id", "line")
+
+
+@query(
+    "a10_coco_documents",
+    """with im as (select o_orderkey as sample_id, case when o_orderstatus = 'F' then 'val' else 'train' end as split from orders), id as (select *, row_number() over (partition by split order by sample_id) as image_id from im),
+    j as (select id.split, id.image_id, v.box_id as ann_pos, case label when 'A' then 1 when 'N' then 2 else 3 end as class_id, x1, y1, w, h from v_box v join id on id.sample_id = v.image_id)
+    select split, 'image' as kind, image_id as id, sample_id::varchar as file_name, null::bigint as image_id, null::bigint as category_id, null::double as x, null::double as y, null::double as w, null::double as h, null::double as area from id
+    union all select split, 'annotation', row_number() over (partition by split order by image_id, ann_pos), null, image_id, class_id, x1::double, y1::double, w::double, h::double, w::double * h from j""",
+    ("v_box",),
+)
+def a10d(spark, sf):
+    """Records of the documents as the sink wrote them."""
+    out = scratch_path(spark, "detections")
+    ann.write_detection_dataset(*_detections(spark, sf), out, ["A", "N", "R"])
+    shape = "id bigint, file_name string, image_id bigint, category_id bigint, bbox array<double>, area double"
+    lines = spark.read.schema("value string, split string").text(f"{out}/documents").filter(F.col("value").rlike(r"^,?\{\"id\""))
+    r = lines.select("split", F.from_json(F.regexp_replace("value", "^,", ""), shape).alias("r"))
+    kind = F.when(F.col("r.bbox").isNull(), "image").otherwise("annotation")
+    box = [F.col("r.bbox")[k].alias(c) for k, c in enumerate(("x", "y", "w", "h"))]
+    return r.select("split", kind.alias("kind"), "r.id", "r.file_name", "r.image_id", "r.category_id", *box, "r.area")
 
 
 @query("a11_run_records", "select 'evaluate' as kind, 'sf' as param, (select count(*) from documents) as n_documents, (select count(*) from events) as n_events")

@@ -204,12 +204,37 @@ def detection_tables(images: DataFrame, ann: DataFrame) -> tuple[DataFrame, Data
     return img, num.withColumn("line", line)
 
 
-def write_detection_dataset(images: DataFrame, ann: DataFrame, path: str, categories: list[str] | None = None) -> None:
-    """Per split: a COCO-style document table, label lines and image provenance.
+def document_lines(img: DataFrame, rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """(split, section, id, line): in this order the lines of a split are one COCO document.
+
+    img, rows: results of ``detection_tables``; categories: id, name. Sections: opening, images, annotations between
+    their brackets, and the categories with the end. Each record is a line of its own, so
+    no task and no aggregate holds a document. Missing sizes are nulls.
+    """
+    def record(df: DataFrame, section: int, key: str, fields: Column) -> DataFrame:
+        comma = F.when(F.col(key) == 1, F.lit("")).otherwise(F.lit(","))
+        text = F.to_json(fields, {"ignoreNullFields": "false"})
+        return df.select("split", F.lit(section).alias("section"), F.col(key).cast("bigint").alias("id"), F.concat(comma, text).alias("line"))
 
-    ``documents`` holds one JSON object per image with its annotations (``iscrowd``, area)
-    and the categories beside them, so a split of any size is written by many tasks;
-    ``labels`` is one table of (image, lines) per split, not a folder per image.
+    image = F.struct(F.col("image_id").alias("id"), F.col("sample_id").cast("string").alias("file_name"), "width", "height")
+    box = F.struct(F.col("annotation_id").alias("id"), "image_id", F.col("class_id").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
+    names = categories.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "name")))).alias("_names"))  # one row; a class list
+    fixed = F.array(*[F.struct(F.lit(k).alias("section"), F.lit(0).cast("bigint").alias("id"), line.alias("line")) for k, line in (
+        (0, F.lit('{"images": [')), (2, F.lit('], "annotations": [')), (4, F.concat(F.lit('], "categories": '), "_names", F.lit("}"))))])
+    frame = img.select("split").distinct().join(F.broadcast(names)).select("split", F.explode(fixed).alias("f")).select("split", "f.*")
+    return frame.unionByName(record(img, 1, "image_id", image)).unionByName(record(rows, 3, "annotation_id", box))
+
+
+def write_detection_dataset(images: DataFrame, ann: DataFrame, path: str, categories: list[str] | None = None) -> None:
+    """Per split: a COCO document, tables of its records, label lines, provenance and prepared samples.
+
+    ``documents/split=...`` holds one JSON document in text parts, written by many tasks: its
+    files one after another, in name order, are the document. ``annotations`` and
+    ``images`` hold the same records as JSON lines; ``labels`` is one table of (image, lines) per
+    split, not a folder per image. ``provenance`` has one line per annotation and ``prepared`` one
+    per sample; both carry the further columns of ``ann`` and ``images``. Without
+    ``categories`` the class ids stand for the names. A split is there if it has an image;
+    an image without boxes has no label lines.
     """
     img, rows = detection_tables(images, ann)
     rows = rows.withColumn("area", F.col("w") * F.col("h"))
@@ -217,6 +242,18 @@ def write_detection_dataset(images: DataFrame, ann: DataFrame, path: str, catego
     img.write.mode("overwrite").partitionBy("split").json(f"{path}/images")
     labels = rows.groupBy("split", "sample_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("annotation_id", "line"))), lambda x: x["line"]), "\n").alias("value"))
     labels.write.mode("overwrite").partitionBy("split").json(f"{path}/labels")
+    spark = images.sparkSession
     if categories is not None:
-        spark = images.sparkSession
-        spark.createDataFrame([(i + 1, c) for i, c in enumerate(categories)], "id int, name string").write.mode("overwrite").json(f"{path}/categories")
+        names = spark.createDataFrame([(i + 1, c) for i, c in enumerate(categories)], "id int, name string")
+        names.write.mode("overwrite").json(f"{path}/categories")
+    else:
+        names = rows.select(F.col("class_id").cast("int").alias("id"), F.col("class_id").cast("string").alias("name")).distinct()
+    lines = document_lines(img, rows, names).sort("split", "section", "id")
+    lines.select("split", "line").write.mode("overwrite").partitionBy("split").text(f"{path}/documents")
+    known = {"sample_id", "ann_pos", "class_id", "x", "y", "w", "h", "split", "image_id", "annotation_id", "width", "height", "pos"}
+    box = [F.col("ann_pos").alias("source_annotation_index"), F.col("class_id").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox_xywh")]
+    more = [F.col(f"`{c}`") for c in ann.columns if c not in known | {"source_annotation_index", "category_id", "bbox_xywh"}]
+    rows.select("split", "sample_id", "image_id", "annotation_id", *box, *more).write.mode("overwrite").json(f"{path}/provenance")
+    counts = rows.groupBy("split", "sample_id").agg(F.count(F.lit(1)).alias("n_annotations"))
+    prepared = img.join(counts, ["split", "sample_id"], "left").withColumn("n_annotations", F.coalesce("n_annotations", F.lit(0)))
+    prepared.write.mode("overwrite").json(f"{path}/prepared")

@@ -46,3 +46,29 @@ def test_detection_dataset_written(spark, tmp_path):
     annotations.write_detection_dataset(im, an, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "annotations")).first().area == 4
     assert spark.read.json(str(tmp_path / "out" / "labels")).first().value == "0 0.20000000 0.20000000 0.20000000 0.20000000"
+
+
+def test_detection_documents_parse(spark, tmp_path):
+    import json
+
+    im = spark.createDataFrame([(k, "val" if k % 3 == 0 else "train", k, 64, 32, f"f{k}") for k in range(1, 41)] + [(99, "empty", 1, 8, 8, None)],
+                               "sample_id long, split string, pos long, width int, height int, family string").repartition(5)
+    an = spark.createDataFrame([(k, j, 1 + j % 2, float(j), 1.0, 4.0, 2.0, "tool \"x\"") for k in range(1, 41) if k % 4 for j in range(k % 5)],
+                               "sample_id long, ann_pos int, class_id int, x double, y double, w double, h double, source string").repartition(5)
+    out = str(tmp_path / "set")
+    annotations.write_detection_dataset(im, an, out, ["one", "two"])
+    n = 0
+    for split, size in (("train", 27), ("val", 13), ("empty", 1)):
+        parts = sorted((tmp_path / "set" / "documents" / f"split={split}").glob("part-*"))
+        doc = json.loads("".join(p.read_text() for p in parts))
+        assert [i["id"] for i in doc["images"]] == list(range(1, size + 1))
+        assert [a["id"] for a in doc["annotations"]] == list(range(1, len(doc["annotations"]) + 1))
+        assert [c["name"] for c in doc["categories"]] == ["one", "two"]
+        assert all(a["bbox"][2] * a["bbox"][3] == a["area"] and a["iscrowd"] == 0 for a in doc["annotations"])
+        assert [int(i["file_name"]) for i in doc["images"]] == ([99] if split == "empty" else [k for k in range(1, 41) if (k % 3 == 0) == (split == "val")])
+        n += len(doc["annotations"])
+    assert n == an.count()
+    provenance = spark.read.json(f"{out}/provenance")
+    assert provenance.count() == n and provenance.filter("source = 'tool \"x\"'").count() == n
+    prepared = spark.read.json(f"{out}/prepared")
+    assert prepared.count() == 41 and prepared.agg({"n_annotations": "sum"}).first()[0] == n
