@@ -75,11 +75,15 @@ def _cells(df: DataFrame, grid: int) -> DataFrame:
 
 
 def touching_pairs(a: DataFrame, b: DataFrame, grid: int = GRID, extra: list[str] = ()) -> DataFrame:
-    """Pairs ``a``/``b`` of one image whose interiors meet; columns stay under the aliases a and b."""
+    """Pairs ``a``/``b`` of one image whose interiors meet; columns stay under the aliases a and b.
+
+    The optimizer sizes a side as if its tiles and cells were not unfolded, so a large side can
+    pass for one to broadcast; the hint keeps both sides in the shuffle.
+    """
     cond = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._gx") == F.col("b._gx")) & (F.col("a._gy") == F.col("b._gy"))
     for c in extra:
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    j = _cells(a, grid).alias("a").join(_cells(b, grid).alias("b"), cond)
+    j = _cells(a, grid).alias("a").join(_cells(b, grid).alias("b").hint("merge"), cond)
     cx = F.floor(F.greatest(F.col("a.x1"), F.col("b.x1")) / grid)
     cy = F.floor(F.greatest(F.col("a.y1"), F.col("b.y1")) / grid)
     return j.filter((intersection("a", "b") > 0) & (F.col("a._gx") == cx) & (F.col("a._gy") == cy))

@@ -147,3 +147,11 @@ def test_headers_across_pieces(spark):
         rows = [(k, i // size, data[i : i + size]) for k, data in samples.items() for i in range(0, max(1, len(data)), size)]
         got = sorted(tuple(r) for r in headers.scan_headers(spark.createDataFrame(rows, "sample_id bigint, piece int, content binary"), size, 500).collect())
         assert got == [(k, *s) for k, data in samples.items() for s in brute_scan(data, 500)] and len(got) > 20
+
+
+def test_unfolded_tiles_are_not_broadcast(spark, sf):
+    """Every image has nine tiles of four cells, which the optimizer takes for one row."""
+    from spanframe.plans import catalog
+
+    plan = catalog.queries()["k8_slice_annotations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
