@@ -86,6 +86,50 @@ def fill_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(runs, kind)], names=["sample_id", "content", "runs"])
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGIT = np.full(256, 255, np.uint8)
+for _chars, _first in ((b"0123456789", 0), (b"ABCDEF", 10), (b"abcdef", 10)):
+    _DIGIT[np.frombuffer(_chars, np.uint8)] = np.arange(_first, _first + len(_chars))
+_DIGIT[ord("?")] = 128
+
+
+def dump_tokens(offsets: np.ndarray, payloads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of the tokens of some lines, in order; -1 stands for ``??``, other shapes are left out."""
+    text = np.frombuffer("\n".join(payloads).encode("utf-8", "surrogatepass"), np.uint8)
+    gap = np.concatenate(([True], _SPACE[text], [True]))
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    line = np.searchsorted(np.flatnonzero(text == 10), starts)
+    first = np.searchsorted(line, np.arange(len(payloads)))
+    at = offsets[line] + np.arange(line.size) - first[line]
+    pair = ends - starts == 2
+    high, low = _DIGIT[text[starts[pair]]].astype(np.int64), _DIGIT[text[starts[pair] + 1]].astype(np.int64)
+    value = np.where((high < 16) & (low < 16), 16 * high + low, np.where((high == 128) & (low == 128), -1, -2))
+    return at[pair][value > -2], value[value > -2]
+
+
+def dump_batches(batches, step: int = 4096):
+    """(sample_id, offsets, payloads) -> (sample_id, content, runs); a later line wins. Tokens are read ``step`` lines at a time."""
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            offsets, payloads = batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values
+            value, size = np.zeros(int(offsets.max(initial=0)) + 1, np.int16), 0
+            for lo in range(0, len(payloads), step):
+                at, v = dump_tokens(offsets[lo : lo + step], payloads.slice(lo, step).to_pylist())
+                if at.size:
+                    size = max(size, int(at.max()) + 1)
+                    if size > value.size:
+                        value = np.concatenate((value, np.zeros(size, np.int16)))
+                    value[at] = np.where(v < 0, 0, v + 1)
+            if not size:
+                continue
+            value = value[:size]
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], value > 0, [False]))))
+            runs = [{"lo": lo, "hi": hi} for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
+            content = np.maximum(value - 1, 0).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary()), pa.array([runs], kind)], names=["sample_id", "content", "runs"])
+
+
 def _samples(batch):
     """(sample_id, content, runs) of each row; runs are None where the batch has no mask."""
     runs = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows

@@ -170,16 +170,16 @@ nb as (select sample_id, count(*) as n from bt group by 1)"""
 
 def _dump_text(spark, sf):
     """Documents as dumps of 16 bytes per line, with unknown bytes, a dropped line and a late rewrite."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), F.hex(F.encode("text", "utf-8")).alias("h"))
-    n = F.ceil(F.length("h") / 32).cast("int")
-    def line(i):
-        part = F.substring(F.col("h"), i * 32 + 1, F.lit(32))
-        body = F.trim(F.regexp_replace(part, "(..)", "$1 "))
-        body = F.when(i % 5 == 2, F.regexp_replace(body, "^..", "??")).otherwise(body)
-        # addresses of 6, 8 and 16 digits
-        width = F.when(F.col("sample_id") % 3 == 0, 8).when(F.col("sample_id") % 3 == 1, 16).otherwise(6)
+    h = F.hex(F.encode("text", "utf-8"))
+    # cut in one pass: a substring per line would read a long text once for every line
+    bodies = F.regexp_extract_all(F.regexp_replace(h, "(..)", "$1 "), F.lit(".{1,48}"), F.lit(0))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), bodies.alias("bodies"))
+    # addresses of 6, 8 and 16 digits
+    width = F.when(F.col("sample_id") % 3 == 0, 8).when(F.col("sample_id") % 3 == 1, 16).otherwise(6)
+    def line(x, i):
+        body = F.when(i % 5 == 2, F.concat(F.lit("??"), F.substring(F.rtrim(x), 3, 48))).otherwise(F.rtrim(x))
         return F.when(i % 7 == 6, F.lit("; comment")).otherwise(F.concat(F.lpad(F.hex(F.lit(0x401000) + i * 16), width, "0"), F.lit(" "), body))
-    lines = F.transform(F.sequence(F.lit(0), n - 1), line)
+    lines = F.transform("bodies", line)
     return d.select("sample_id", F.concat_ws("\n", F.concat(lines, F.array(F.lit("00401001 AA ??"), F.lit("00400000 11 22")))).alias("text"))
 
 
@@ -235,9 +235,10 @@ def e14f(spark, sf):
 
 
 def _masked(spark, sf):
-    valid, facts, _ = dumps.assemble_dump(dumps.parse_hex_dumps(_dump_text(spark, sf), "text"))
+    lines = dumps.parse_hex_dumps(_dump_text(spark, sf), "text")
     # a fifth of the samples has no valid byte at all
-    return dumps.masked_content(valid.filter("sample_id % 5 <> 0"), facts)
+    unknown = F.regexp_replace("payload", "[0-9A-F]{2}", "??")
+    return dumps.dump_content(lines.withColumn("payload", F.when(F.col("sample_id") % 5 == 0, unknown).otherwise(F.col("payload"))))
 
 
 KNOWN = ASM + """, vb as (select sample_id, off, ('0x' || t)::integer as b from cv where t <> '??' and sample_id % 5 <> 0), sm as (select distinct sample_id from cv)"""

@@ -98,6 +98,18 @@ def masked_content(valid: DataFrame, facts: DataFrame) -> DataFrame:
         kernels.fill_batches, f"sample_id {dict(valid.dtypes)['sample_id']}, content binary, runs array<struct<lo:bigint,hi:bigint>>")
 
 
+def dump_content(lines: DataFrame) -> DataFrame:
+    """(sample_id, content, runs) of parsed lines: ``masked_content`` of what ``assemble_dump`` makes of them.
+
+    Lines, not bytes, are shuffled and collected: a sample's lines are put together by the
+    task that writes its content. A sample without a well-formed token gives no row.
+    """
+    own = lines.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "offset", "payload"))).alias("l"))
+    kind = dict(lines.dtypes)["sample_id"]
+    return own.select("sample_id", F.col("l.offset").alias("offsets"), F.col("l.payload").alias("payloads")).mapInArrow(
+        kernels.dump_batches, f"sample_id {kind}, content binary, runs array<struct<lo:bigint,hi:bigint>>")
+
+
 def parse_segment_listing(df: DataFrame, text: str) -> DataFrame:
     """Lowest and highest address, decimal(20,0), per segment name of ``name:ADDR`` lines."""
     lines = df.select("sample_id", F.explode(F.split(text, "\r?\n")).alias("_l"))

@@ -49,3 +49,14 @@ def test_addresses_of_any_width(spark):
     valid, facts, bad = dumps.assemble_dump(lines)
     row = dumps.masked_content(valid, facts).first()
     assert bytes(row.content) == b"\x55\x8b\xec\x00\xaa\x01" and [tuple(r) for r in row.runs] == [(0, 3), (4, 6)] and bad.count() == 0
+
+
+def test_dump_lines_are_put_together_like_their_bytes(spark):
+    """Overlaps, rewrites, unknown and malformed tokens; a sample may have no valid byte or no token at all."""
+    rows = [("a", "1000 55 8B ?? zz AAA 0c\n; none\n1004 01 02\n1001 ??\n1010 ff"), ("b", "20 ?? ?? q"), ("c", "30 xyz 1"), ("d", "A0 11\nA0 22\n9F 33"), ("e", "none"), ("f", None)]
+    lines = dumps.parse_hex_dumps(spark.createDataFrame(rows, "sample_id string, text string"), "text")
+    valid, facts, _ = dumps.assemble_dump(lines)
+    shape = lambda df: {r.sample_id: (bytes(r.content), [tuple(x) for x in r.runs]) for r in df.collect()}
+    got = shape(dumps.dump_content(lines))
+    assert got == shape(dumps.masked_content(valid, facts)) and set(got) == {"a", "b", "d"}
+    assert got["a"][1] == [(0, 1), (4, 6), (16, 17)] and got["b"] == (b"\0\0", [])
