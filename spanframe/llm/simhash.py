@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import partitions, slot_marks
+from spanframe.llm.common import bounded_batches, partitions, slot_marks
 from spanframe.llm.near_copies import similar_components
 from spanframe.llm.registry import query, table
 from spanframe.operators.components import connected_components
@@ -185,7 +185,25 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = placed.select(F.col(id_col).alias("id"), F.col("_row").alias("row"), F.col(text_col).alias("text"))
     found = similar_components(rows, words, threshold)
-    gone = durable(found.filter(F.col("row") != F.col("low.row")).select(F.col("row").alias("_row")))
+    return _without(docs, placed, found.filter(F.col("row") != F.col("low.row")).select(F.col("row").alias("_row")))
+
+
+def without_simhash_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component of ``simhash_components``: the smallest by (id, place in the table).
+
+    A null id is the smallest; rows may repeat; all columns stay. Null and empty texts are one
+    component. The input must give the same rows when read again: a table or a checkpoint.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    place = F.struct(F.col(id_col).alias("id"), F.when(F.col("_row") >= 0, F.col("_row")).alias("row"))
+    with bounded_batches(docs.sparkSession):
+        found = simhash_components(placed.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", words, radius)
+        return _without(docs, placed, found.filter(F.col("place.row") != F.col("component_id.row")).select(F.col("place.row").alias("_row")))
+
+
+def _without(docs: DataFrame, placed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in the rows of ``placed`` that ``gone`` does not name by ``_row``."""
+    gone = durable(gone)
     marked = slot_marks(placed, "_row", gone, "_row")
     likely = marked.filter("_marked").join(gone, "_row", "left_anti")
     columns = [F.col(f"`{c}`") for c in docs.columns]

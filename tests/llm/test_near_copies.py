@@ -59,3 +59,16 @@ def test_components_are_those_of_brute_force(spark, rounds, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("row", F.col("id").cast("bigint"))
     got = {r.row: r.low.id for r in near_copies.similar_components(df).collect()}
     assert got == dict(enumerate(part)) and 4 < len(set(part)) < len(part) - 10
+
+
+def test_pipeline_keeps_one_document_of_each_simhash_component(spark, sf):
+    """The stage drops what the SimHash operator links, whatever else is alike; repeated and null ids too."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lows = {r.component_id for r in simhash.simhash_components(docs, words=5).collect()}
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf)
+    assert {r.doc_id for r in kept.collect()} == lows and kept.columns == docs.columns and kept.count() == len(lows) < docs.count()
+    rows = [(3, "a b c d e f"), (None, "A b c d e f"), (2, None), (2, ""), (5, "x")]
+    own = simhash.without_simhash_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in own.collect()) == [(0, "A b c d e f"), (2, None), (5, "x")]
