@@ -3,7 +3,7 @@
 A line is its set of tokens. It is removed if an earlier line, by (id, row, line), has a
 Jaccard similarity of at least the threshold, kept or not. Steps:
 
-1. Tokens are ordered by rarity: counts of 2^20 token slots over a sample of rows rank the
+1. Tokens are ordered by rarity: counts of 2^20 token slots over all rows rank the
    slots, and the token hash orders within a slot. The order is total, so the filters below
    are exact for any counts; how well it sorts by rarity only decides speed.
 2. Every line gives its size, the digest of its token set and its prefix, the rarest
@@ -49,21 +49,16 @@ _ONE, _LAST = np.uint64(1), np.uint64(63)
 MEMO_WORDS = 100_000
 BLOCK_WORDS = 250_000
 THRESHOLD = 0.8
-#: About so many rows give the order of the tokens.
-ORDER_ROWS = 20_000
 HOT = 100_000
 CROWD = 4096
 FEW = 8
 
 
 def slot_ranks(rows: DataFrame) -> np.ndarray:
-    """Rank of each token slot by how often its tokens occur.
+    """Rank of each token slot by how often its tokens occur, counted over all rows.
 
-    Counted over the rows whose hash is divisible by rows / ``ORDER_ROWS``, all rows of a small
-    table. The ranks only order the tokens, which decides speed: the join is exact in any order.
+    The ranks only order the tokens, which decides speed: the join is exact in any order.
     """
-    every = max(1, rows.count() // ORDER_ROWS)
-    rows = rows.filter(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0)
 
     def count(batches):
         total = np.zeros(SLOTS, np.int64)

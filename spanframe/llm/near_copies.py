@@ -3,7 +3,7 @@
 A text is the set of its shingles of ``words`` words; two texts link if the Jaccard
 similarity of their sets reaches the threshold. No link is lost to sampling or sketches:
 
-1. Shingles are ordered by rarity (counts of 2^20 slots over a sample of rows, then the hash), and
+1. Shingles are ordered by rarity (counts of 2^20 slots over all rows, then the hash), and
    a text gives the rarest of its shingles that two similar texts cannot both lack.
 2. Texts of one set collapse onto the first. Of the others, those that share a shingle of
    the prefixes meet under length and position filters, and are linked if their true
@@ -36,8 +36,6 @@ LOW = np.uint64((1 << (64 - SLOT_BITS)) - 1)
 MEMO_WORDS = 100_000
 BLOCK = 1 << 18
 ROUNDS = 2
-#: About so many rows give the order of the shingles.
-ORDER_ROWS = 20_000
 HOT = 2000
 
 
@@ -70,13 +68,10 @@ def shingle_set(text: str | None, words: int, memo: _Words) -> np.ndarray:
 
 
 def slot_ranks(rows: DataFrame, words: int) -> np.ndarray:
-    """Rank of each slot of shingles by the number of texts that hold one of them.
+    """Rank of each slot of shingles by the number of texts that hold one of them, counted over all rows.
 
-    Counted over the rows whose hash is divisible by rows / ``ORDER_ROWS``, all rows of a small
-    table. The ranks only order the shingles, which decides speed: the join is exact in any order.
+    The ranks only order the shingles, which decides speed: the join is exact in any order.
     """
-    every = max(1, rows.count() // ORDER_ROWS)
-    rows = rows.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
 
     def count(batches):
         total, memo, held, size = np.zeros(1 << SLOT_BITS, np.int64), _Words(), [np.zeros(0, np.uint64)], 0

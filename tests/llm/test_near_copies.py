@@ -72,3 +72,21 @@ def test_pipeline_keeps_one_document_of_each_simhash_component(spark, sf):
     rows = [(3, "a b c d e f"), (None, "A b c d e f"), (2, None), (2, ""), (5, "x")]
     own = simhash.without_simhash_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted((r.doc_id or 0, r.text) for r in own.collect()) == [(0, "A b c d e f"), (2, None), (5, "x")]
+
+
+def test_order_counts_every_row(spark):
+    """More rows than the sample once held: each slot is ranked by its count over all of them."""
+    import numpy as np
+    import xxhash
+
+    from spanframe.llm import line_dedup
+
+    df = spark.range(45_000).selectExpr("id as uid", "id as row", "concat('w', floor(sqrt(id))) as text")
+    words = [f"w{k}".encode() for k in range(213)]
+    counts = np.bincount(np.floor(np.sqrt(np.arange(45_000))).astype(int))
+    for ranks, hashes in ((line_dedup.slot_ranks(df), [xxhash.xxh64_intdigest(w) for w in words]), (near_copies.slot_ranks(df, 5), [int(near_copies.shingle_set(w.decode(), 5, near_copies._Words())[0]) for w in words])):
+        n = np.zeros(1 << 20, np.int64)
+        np.add.at(n, [h >> 44 for h in hashes], counts)
+        want = np.empty(1 << 20, np.int32)
+        want[np.argsort(n, kind="stable")] = np.arange(1 << 20, dtype=np.int32)
+        assert (ranks == want).all()
