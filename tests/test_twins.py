@@ -60,3 +60,9 @@ def test_dump_lines_are_put_together_like_their_bytes(spark):
     got = shape(dumps.dump_content(lines))
     assert got == shape(dumps.masked_content(valid, facts)) and set(got) == {"a", "b", "d"}
     assert got["a"][1] == [(0, 1), (4, 6), (16, 17)] and got["b"] == (b"\0\0", [])
+
+
+def test_controls_are_placed_once(spark, sf):
+    """Counts, merged lengths and overlaps read the placed windows; none of them places anew."""
+    plan = catalog.queries()["d25_controls_disjoint"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
