@@ -69,21 +69,23 @@ def rank_selectors(tiles: DataFrame, seed: str | int, extra: tuple[str, ...] = (
     return out
 
 
-def choices(ranked: DataFrame, budgets=BUDGETS, selectors=SELECTORS) -> DataFrame:
-    """One row per (tile, selector, budget) that is selected; ranks are computed once."""
+def is_chosen(selector: str, budget: float) -> Column:
+    """Does ``selector`` pick the tile of a ranked row under ``budget``?"""
     n = F.col("n_tiles")
+    k = budget_size(n, budget)
+    if selector == "uniform":
+        return is_uniform(F.col("tile"), n, k)
+    if selector == "front_first":
+        return F.col("tile") < k
+    if selector == "back_first":
+        return F.col("tile") >= n - k
+    return F.col(f"rank_{selector}") <= k
 
-    def chosen(name: str, k: Column) -> Column:
-        if name == "uniform":
-            return is_uniform(F.col("tile"), n, k)
-        if name == "front_first":
-            return F.col("tile") < k
-        if name == "back_first":
-            return F.col("tile") >= n - k
-        return F.col(f"rank_{name}") <= k
 
+def choices(ranked: DataFrame, budgets=BUDGETS, selectors=SELECTORS) -> DataFrame:
+    """One row per (tile, selector, budget) that is selected; ranks are computed once."""
     cells = F.array(*[
-        F.when(chosen(s, budget_size(n, b)), F.struct(F.lit(s).alias("selector"), F.lit(float(b)).alias("budget")))
+        F.when(is_chosen(s, b), F.struct(F.lit(s).alias("selector"), F.lit(float(b)).alias("budget")))
         for s in selectors for b in budgets
     ])
     return ranked.withColumn("c", F.explode(F.array_compact(cells))).withColumn("selector", F.col("c.selector")).withColumn(
@@ -91,20 +93,22 @@ def choices(ranked: DataFrame, budgets=BUDGETS, selectors=SELECTORS) -> DataFram
     ).drop("c")
 
 
-def evidence_tiles(tiles: DataFrame, intervals: DataFrame, size: int) -> DataFrame:
+def evidence_tiles(tiles: DataFrame, intervals: DataFrame, size: int, parts: int | None = None) -> DataFrame:
     """Tiles with their evidence: bytes, the interval parts inside, and sample totals.
 
     Tile rows and interval parts travel through one exchange on the sample, after
-    which every grouping and ranking of the evaluation is local.
+    which every grouping and ranking of the evaluation is local. ``parts`` fixes the number
+    of its partitions, for tables whose tiles hold far more memory than shuffle bytes.
     tiles: sample_id, tile, tile_len, entropy; intervals: canonical sample_id, lo, hi.
     """
     from spanframe.operators.intervals import tile_pieces
 
     cut = intervals.withColumn("interval_id", F.col("lo")).withColumn("length", F.col("hi") - F.col("lo"))
-    parts = tile_pieces(cut, ["sample_id"], size).select(
+    pieces = tile_pieces(cut, ["sample_id"], size).select(
         "sample_id", "tile", F.struct("interval_id", "length", "n_bytes", (F.floor(F.col("interval_id") / size) == F.col("tile")).alias("first")).alias("part")
     )
-    both = tiles.unionByName(parts, allowMissingColumns=True)
+    both = tiles.unionByName(pieces, allowMissingColumns=True)
+    both = both.repartition(parts, "sample_id") if parts else both
     one = both.groupBy("sample_id", "tile").agg(
         F.max("tile_len").alias("tile_len"), F.max("entropy").alias("entropy"), F.collect_list("part").alias("parts")
     )
@@ -143,6 +147,10 @@ def selection_metrics(selected: DataFrame, by: list[str]) -> DataFrame:
         F.max("_total").alias("_total"), F.max("_n").alias("n_regions"), F.count(F.when(half, F.lit(1))).alias("_covered"),
         F.sum("_len").alias("_len"), F.sum("_inter").alias("_inter"), F.sum("k").alias("k"),
     )
+    return _metrics(out, by)
+
+
+def _metrics(out: DataFrame, by: list[str]) -> DataFrame:
     total, union = F.col("_total"), F.col("_len") + F.col("_total") - F.col("_inter")
     return out.select(
         "sample_id", *by,
@@ -153,6 +161,52 @@ def selection_metrics(selected: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def grid_metrics(ranked: DataFrame, by: list[str], budgets=BUDGETS, selectors=SELECTORS) -> DataFrame:
+    """``selection_metrics`` of all ``choices`` by (*by, selector, budget), without a row per choice.
+
+    A tile carries one bit per (selector, budget) that picks it. It gives one record each for its
+    length, its evidence and its count, and one per interval part; a group then holds one sum
+    per bit, so the table stays as long as tiles and parts and is not multiplied by the grid.
+    ``by`` names columns that are constant in a sample.
+    """
+    grid = [(s, float(b)) for s in selectors for b in budgets]
+    if len(grid) > 63:
+        raise ValueError("a grid holds at most 63 cells")
+    zero = F.lit(0).cast("bigint")
+    bits = F.lit(0).cast("bigint")
+    for i, (s, b) in enumerate(grid):
+        bits = bits.bitwiseOR(F.when(is_chosen(s, b), F.lit(1 << i).cast("bigint")).otherwise(zero))
+
+    def record(what: str, interval: Column, length: Column, value: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), interval.alias("interval_id"), length.alias("length"), value.cast("bigint").alias("value"))
+
+    none = F.lit(None).cast("bigint")
+    own = F.array(
+        record("len", none, zero, F.col("tile_len")), record("got", none, zero, F.col("evidence")), record("k", none, zero, F.lit(1)),
+    )
+    inner = F.transform("parts", lambda p: record("part", p["interval_id"], p["length"], p["n_bytes"]))
+    rec = ranked.select("sample_id", *by, "evidence_bytes", "n_intervals", bits.alias("_bits"), F.explode(F.concat(own, inner)).alias("r"))
+    per = rec.groupBy("sample_id", *by, F.col("r.what").alias("_what"), F.col("r.interval_id").alias("interval_id")).agg(
+        F.max("evidence_bytes").alias("_total"), F.max("n_intervals").alias("_n"), F.max("r.length").alias("_l"),
+        *[F.sum(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.col("r.value")).otherwise(zero)).alias(f"_s{i}") for i in range(len(grid))],
+    )
+    one = lambda what, i: F.max(F.when(F.col("_what") == what, F.col(f"_s{i}"))).alias(f"_{what}{i}")
+    half = lambda i: (F.col("_what") == "part") & (F.col(f"_s{i}") > 0) & (F.col(f"_s{i}") * 2 >= F.col("_l"))
+    wide = per.groupBy("sample_id", *by).agg(
+        F.max("_total").alias("_total"), F.max("_n").alias("n_regions"),
+        *[c for i in range(len(grid)) for c in (one("len", i), one("got", i), one("k", i), F.count(F.when(half(i), F.lit(1))).alias(f"_covered{i}"))],
+    )
+    cells = F.array(*[
+        F.struct(
+            F.lit(s).alias("selector"), F.lit(b).alias("budget"), F.col(f"_len{i}").alias("_len"), F.col(f"_got{i}").alias("_inter"),
+            F.col(f"_k{i}").alias("k"), F.col(f"_covered{i}").alias("_covered"),
+        )
+        for i, (s, b) in enumerate(grid)
+    ])
+    out = wide.select("sample_id", *by, "_total", "n_regions", F.inline(cells)).filter("k > 0")
+    return _metrics(out, [*by, "selector", "budget"])
+
+
 def position_bin(idx: Column, n: Column, bins: int) -> Column:
     return F.least(F.floor((idx + 0.5) / n * bins), F.lit(bins - 1)).cast("bigint")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanframe.operators import budget, intervals, sequence, spans
 from spanframe.plans.views import table
+from spanframe.session import read_tasks
 
 TILE = 64
 RULES = ["the ", " and ", "License", "@"]
@@ -20,15 +21,15 @@ def scored_tiles(spark: SparkSession, sf: str) -> DataFrame:
         "sample_id", "tile", F.col("n_units").alias("tile_len"), F.round("entropy", 9).alias("entropy")
     )
     found = intervals.merge_bounded(spans.literal_spans(docs, "doc_id", "text", RULES), ["sample_id"])
-    out = budget.evidence_tiles(tiles, found, TILE)
+    out = budget.evidence_tiles(tiles, found, TILE, 8 * read_tasks(docs))
     out = sequence.boundary_score(out).withColumn("boundary", F.round("boundary", 9))
     return out.withColumn("stratum", F.when(F.col("n_units") > 4096, "long").otherwise("short"))
 
 
-def evaluation(spark: SparkSession, sf: str) -> DataFrame:
+def evaluation(spark: SparkSession, sf: str, budgets=budget.BUDGETS) -> DataFrame:
     """Metrics per (sample, stratum, selector, budget)."""
     ranked = budget.rank_selectors(scored_tiles(spark, sf), SEED)
-    return budget.selection_metrics(budget.choices(ranked), ["stratum", "selector", "budget"])
+    return budget.grid_metrics(ranked, ["stratum"], budgets)
 
 
 def evidence_by_selector(spark: SparkSession, sf: str) -> DataFrame:

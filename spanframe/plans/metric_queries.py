@@ -390,7 +390,7 @@ def l3(spark, sf):
     from rq left join (select * from ev where budget = 0.10) e on e.sample_id = rq.sample_id and e.selector = rq.method group by 1, 2""",
 )
 def l5(spark, sf):
-    ev = flagship.evaluation(spark, sf).filter("budget = 0.10")
+    ev = flagship.evaluation(spark, sf, (0.10,))
     req = view(spark, sf, "v_tile").select("sample_id", "stratum")
     out = classify.coverage_report(req, ev.select("sample_id", F.col("selector").alias("method"), F.col("coverage").alias("value")), ["entropy", "random", "attention"], ["stratum"])
     return _r(out, "coverage", "mean_value", digits=9)

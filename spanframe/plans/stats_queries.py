@@ -177,7 +177,7 @@ rep as (select stratum, selector, baseline, n_pairs, round(est, 6) as estimate,
 
 
 def _report(spark, sf):
-    ev = flagship.evaluation(spark, sf).filter("budget = 0.10 and coverage is not null")
+    ev = flagship.evaluation(spark, sf, (0.10,)).filter("coverage is not null")
     return verdicts.stratum_report(ev, STRATA, SELECT, BASE, B, "gate")
 
 
@@ -188,7 +188,7 @@ def i9(spark, sf):
 
 @query("i9_coverage_means", f"with {EVAL} select stratum, selector, count(coverage) as n, round(avg(coverage), 9) as coverage_mean from ev where budget = 0.10 group by all")
 def i9m(spark, sf):
-    return _r(verdicts.coverage_means(flagship.evaluation(spark, sf).filter("budget = 0.10")), "coverage_mean", digits=9)
+    return _r(verdicts.coverage_means(flagship.evaluation(spark, sf, (0.10,))), "coverage_mean", digits=9)
 
 
 @query(
