@@ -88,6 +88,21 @@ def count_stratum(value: Column, t1: Column, t2: Column) -> Column:
     return F.when(value <= t1, "low").when(value <= t2, "mid").otherwise("high")
 
 
+def _first_by_prefix(long: DataFrame, target: int, digits: int = 3) -> DataFrame:
+    """Rows whose hash prefix is among the lowest that hold ``target`` members of their stratum.
+
+    Nothing of the first ``target`` in hash order is lost. Counts per prefix are at most 16 ** ``digits``
+    rows a stratum; they cut the rows as they are read, so no task sorts a share of the table.
+    """
+    keys = ["split", "s"]
+    cells = long.groupBy(*keys, F.substring("h", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    last = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < target)
+    last = last.groupBy(*keys).agg(F.max("_p").alias("_last"))  # one row per split and stratum
+    near = F.col("x.split").eqNullSafe(F.col("y.split")) & F.col("x.s").eqNullSafe(F.col("y.s")) & (F.substring("x.h", 1, digits) <= F.col("y._last"))
+    return long.alias("x").join(F.broadcast(last).alias("y"), near).select("x.*")
+
+
 def stratified_round_robin(df: DataFrame, target: int, seed: str, tags: Sequence[str]) -> DataFrame:
     """Round-robin pick over tag, no-tag and tertile strata, then fill in hash order.
 
@@ -102,7 +117,7 @@ def stratified_round_robin(df: DataFrame, target: int, seed: str, tags: Sequence
         F.array(F.col("stratum"), F.lit("any")),
     )
     long = keyed.select("sample_id", "split", "h", F.explode(member).alias("s"))
-    short = top_in_group(long, ["split", "s"], [F.col("h"), F.col("sample_id")], target)
+    short = top_in_group(_first_by_prefix(long, target), ["split", "s"], [F.col("h"), F.col("sample_id")], target)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         waiting = {s: iter(g.sort_values(["h", "sample_id"])["sample_id"].tolist()) for s, g in pdf.groupby("s")}

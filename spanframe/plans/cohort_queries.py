@@ -83,7 +83,8 @@ def b4(spark, sf):
 def b4s(spark, sf):
     p = _pool(spark, sf)
     t = co.count_tertiles(p, ["split"], "cnt")
-    return p.join(t, "split").select("sample_id", "split", co.count_stratum(F.col("cnt"), F.col("t1"), F.col("t2")).alias("stratum"))
+    return p.join(F.broadcast(t), "split").select(  # one row per split
+        "sample_id", "split", co.count_stratum(F.col("cnt"), F.col("t1"), F.col("t2")).alias("stratum"))
 
 
 RR_TAGS = ("urgent", "high", "pending")
@@ -96,7 +97,8 @@ def _strata(spark, sf):
     tags = F.array_compact(F.array(
         F.when(F.col("o_orderpriority") == "1-URGENT", "urgent"), F.when(F.col("o_orderpriority") == "2-HIGH", "high"), F.when(F.col("o_orderstatus") == "P", "pending")
     ))
-    return p.join(t, "split").select("sample_id", "split", tags.alias("tags"), co.count_stratum(F.col("cnt"), F.col("t1"), F.col("t2")).alias("stratum"))
+    return p.join(F.broadcast(t), "split").select(  # one row per split
+        "sample_id", "split", tags.alias("tags"), co.count_stratum(F.col("cnt"), F.col("t1"), F.col("t2")).alias("stratum"))
 
 
 @query("b5_stratified_round_robin")

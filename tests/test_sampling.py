@@ -90,3 +90,14 @@ def test_controls_stay_clear(spark):
     assert placed.filter("sample_id = 1").count() == 2
     assert [r.sample_id for r in missing.collect()] == [2]
     assert intervals.intersect(ev, placed, ["sample_id"]).count() == 0
+
+
+def test_round_robin_cuts_strata_before_any_sort(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").alias("sample_id"), F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise("train").alias("split"), F.lit("low").alias("s"),
+        F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    for target in (1, 12, 300, 10**6):
+        cut = cohort._first_by_prefix(rows, target)
+        first = lambda d: {r.sample_id for r in d.filter("split is null").orderBy("h").limit(target).collect()}
+        assert first(cut) == first(rows)
+        assert target > 300 or cut.count() < 2 * target + 60
