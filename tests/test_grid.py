@@ -29,3 +29,10 @@ def test_grid_equals_one_row_per_choice(spark):
 def test_evaluation_deals_samples_over_tasks_of_the_input(spark, sf):
     plan = flagship.evaluation(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_line_rows_are_dealt_over_tasks_of_the_input(spark, sf):
+    from spanframe.plans.views import view
+
+    plan = view(spark, sf, "v_region")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
