@@ -166,6 +166,35 @@ def histogram_batches(size: int | None):
     return run
 
 
+def share_vector_batches(buckets: int, rows: int = 512):
+    """(sample_id, bytes, carried...) -> (sample_id, shares, carried...), ``rows`` vectors a batch.
+
+    The dense vector of a sample: shares of its bytes, then of its hashed pairs; without bytes the
+    byte part is uniform. What is carried passes through.
+    """
+
+    def vector(content) -> np.ndarray:
+        data, _ = known_symbols(content, None)
+        data = data.astype(np.int64)
+        out = np.zeros(256 + buckets)
+        out[:256] = np.bincount(data, minlength=256) / data.size if data.size else 1.0 / 256
+        if data.size > 1:
+            out[256:] = np.bincount(((data[:-1] << 8) | data[1:]) % buckets, minlength=buckets) / (data.size - 1)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                shares = np.concatenate([vector(c) for c in part.column(1).to_pylist()])
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * (256 + buckets)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(shares))
+                names = part.schema.names
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *part.columns[2:]], names=[names[0], "shares", *names[2:]])
+
+    return run
+
+
 def bigram_batches(buckets: int, block: int | None = None):
     """(sample_id, bytes[, runs]) -> sparse counts (sample_id, block, kind, bucket, cnt).
 

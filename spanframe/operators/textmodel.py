@@ -7,17 +7,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.operators.sequence import bigram_counts, hashed_bigram_features
+from spanframe.functions import kernels
+from spanframe.operators.sequence import bigram_counts
 
 BUCKETS = 1024
 SIZE = 256 + BUCKETS
 
 
-def feature_vectors(features: DataFrame) -> DataFrame:
-    """One dense vector per sample from sparse rows; a sample has at most ``SIZE`` of them."""
-    m = features.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("index", "value"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(SIZE - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return m.select("sample_id", array_to_vector(dense).alias("features"))
+def feature_vectors(df: DataFrame, bytes_col: str, carry: list[str]) -> DataFrame:
+    """One dense vector of ``hashed_bigram_features`` per sample, from the task that reads its content."""
+    rows = df.select("sample_id", F.col(bytes_col).alias("content"), *carry)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    vec = rows.mapInArrow(kernels.share_vector_batches(BUCKETS), f"sample_id {rows.schema['sample_id'].dataType.simpleString()}, shares array<double>{kept}")
+    return vec.select("sample_id", array_to_vector("shares").alias("features"), *carry)
 
 
 def fit_text_model(df: DataFrame, bytes_col: str, label: str, max_iter: int = 30, reg: float = 1e-3) -> LogisticRegressionModel:
@@ -25,16 +27,15 @@ def fit_text_model(df: DataFrame, bytes_col: str, label: str, max_iter: int = 30
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_c"))
     weights = n.join(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_c") * F.col("_n"))).alias("weight"))
-    vec = feature_vectors(hashed_bigram_features(df, "sample_id", bytes_col, BUCKETS))
-    train = vec.join(df.select("sample_id", label), "sample_id").join(weights, label).withColumnRenamed(label, "label")
+    # one weight per class
+    train = feature_vectors(df, bytes_col, [label]).join(F.broadcast(weights), label).withColumnRenamed(label, "label")
     lr = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=reg, standardization=False)
     return lr.fit(train)
 
 
 def score_text_model(model: LogisticRegressionModel, df: DataFrame, bytes_col: str, label: str) -> DataFrame:
     """Predicted class and loss per sample."""
-    vec = feature_vectors(hashed_bigram_features(df, "sample_id", bytes_col, BUCKETS))
-    p = model.transform(vec.join(df.select("sample_id", label), "sample_id")).withColumn("_p", vector_to_array("probability"))
+    p = model.transform(feature_vectors(df, bytes_col, [label])).withColumn("_p", vector_to_array("probability"))
     own = F.element_at("_p", (F.col(label) + 1).cast("int"))
     return p.select("sample_id", label, F.col("prediction").cast("int").alias("pred"), (-F.ln(F.greatest(own, F.lit(1e-300)))).alias("nll"))
 

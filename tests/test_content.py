@@ -77,3 +77,20 @@ def test_controls_keep_apart(spark):
     spans_ = sorted((r.lo, r.hi) for r in placed.collect()) + sorted((r.lo, r.hi) for r in iv.collect())
     spans_.sort()
     assert all(a[1] <= b[0] for a, b in zip(spans_, spans_[1:])) and placed.count() + missing.count() == 40
+
+
+def test_text_model_vectors_are_the_sparse_features(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from spanframe.operators import textmodel
+
+    texts = [b"", None, b"a", b"abab", bytes(range(256)) * 3, "z\u00e4h".encode()] * 120
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "sample_id bigint, content binary, quality int")
+    want = {}
+    for r in sequence.hashed_bigram_features(df, "sample_id", "content", textmodel.BUCKETS).collect():
+        want.setdefault(r.sample_id, {})[r["index"]] = r["value"]
+    out = textmodel.feature_vectors(df, "content", ["quality"])
+    got = {r.sample_id: ({i: v for i, v in enumerate(r.v) if v}, r.quality) for r in out.select("sample_id", vector_to_array("features").alias("v"), "quality").collect()}
+    assert got == {i: (want[i], i % 2) for i in range(len(texts))}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
