@@ -259,7 +259,8 @@ def import_annotations(rois: DataFrame, images: DataFrame, policy: DataFrame) ->
         F.count(F.lit(1)).alias("_n"), F.min("image_id").alias("image_id"), F.min("split").alias("split")
     )
     joined = rois.withColumn("_b", base("path")).join(img, "_b", "left").join(
-        policy.select(F.lower("label").alias("_l"), "category", F.lit(True).alias("_known")), F.lower("label") == F.col("_l"), "left"
+        # one row per label; a join on a few labels would send all rows to as few tasks
+        F.broadcast(policy.select(F.lower("label").alias("_l"), "category", F.lit(True).alias("_known"))), F.lower("label") == F.col("_l"), "left"
     )
     rule = (
         F.when(F.col("_n").isNull(), "unknown_image").when(F.col("_n") > 1, "ambiguous_image").when(F.col("split").isNull(), "missing_split")
@@ -271,4 +272,4 @@ def import_annotations(rois: DataFrame, images: DataFrame, policy: DataFrame) ->
     # One row per category name.
     cats = names.select("category", F.row_number().over(Window.orderBy(F.lower("category"), "category")).alias("category_id"))
     bad = judged.filter(F.col("_rule").isNotNull()).groupBy(F.col("_rule").alias("rule"), F.col("_b").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return good.join(cats, "category"), bad, cats
+    return good.join(F.broadcast(cats), "category"), bad, cats

@@ -36,3 +36,16 @@ def test_line_rows_are_dealt_over_tasks_of_the_input(spark, sf):
 
     plan = view(spark, sf, "v_region")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+
+
+def test_import_does_not_deal_rows_by_label(spark, sf):
+    from spanframe.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()["c15_import_annotations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert dealt and not any("category" in line or "label" in line for line in dealt)
