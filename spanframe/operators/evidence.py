@@ -123,8 +123,10 @@ def fill_agreement(deltas: DataFrame, primary: str, others: list[str]) -> tuple[
     wide = deltas.withColumn("delta", F.coalesce("delta", F.lit(0.0))).groupBy("sample_id", "block").pivot("fill", [primary, *others]).agg(F.max("delta"))
     long = wide.select("sample_id", "block", F.col(primary).alias("a"), F.explode(F.array(*[F.struct(F.lit(o).alias("fill"), F.col(o).alias("b")) for o in others])).alias("o"))
     long = long.select("sample_id", "block", "a", "o.fill", "o.b")
-    counts = long.groupBy("sample_id", "fill").agg(F.count("a").alias("_na"), F.count("b").alias("_nb")).filter("_na = _nb and _na > 0").select("sample_id", "fill")
-    tau = kendall_tau_b(long.join(counts, ["sample_id", "fill"], "left_semi"), ["sample_id", "fill"], "a", "b").filter("kendall_tau is not null")
+    # counted beside the rows: they lie by sample already, and a join would move both sides
+    w = Window.partitionBy("sample_id", "fill")
+    whole = long.withColumn("_na", F.count("a").over(w)).withColumn("_nb", F.count("b").over(w)).filter("_na = _nb and _na > 0").drop("_na", "_nb")
+    tau = kendall_tau_b(whole, ["sample_id", "fill"], "a", "b").filter("kendall_tau is not null")
     return tau, tau.groupBy("fill").agg(F.count(F.lit(1)).alias("pairs"), F.avg("kendall_tau").alias("mean_tau"), F.min("kendall_tau").alias("min_tau"))
 
 

@@ -7,6 +7,8 @@ every row a Poisson(1) weight per replicate, which needs one pass and shuffles
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,8 +141,51 @@ def summarize_paired(pairs: DataFrame, by: list[str], key: list[str], replicates
     return paired_bootstrap(pairs, by, key, replicates, seed).drop("p_value").join(means, by)
 
 
-def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Tau-b per group without enumerating pairs; a group may span any number of tasks.
+#: Groups of up to so many distinct (x, y) are compared pair by pair inside their row.
+SMALL_GROUP = 64
+
+
+def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, small: int = SMALL_GROUP) -> DataFrame:
+    """Tau-b per group; a group may span any number of tasks.
+
+    A group of at most ``small`` distinct (x, y) travels as one array and its pairs are compared
+    there; the others, if any, go by bit levels. Both ways are exact and give the same numbers.
+    Rows with a null value or key take no part.
+    """
+    whole = [F.col(c).isNotNull() for c in [*by, x, y]]
+    r = df.filter(reduce(lambda a, b: a & b, whole)).groupBy(*by, F.col(x).alias("rx"), F.col(y).alias("ry")).agg(F.count(F.lit(1)).alias("_c"))
+    r = durable(r)
+    large = r.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small)
+    if large.isEmpty():
+        return _tau(_small_counts(r, by), by)
+    large = durable(large.select(*by))
+    few = _tau(_small_counts(r.join(large, by, "left_anti"), by), by)
+    return few.unionByName(_tau(_level_counts(r.join(large, by, "left_semi"), by), by))
+
+
+def _tau(counts: DataFrame, by: list[str]) -> DataFrame:
+    """counts: by, _n rows, tied pairs of each side, _s concordant less discordant pairs."""
+    n = F.col("_n")
+    pairs = n * (n - 1) / 2
+    den = F.sqrt((pairs - F.col("_tie_rx")) * (pairs - F.col("_tie_ry")))
+    return counts.select(*by, n.alias("n"), F.when(den > 0, F.coalesce("_s", F.lit(0)) / F.when(den > 0, den)).alias("kendall_tau"))
+
+
+def _small_counts(r: DataFrame, by: list[str]) -> DataFrame:
+    """The counts of ``_tau`` from one array per group, unfolded into its pairs where it lies."""
+    groups = r.groupBy(*by).agg(F.collect_list(F.struct("rx", "ry", "_c")).alias("_cells"), F.sum("_c").alias("_n"))
+    pairs = groups.select(*by, "_n", "_cells", F.explode("_cells").alias("_a")).select(*by, "_n", "_a", F.explode("_cells").alias("_b"))
+    n, zero = F.col("_a._c") * F.col("_b._c"), F.lit(0).cast("bigint")
+    above, below = F.col("_a.ry") > F.col("_b.ry"), F.col("_a.ry") < F.col("_b.ry")
+    # a pair counts once, at its row of larger x
+    order = F.when(F.col("_a.rx") > F.col("_b.rx"), F.when(above, n).when(below, -n).otherwise(zero)).otherwise(zero)
+    # a value met t times gives t^2 ordered pairs, those of a row with itself included
+    tied = lambda c: ((F.sum(F.when(F.col(f"_a.{c}") == F.col(f"_b.{c}"), n).otherwise(zero)) - F.col("_n")) / 2).alias(f"_tie_{c}")
+    return pairs.groupBy(*by, "_n").agg(tied("rx"), tied("ry"), F.sum(order).alias("_s"))
+
+
+def _level_counts(r: DataFrame, by: list[str]) -> DataFrame:
+    """The counts of ``_tau`` without enumerating pairs; r is written.
 
     Two rows with different x-ranks differ first at exactly one bit, counted from the top.
     For each bit, rows sharing the higher bits form a block, in which a running count over y
@@ -148,8 +193,6 @@ def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     row and equal y of a block do, ranks and running counts come from sorts over the
     cluster. Work is distinct (x, y) x log2(distinct x).
     """
-    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("rx"), F.col(y).alias("ry")).agg(F.count(F.lit(1)).alias("_c"))
-    r = durable(r)
     values = r.groupBy(*by, "rx").agg(F.count(F.lit(1)).alias("_rows"))
     top = values.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("_max"), F.sum("_rows").alias("_all"))
     places = rank_in_group(values, by, [F.col("rx")], "_place")
@@ -170,11 +213,7 @@ def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         t = r.groupBy(*by, c).agg(F.sum("_c").alias("_t"))
         return t.groupBy(*by).agg(F.sum(F.col("_t") * (F.col("_t") - 1) / 2).alias(f"_tie_{c}"), F.sum("_t").alias(f"_n_{c}"))
 
-    joined = tied("rx").join(tied("ry"), by).join(score, by, "left")
-    n = F.col("_n_rx")
-    pairs = n * (n - 1) / 2
-    den = F.sqrt((pairs - F.col("_tie_rx")) * (pairs - F.col("_tie_ry")))
-    return joined.select(*by, n.alias("n"), F.when(den > 0, F.coalesce("_s", F.lit(0)) / F.when(den > 0, den)).alias("kendall_tau"))
+    return tied("rx").join(tied("ry"), by).join(score, by, "left").withColumnRenamed("_n_rx", "_n")
 
 
 def holm(df: DataFrame, family: list[str], p: str, tie: list[str], alpha: float = 0.05) -> DataFrame:

@@ -107,6 +107,18 @@ def test_kendall_of_one_group_with_ties(spark):
     assert got[1][0] == 400 and abs(got[1][1] - tau) < 1e-12 and got[2] == (2, None) and got[3] == (1, None)
 
 
+def test_kendall_of_small_groups_is_that_of_levels(spark):
+    """Many small groups take no sort over the cluster; both ways give the same numbers."""
+    rng = random.Random(6)
+    rows = [(g, float(rng.randrange(6)), float(rng.randrange(5))) for g in range(60) for _ in range(rng.randrange(1, 30))] + [(None, 1.0, 2.0), (0, 1.0, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    ways = [stats.kendall_tau_b(df, ["g"], "x", "y", small) for small in (0, 8, 64)]
+    a, b, c = [{r.g: (r.n, r.kendall_tau and round(r.kendall_tau, 12)) for r in w.collect()} for w in ways]
+    assert a == b == c and len(a) == 60
+    plans = [w._jdf.queryExecution().optimizedPlan().toString() for w in ways]
+    assert "Window" in plans[0] and "Window" not in plans[2] and "Join" not in plans[2]
+
+
 def test_chains_of_overlapping_spans(spark):
     rng = random.Random(6)
     spans = {(1, i): i + rng.randrange(1, 50) for i in range(0, 3000, 2)} | {(2, 5): 9, (2, 9): 12, (2, 10): 11}
