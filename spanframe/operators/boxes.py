@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from spanframe.session import durable
 
 
 GRID = 256
+#: Cells for tiles against boxes: a tile touches few of them, and a cell meets a bounded number of tiles.
+TILE_GRID = 1024
 
 
 def axis_starts(length: Column, size: int, overlap: float) -> Column:
@@ -100,9 +103,14 @@ def tile_recall(tiles: DataFrame, truth: DataFrame, min_cov: float = 0.5) -> Dat
 
 
 def guard_flags(tiles: DataFrame, boxes: DataFrame, threshold: float) -> DataFrame:
-    """Tiles touched by a box of at least the threshold score."""
-    hit = touching_pairs(tiles, boxes.filter(F.col("score") >= threshold)).select(F.col("a.image_id").alias("image_id"), F.col("a.tile").alias("tile")).distinct()
-    return tiles.join(hit.withColumn("guarded", F.lit(True)), ["image_id", "tile"], "left").withColumn("guarded", F.coalesce("guarded", F.lit(False)))
+    """Tiles touched by a box of at least the threshold score.
+
+    The hit tiles of an image, a grid of bounded size, come back as one array by image, so that
+    the tiles themselves need not move.
+    """
+    near = touching_pairs(tiles, boxes.filter(F.col("score") >= threshold).select("image_id", "x1", "y1", "x2", "y2"), TILE_GRID)
+    hit = near.groupBy(F.col("a.image_id").alias("image_id")).agg(F.collect_set("a.tile").alias("_hit"))
+    return tiles.join(hit.hint("merge"), "image_id", "left").withColumn("guarded", F.coalesce(F.array_contains("_hit", F.col("tile")), F.lit(False))).drop("_hit")
 
 
 def shift_to_image(local: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -188,33 +196,49 @@ def select_guarded(tiles: DataFrame, budget: float, coverage_ratio: float = 0.2)
     cx = (F.col("x1") + F.col("x2")) / 2 / F.col("width")
     cy = (F.col("y1") + F.col("y2")) / 2 / F.col("height")
     cell = F.struct("tile", F.col("score").cast("double").alias("score"), F.col("guarded").alias("guarded"), cx.alias("cx"), cy.alias("cy"))
-    rows = tiles.groupBy("image_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    names = ("tile", "score", "guarded", "cx", "cy")
+    rows = tiles.groupBy("image_id").agg(F.collect_list(cell).alias("cells")).select("image_id", *[F.col("cells")[c].alias(c) for c in names])
 
-    def choose(cells: list) -> list[int]:
-        tile, score, guarded, cx, cy = (np.array([c[k] for c in cells]) for k in ("tile", "score", "guarded", "cx", "cy"))
-        n = len(tile)
+    def choose(tile, score, guarded, cx, cy):
+        """Chosen tiles of images that have equally many: one row of each array per image."""
+        m, n = tile.shape
         want = max(1, min(n, math.ceil(n * budget)))
-        rank = np.lexsort((tile, -score))
-        chosen = rank[guarded[rank]][:want].tolist()
-        near = np.full(n, np.inf)  # squared distance to the nearest chosen tile, -inf for chosen ones
-
-        def approach(c: int) -> None:
-            np.minimum(near, (cx - cx[c]) * (cx - cx[c]) + (cy - cy[c]) * (cy - cy[c]), out=near)
-            near[c] = -np.inf
-
-        for c in chosen:
-            approach(c)
-        for _ in range(min(want - len(chosen), math.ceil(want * coverage_ratio))):
-            far = np.flatnonzero(near == near.max())  # before the first choice all are as far
-            best = int(far[np.lexsort((tile[far], -score[far]))[0]])
-            chosen.append(best)
-            approach(best)
-        chosen += rank[near[rank] > -np.inf][: want - len(chosen)].tolist()
-        return sorted(tile[chosen].tolist())
+        rank = np.lexsort((tile, -score), axis=-1)
+        place = np.argsort(rank, axis=-1)  # of each tile in the order of scores
+
+        def first(mask, limit):
+            """The first ``limit`` tiles of the mask in the order of scores."""
+            ranked = np.take_along_axis(mask, rank, 1)
+            ranked &= np.cumsum(ranked, axis=1) <= limit
+            return np.take_along_axis(ranked, place, 1)
+
+        chosen = first(guarded, want)
+        near = np.full((m, n), np.inf)  # squared distance to the nearest chosen tile, -inf for chosen ones
+
+        def approach(at, c):
+            dx, dy = cx[at] - cx[at, c][:, None], cy[at] - cy[at, c][:, None]
+            near[at] = np.minimum(near[at], dx * dx + dy * dy)
+            near[at, c] = -np.inf
+
+        for c in range(n):
+            at = np.flatnonzero(chosen[:, c])
+            approach(at, np.full(len(at), c))
+        slots = np.minimum(want - chosen.sum(axis=1), math.ceil(want * coverage_ratio))
+        for k in range(slots.max(initial=0)):
+            at = np.flatnonzero(slots > k)
+            far = near[at] == near[at].max(axis=1, keepdims=True)  # before the first choice all are as far
+            best = np.argmin(np.where(far, place[at], n), axis=1)
+            chosen[at, best] = True
+            approach(at, best)
+        return chosen | first(~chosen, want - chosen.sum(axis=1, keepdims=True))
 
     def run(batches):
-        for pdf in batches:
-            picked = [choose(list(c)) for c in pdf["cells"]]
-            yield pd.DataFrame({"image_id": pdf["image_id"], "tiles": picked})
-
-    return rows.mapInPandas(run, "image_id bigint, tiles array<bigint>").select("image_id", F.explode("tiles").alias("tile"))
+        for b in batches:
+            sizes = pc.list_value_length(b.column("tile"))
+            for n in pc.unique(sizes).to_pylist():
+                same = b.filter(pc.equal(sizes, n))
+                tile, score, guarded, cx, cy = (same.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in names)
+                at, k = np.nonzero(choose(tile, score, guarded, cx, cy))
+                yield pa.RecordBatch.from_arrays([same.column("image_id").take(pa.array(at)), pa.array(tile[at, k])], names=["image_id", "tile"])
+
+    return rows.mapInArrow(run, "image_id bigint, tile bigint")

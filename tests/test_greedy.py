@@ -1,5 +1,6 @@
 """Rounds of greedy choices, pointer jumps and rank statistics against plain loops, on one large group."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -97,6 +98,37 @@ def test_matching_of_a_crowded_image(spark):
     assert got == want and {s for *_, s in want} == {"true_positive", "class_mismatch"}
 
 
+def test_guarded_tiles_of_images_of_many_sizes(spark):
+    """Images of one batch are chosen for together, as one by one; equal scores go to the smaller tile."""
+    rng = random.Random(3)
+    rows = [(i, t, rng.randrange(4) / 4, rng.random() < 0.3, float(t % 5), float(t // 5)) for i in range(40) for t in range(1 + i % 13)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "image_id long, tile long, score double, guarded boolean, x1 double, y1 double")
+    df = df.selectExpr("*", "x1 + 1 as x2", "y1 + 1 as y2", "5 as width", "5 as height")
+    got = {(r.image_id, r.tile) for r in boxes.select_guarded(df, 0.5, 0.4).collect()}
+    want = set()
+    for i in range(40):
+        cells = sorted((r[1:] for r in rows if r[0] == i), key=lambda c: (-c[1], c[0]))
+        k = max(1, math.ceil(len(cells) * 0.5))
+        at = {c[0]: ((c[3] + 0.5) / 5, (c[4] + 0.5) / 5) for c in cells}
+        taken = [c[0] for c in cells if c[2]][:k]
+        for _ in range(min(k - len(taken), math.ceil(k * 0.4))):
+            far = lambda t: min([(at[t][0] - at[u][0]) ** 2 + (at[t][1] - at[u][1]) ** 2 for u in taken], default=0)
+            taken.append(max((c[0] for c in cells if c[0] not in taken), key=far))
+        taken += [c[0] for c in cells if c[0] not in taken][: k - len(taken)]
+        want |= {(i, t) for t in taken}
+    assert got == want
+
+
+def test_guarding_moves_no_tiles(spark, sf):
+    """Tiles lie by image; marking them moves the cells that meet and one row per hit image."""
+    from spanframe.plans import catalog
+
+    plan = catalog.queries()["f12_select_guarded"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in moved if "tile#" in line] and "_hit" in plan
+
+
 def test_kendall_of_one_group_with_ties(spark):
     rng = random.Random(5)
     rows = [(1, float(rng.randrange(40)), float(rng.randrange(25))) for _ in range(400)] + [(2, 1.0, 2.0), (2, 1.0, 3.0), (3, 1.0, 1.0), (1, None, 1.0)]
