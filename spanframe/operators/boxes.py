@@ -138,8 +138,8 @@ def match_detections(pred: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
     pred: image_id, box_id, label, score, corners; truth: image_id, box_id, label, corners.
     Only pairs of enough overlap can ever match: predictions by falling score take their
     best free truth box of the same folded label, then the rest, by id, report overlaps with
-    another label. Both passes run as rounds over all images, so an image may hold any
-    number of boxes. A null score counts as 0.
+    another label. An image of few pairs is walked in its row, others run as rounds over all
+    images, so an image may hold any number of boxes. A null score counts as 0.
     """
     near = touching_pairs(pred, truth).withColumn("iou", overlap_ratio("a", "b", "iou")).filter(F.col("iou") >= iou)
     pairs = near.select(
@@ -147,12 +147,10 @@ def match_detections(pred: DataFrame, truth: DataFrame, iou: float = 0.5) -> Dat
         (F.lower(F.col("a.label")) == F.lower(F.col("b.label"))).alias("same"),
     )
 
-    pairs = durable(pairs)
-    same = greedy_pairs(pairs.filter("same"), "image_id", "pred_id", "truth_id", [-F.col("score"), F.col("pred_id"), -F.col("iou"), F.col("truth_id")])
-    rest = pairs.join(same.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti").join(same.select("image_id", "truth_id"), ["image_id", "truth_id"], "left_anti")
-    other = greedy_pairs(rest, "image_id", "pred_id", "truth_id", [F.col("pred_id"), -F.col("iou"), F.col("truth_id")])
-    found = lambda d, s: d.select("image_id", "pred_id", "truth_id", "iou", F.lit(s).alias("status"))
-    matched = found(same, "true_positive").unionByName(found(other, "class_mismatch"))
+    # pairs of one label come first, so one pass in this order is both passes
+    order = [~F.col("same"), F.when(F.col("same"), -F.col("score")).otherwise(0.0), F.col("pred_id"), -F.col("iou"), F.col("truth_id")]
+    taken = durable(greedy_pairs(pairs, "image_id", "pred_id", "truth_id", order))
+    matched = taken.select("image_id", "pred_id", "truth_id", "iou", F.when(F.col("same"), "true_positive").otherwise("class_mismatch").alias("status"))
     tp = matched.filter("status = 'true_positive'")
     none = lambda t: F.lit(None).cast(t)
     fp = pred.select("image_id", F.col("box_id").alias("pred_id")).join(tp.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti")

@@ -3,7 +3,7 @@
 What precedes all its undecided rivals is decided for certain, wherever else in its group
 decisions are still open. So all such rows of all groups are decided at once, their
 rivals lose, and the next round follows. The result is that of going through each group
-in order; no group is collected. Rounds end when nothing is undecided; each is cut by a
+in order; only a group of few pairs is collected. Rounds end when nothing is undecided; each is cut by a
 checkpoint. On random orders their number grows with the logarithm of the group.
 """
 
@@ -11,18 +11,62 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.session import durable
 
 
-def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, order: list[Column]) -> DataFrame:
+#: Groups of up to so many pairs are walked in one row.
+SMALL_GROUP = 64
+
+
+def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, order: list[Column], small: int = SMALL_GROUP) -> DataFrame:
     """Pairs that a pass in ``order`` takes, each left and right row at most once.
 
-    ``order`` must be total within a group. The other columns of ``pairs`` stay.
+    ``order`` must be total within a group. The other columns of ``pairs`` stay. A group of at
+    most ``small`` pairs travels as one array and is walked there; only larger ones, if any, take rounds.
     """
-    open_ = durable(pairs.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])))
+    pairs = durable(pairs)
+    keyed = pairs.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    large = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small)
+    if large.isEmpty():
+        return _walk(keyed, group, left, right, pairs.columns)
+    large = durable(large.select(group))
+    few = _walk(keyed.join(large, group, "left_anti"), group, left, right, pairs.columns)
+    return few.unionByName(_rounds(keyed.join(large, group, "left_semi").select(*keyed.columns), group, left, right).select(*pairs.columns))
+
+
+def _walk(keyed: DataFrame, group: str, left: str, right: str, columns: list[str]) -> DataFrame:
+    """The pass over each group inside the row that holds it."""
+    cells = keyed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_key", *[c for c in columns if c != group]))).alias("_cells"))
+
+    def run(batches):
+        for b in batches:
+            flat, sizes = b.column("_cells").flatten(), pc.list_value_length(b.column("_cells")).to_pylist()
+            ls, rs = flat.field(left).to_pylist(), flat.field(right).to_pylist()
+            taken, at, start = [], [], 0
+            for row, n in enumerate(sizes):
+                used_left, used_right = set(), set()
+                for i in range(start, start + n):
+                    if ls[i] not in used_left and rs[i] not in used_right:
+                        used_left.add(ls[i])
+                        used_right.add(rs[i])
+                        taken.append(i)
+                        at.append(row)
+                start += n
+            rows, at = flat.take(pa.array(taken, pa.int64())), pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(group).take(at) if c == group else rows.field(c) for c in columns], names=columns)
+
+    return cells.mapInArrow(run, keyed.select(*columns).schema)
+
+
+def _rounds(open_: DataFrame, group: str, left: str, right: str) -> DataFrame:
+    """The pass as rounds over all groups."""
+    open_ = durable(open_)
+    columns = open_.columns
     rounds = []
     while not open_.isEmpty():
         best = [open_.groupBy(group, side).agg(F.min("_key").alias(f"_best_{side}")) for side in (left, right)]
@@ -30,7 +74,7 @@ def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, order: lis
         taken = durable(judged.filter((F.col("_key") == F.col(f"_best_{left}")) & (F.col("_key") == F.col(f"_best_{right}"))).select(*open_.columns))
         rounds.append(taken)
         open_ = durable(open_.join(taken.select(group, left), [group, left], "left_anti").join(taken.select(group, right), [group, right], "left_anti"))
-    return reduce(DataFrame.unionByName, rounds, open_).select(*pairs.columns)
+    return reduce(DataFrame.unionByName, rounds, open_).select(*columns)
 
 
 def greedy_owners(nodes: DataFrame, rivals: DataFrame, group: str, node: str) -> DataFrame:

@@ -24,6 +24,16 @@ def test_pairs_of_one_large_group(spark):
     assert greedy_pairs(df.limit(0), "g", "p", "t", [F.col("p"), F.col("t")]).count() == 0
 
 
+def test_pairs_of_small_groups_are_those_of_rounds(spark):
+    """Few pairs are walked in one row, more go by rounds; a mixed table gives the same either way."""
+    rng = random.Random(8)
+    rows = [(f"g{g}", rng.randrange(6), rng.randrange(6), k, rng.randrange(3)) for g in range(50) for k in range(1 + g % 20)]
+    df = spark.createDataFrame(rows, "g string, p long, t long, k int, score int")
+    order = [-F.col("score"), F.col("k")]
+    a, b, c = [sorted(map(tuple, greedy_pairs(df, "g", "p", "t", order, small).collect())) for small in (0, 7, 64)]
+    assert a == b == c and {r[0] for r in a} == {f"g{g}" for g in range(50)}
+
+
 def test_owners_of_one_large_group(spark):
     rng = random.Random(2)
     n = 1500
