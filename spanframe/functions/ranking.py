@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from spanframe.session import durable
 
-def sorted_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Exact 1-based rank per group from one range-partitioned sort of all rows."""
+def sorted_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", few_groups: bool = False) -> DataFrame:
+    """Exact 1-based rank per group from one range-partitioned sort of all rows.
+
+    With ``few_groups`` the offsets, one row per group and partition, are broadcast: the rows are not
+    moved again, and the partitions of the result follow one another in the order of the sort.
+    """
     ordered = df.sort(*[F.col(g) for g in group], *order).withColumn("_mid", F.monotonically_increasing_id())
     ordered = durable(
         ordered.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
@@ -33,14 +37,14 @@ def sorted_rank(df: DataFrame, group: list[str], order: list[Column], name: str
     for c in g2:
         cond = cond & c
     keep = [F.col(f"o.{c}") for c in df.columns]
-    return ordered.alias("o").join(F.broadcast(cells).alias("c") if not group else cells.alias("c"), cond).select(
+    return ordered.alias("o").join(F.broadcast(cells).alias("c") if few_groups or not group else cells.alias("c"), cond).select(
         *keep, (F.col("o._local") - F.col("c._first") + 1 + F.col("c._before")).cast("bigint").alias(name)
     )
 
 
-def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", few_groups: bool = False) -> DataFrame:
     """1-based ``row_number`` per group under a total order."""
-    return sorted_rank(df, group, order, name)
+    return sorted_rank(df, group, order, name, few_groups)
 
 
 def top_in_group(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

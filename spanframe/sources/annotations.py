@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,9 +198,10 @@ def detection_tables(images: DataFrame, ann: DataFrame) -> tuple[DataFrame, Data
 
     images: sample_id, split, pos, width, height; ann: sample_id, ann_pos, class_id (1-based), x, y, w, h.
     """
-    img = rank_in_group(images, ["split"], [F.col("pos")], "image_id")
+    # splits are a few names, so ranks come back without another shuffle, in the order of the sort
+    img = rank_in_group(images, ["split"], [F.col("pos")], "image_id", few_groups=True)
     joined = ann.join(img.select("sample_id", "split", "image_id", "width", "height"), "sample_id")
-    num = rank_in_group(joined, ["split"], [F.col("image_id"), F.col("ann_pos")], "annotation_id")
+    num = rank_in_group(joined, ["split"], [F.col("image_id"), F.col("ann_pos")], "annotation_id", few_groups=True)
     cx, cy = (F.col("x") + F.col("w") / 2.0) / F.col("width"), (F.col("y") + F.col("h") / 2.0) / F.col("height")
     line = F.format_string("%d %.8f %.8f %.8f %.8f", (F.col("class_id") - 1).cast("int"), cx, cy, F.col("w") / F.col("width").cast("double"), F.col("h") / F.col("height").cast("double"))
     return img, num.withColumn("line", line)
@@ -230,7 +233,7 @@ def write_detection_dataset(images: DataFrame, ann: DataFrame, path: str, catego
 
     ``documents/split=...`` holds one JSON document in text parts, written by many tasks: its
     files one after another, in name order, are the document. ``annotations`` and
-    ``images`` hold the same records as JSON lines; ``labels`` is one table of (image, lines) per
+    ``images`` hold the same records as JSON lines, gzipped like the other tables; ``labels`` is one table of (image, lines) per
     split, not a folder per image. ``provenance`` has one line per annotation and ``prepared`` one
     per sample; both carry the further columns of ``ann`` and ``images``. Without
     ``categories`` the class ids stand for the names. A split is there if it has an image;
@@ -238,22 +241,24 @@ def write_detection_dataset(images: DataFrame, ann: DataFrame, path: str, catego
     """
     img, rows = detection_tables(images, ann)
     rows = rows.withColumn("area", F.col("w") * F.col("h"))
-    rows.select("split", "annotation_id", "image_id", F.col("class_id").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), "area", F.lit(0).alias("iscrowd")).write.mode("overwrite").partitionBy("split").json(f"{path}/annotations")
-    img.write.mode("overwrite").partitionBy("split").json(f"{path}/images")
+    rows.select("split", "annotation_id", "image_id", F.col("class_id").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), "area", F.lit(0).alias("iscrowd")).write.mode("overwrite").partitionBy("split").json(f"{path}/annotations", compression="gzip")
+    img.write.mode("overwrite").partitionBy("split").json(f"{path}/images", compression="gzip")
     labels = rows.groupBy("split", "sample_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("annotation_id", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    labels.write.mode("overwrite").partitionBy("split").json(f"{path}/labels")
+    labels.write.mode("overwrite").partitionBy("split").json(f"{path}/labels", compression="gzip")
     spark = images.sparkSession
     if categories is not None:
         names = spark.createDataFrame([(i + 1, c) for i, c in enumerate(categories)], "id int, name string")
         names.write.mode("overwrite").json(f"{path}/categories")
     else:
         names = rows.select(F.col("class_id").cast("int").alias("id"), F.col("class_id").cast("string").alias("name")).distinct()
-    lines = document_lines(img, rows, names).sort("split", "section", "id")
+    # the records lie in this order already: sections one after another, each sorted in its own partitions
+    lines = document_lines(img, rows, names)
+    lines = reduce(DataFrame.unionByName, [lines.filter(F.col("section") == k) for k in range(5)]).sortWithinPartitions("split", "section", "id")
     lines.select("split", "line").write.mode("overwrite").partitionBy("split").text(f"{path}/documents")
     known = {"sample_id", "ann_pos", "class_id", "x", "y", "w", "h", "split", "image_id", "annotation_id", "width", "height", "pos"}
     box = [F.col("ann_pos").alias("source_annotation_index"), F.col("class_id").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox_xywh")]
     more = [F.col(f"`{c}`") for c in ann.columns if c not in known | {"source_annotation_index", "category_id", "bbox_xywh"}]
-    rows.select("split", "sample_id", "image_id", "annotation_id", *box, *more).write.mode("overwrite").json(f"{path}/provenance")
+    rows.select("split", "sample_id", "image_id", "annotation_id", *box, *more).write.mode("overwrite").json(f"{path}/provenance", compression="gzip")
     counts = rows.groupBy("split", "sample_id").agg(F.count(F.lit(1)).alias("n_annotations"))
     prepared = img.join(counts, ["split", "sample_id"], "left").withColumn("n_annotations", F.coalesce("n_annotations", F.lit(0)))
-    prepared.write.mode("overwrite").json(f"{path}/prepared")
+    prepared.write.mode("overwrite").json(f"{path}/prepared", compression="gzip")

@@ -72,3 +72,14 @@ def test_detection_documents_parse(spark, tmp_path):
     assert provenance.count() == n and provenance.filter("source = 'tool \"x\"'").count() == n
     prepared = spark.read.json(f"{out}/prepared")
     assert prepared.count() == 41 and prepared.agg({"n_annotations": "sum"}).first()[0] == n
+
+
+def test_detection_ids_come_back_without_a_shuffle(spark):
+    """Ranked annotations lie in the order of their ids; only the cells of few groups are sent round."""
+    im = spark.createDataFrame([(k, "val" if k % 3 == 0 else "train", k, 64, 32) for k in range(1, 60)], "sample_id long, split string, pos long, width int, height int").repartition(5)
+    an = spark.createDataFrame([(k, j, 1, 1.0, 1.0, 4.0, 2.0) for k in range(1, 60) for j in range(k % 5)], "sample_id long, ann_pos int, class_id int, x double, y double, w double, h double").repartition(5)
+    rows = annotations.detection_tables(im, an)[1]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    ids = [(r.split, r.annotation_id) for r in rows.select("split", "annotation_id").collect()]
+    assert ids == sorted(ids) and len(ids) == an.count()
