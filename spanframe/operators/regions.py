@@ -1,8 +1,8 @@
 """Coordinate mapping between a source space and a target space.
 
 A layout is one row per sample: sizes plus an array of regions. The format allows at
-most 96 regions, so the array stays small and a coordinate is resolved with array
-expressions on its own row. Points and intervals meet their layout by one equi join.
+most 96 regions, so the array stays small and a coordinate is resolved on its own row by a
+kernel that works off a batch at once. Points and intervals meet their layout by one equi join.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.functions import layout_kernels
 from spanframe.operators.intervals import normalize
 
 MAX_REGIONS = 96
@@ -23,107 +24,37 @@ def is_ok(status: Column) -> Column:
 def build_layouts(sizes: DataFrame, regions: DataFrame) -> DataFrame:
     """sizes: sample_id, file_size, header_len, overlay_offset, cert_lo, cert_hi (null = none);
     regions: sample_id, idx, raw_lo, raw_size, rva, vsize.
-
-    Adds the cut points of both spaces, each with the other space's boundaries pulled back.
     """
     raw = (F.col("raw_size") > 0) & (F.col("raw_lo") > 0)
     shaped = regions.withColumn("mapped", F.when(raw, F.greatest(F.lit(0), F.least("raw_size", "vsize"))).otherwise(0))
     cells = [F.col(c).cast("bigint").alias(c) for c in ("idx", "raw_lo", "raw_size", "rva", "vsize", "mapped")]
     arrays = shaped.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct(*cells))).alias("regions"))
-    lay = sizes.join(arrays, "sample_id", "left").withColumn(
+    return sizes.join(arrays, "sample_id", "left").withColumn(
         "regions", F.coalesce("regions", F.array().cast("array<struct<idx:bigint,raw_lo:bigint,raw_size:bigint,rva:bigint,vsize:bigint,mapped:bigint>>"))
     )
-    return with_cuts(lay)
 
 
 def _has_raw(r: Column) -> Column:
     return (r["raw_size"] > 0) & (r["raw_lo"] > 0)
 
 
-def with_cuts(lay: DataFrame) -> DataFrame:
-    off = F.array_compact(F.concat(
-        F.array(F.lit(0).cast("bigint"), "header_len", "overlay_offset", "file_size", "cert_lo", "cert_hi"),
-        F.flatten(F.transform(F.filter("regions", _has_raw), lambda r: F.array(r["raw_lo"], r["raw_lo"] + r["mapped"], r["raw_lo"] + r["raw_size"]))),
-    ))
-    rva = F.concat(
-        F.array(F.lit(0).cast("bigint"), "header_len", "file_size"),
-        F.flatten(F.transform(F.filter("regions", lambda r: r["vsize"] > 0), lambda r: F.array(r["rva"], r["rva"] + r["mapped"], r["rva"] + r["vsize"]))),
-    )
-
-    def pulled(bounds: str, to: str, back: str) -> Column:
-        """Boundaries of the other space, expressed in this one."""
-        through = F.flatten(F.transform(bounds, lambda b: F.transform(
-            F.filter("regions", lambda r: (b >= r[to]) & (b <= r[to] + r["mapped"])), lambda r: r[back] + b - r[to]
-        )))
-        return F.concat(F.filter(bounds, lambda b: b.between(F.lit(0), F.col("header_len"))), through)
-
-    base = lay.withColumn("_off", off).withColumn("_rva", rva)
-    return base.select(
-        *lay.columns,
-        F.sort_array(F.array_distinct(F.concat("_off", pulled("_rva", "rva", "raw_lo")))).alias("off_cuts"),
-        F.sort_array(F.array_distinct(F.concat("_rva", pulled("_off", "raw_lo", "rva")))).alias("rva_cuts"),
-    )
-
-
 def _once(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns behind a generator, so later steps reuse the value instead of its expression."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def _from_offset(df: DataFrame, pos: str, out: str) -> DataFrame:
-    """Candidate status and value of a source offset, before the reverse check."""
-    p = F.col(pos)
-    owners = F.filter("regions", lambda r: _has_raw(r) & (p >= r["raw_lo"]) & (p < r["raw_lo"] + r["raw_size"]))
-    cert = F.coalesce((p >= F.col("cert_lo")) & (p < F.col("cert_hi")), F.lit(False))
-    step = _once(df, _own=owners, _cert=cert)
-    header, cert, n = p < F.col("header_len"), F.col("_cert"), F.size("_own")
-    own = F.try_element_at("_own", F.lit(1))
-    past = p >= F.col("file_size")
-    status = (
-        F.when(n + header.cast("int") + cert.cast("int") > 1, "overlapping").when(header, F.when(past, "truncated").otherwise("headers"))
-        .when(n > 0, F.when(past, "truncated").when(p - own["raw_lo"] < own["mapped"], "ok").otherwise("padding"))
-        .when(cert, F.when(past, "truncated").otherwise("certificate"))
-        .when(p >= F.col("overlay_offset"), F.when(past, "unmapped").otherwise("overlay"))
-        .otherwise("padding")
-    )
-    step = _once(step, **{f"{out}_status": status, "_to": own["rva"] + p - own["raw_lo"]})
-    return _valued(step, pos, out)
-
-
-def _from_rva(df: DataFrame, pos: str, out: str) -> DataFrame:
-    """Candidate status and value of a target address, before the reverse check."""
-    p = F.col(pos)
-    owners = F.filter("regions", lambda r: (r["vsize"] > 0) & (p >= r["rva"]) & (p < r["rva"] + r["vsize"]))
-    step = _once(df, _own=owners, _cert=F.lit(False))
-    header, n = p < F.col("header_len"), F.size("_own")
-    own = F.try_element_at("_own", F.lit(1))
-    back = own["raw_lo"] + p - own["rva"]
-    status = (
-        F.when(n + header.cast("int") > 1, "overlapping")
-        .when(n > 0, F.when(p - own["rva"] >= own["mapped"], "virtual_only").when(back >= F.col("file_size"), "truncated").otherwise("ok"))
-        .when(header, F.when(p >= F.col("file_size"), "truncated").otherwise("headers"))
-        .otherwise("unmapped")
-    )
-    return _valued(_once(step, **{f"{out}_status": status, "_to": back}), pos, out)
-
-
-def _valued(df: DataFrame, pos: str, out: str) -> DataFrame:
-    st = F.col(f"{out}_status")
-    value = F.when(st == "headers", F.col(pos)).when(st == "ok", F.col("_to")).cast("bigint")
-    return df.withColumn(f"{out}_value", value).drop("_own", "_cert", "_to")
+def _unfolded(df: DataFrame, keep: list[str], kernel: Column) -> DataFrame:
+    """The rows of the structs that a kernel gives, at least one. It has a projection of its own: called inside
+    the generator it may cost other columns. The outer form infers no filter, which would call it twice."""
+    return df.withColumn("_found", kernel).select(*keep, F.inline_outer("_found"))
 
 
 def _resolve(df: DataFrame, pos: str, direction: str) -> DataFrame:
     """Adds ``status`` and ``value``; an answer holds only if the way back returns the same point."""
-    there, back = (_from_offset, _from_rva) if direction == "offset" else (_from_rva, _from_offset)
-    step = back(there(df, pos, "_c"), "_c_value", "_b")
-    ok = is_ok(F.col("_c_status"))
-    agrees = F.coalesce(is_ok(F.col("_b_status")) & (F.col("_b_value") == F.col(pos)), F.lit(False))
-    step = step.withColumn("status", F.when(ok & ~agrees, "overlapping").otherwise(F.col("_c_status")))
-    return step.withColumn("value", F.when(ok & agrees, F.col("_c_value"))).drop("_c_status", "_c_value", "_b_status", "_b_value")
+    return _unfolded(df, df.columns, F.array(layout_kernels.points(direction, F.col(pos))))
 
 
-LAYOUT_COLS = ("file_size", "header_len", "overlay_offset", "cert_lo", "cert_hi", "regions", "off_cuts", "rva_cuts")
+LAYOUT_COLS = layout_kernels.LAYOUT
 
 
 def map_points(points: DataFrame, layouts: DataFrame, direction: str = "offset", pos: str = "pos") -> DataFrame:
@@ -148,16 +79,10 @@ def map_intervals(iv: DataFrame, layouts: DataFrame, direction: str = "offset")
 
     iv: sample_id, component_id, lo, hi. Every piece is homogeneous, so its first point decides it.
     """
-    cuts = "off_cuts" if direction == "offset" else "rva_cuts"
     j = iv.filter("hi > lo").join(layouts.select("sample_id", *LAYOUT_COLS), "sample_id")
-    inner = F.filter(cuts, lambda b: (b > F.col("lo")) & (b < F.col("hi")))
-    starts, ends = F.concat(F.array("lo"), inner), F.concat(inner, F.array("hi"))
-    pieces = j.withColumn("_s", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))))
-    pieces = pieces.withColumn("src_lo", F.col("_s.a")).withColumn("src_hi", F.col("_s.b"))
+    found = _unfolded(j, iv.columns, layout_kernels.pieces(direction))
     size = F.col("src_hi") - F.col("src_lo")
-    return _resolve(pieces, "src_lo", direction).select(
-        *iv.columns, "src_lo", "src_hi", "status", F.col("value").alias("dst_lo"), (F.col("value") + size).alias("dst_hi")
-    )
+    return found.select(*iv.columns, "src_lo", "src_hi", "status", F.col("value").alias("dst_lo"), (F.col("value") + size).alias("dst_hi"))
 
 
 def component_rollup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,14 +106,24 @@ def coverage_facts(segments: DataFrame, layouts: DataFrame, dominant: float = 0.
     """Mapped share, overlay bytes and share, and stratum per sample."""
     size = F.col("src_hi") - F.col("src_lo")
     cov = segments.groupBy("sample_id").agg(F.sum(size).alias("total_bytes"), F.sum(F.when(is_ok(F.col("status")), size).otherwise(0)).alias("ok_bytes"))
+    return _shares(cov.join(layouts.select("sample_id", "file_size", "overlay_offset"), "sample_id"), [], dominant)
+
+
+def _shares(df: DataFrame, carry: list[str], dominant: float) -> DataFrame:
     overlay = F.greatest(F.lit(0), F.col("file_size") - F.col("overlay_offset"))
     share = overlay / F.when(F.col("file_size") > 0, F.col("file_size"))
-    return cov.join(layouts.select("sample_id", "file_size", "overlay_offset"), "sample_id").select(
+    return df.select(
         "sample_id", "total_bytes", "ok_bytes", (F.col("ok_bytes") / F.when(F.col("total_bytes") > 0, F.col("total_bytes"))).alias("coverage"),
-        overlay.alias("overlay_bytes"), share.alias("overlay_share"), F.when(share > dominant, "overlay_dominant").otherwise("non_dominant").alias("stratum"),
+        overlay.alias("overlay_bytes"), share.alias("overlay_share"), F.when(share > dominant, "overlay_dominant").otherwise("non_dominant").alias("stratum"), *carry,
     )
 
 
+def whole_file_facts(layouts: DataFrame, dominant: float = 0.5) -> DataFrame:
+    """``coverage_facts`` and ``round_trip_check`` of whole files, from one pass over the layouts: no segment leaves its row."""
+    whole = layouts.filter("file_size > 0").withColumn("lo", F.lit(0)).withColumn("hi", F.col("file_size"))
+    return _shares(_unfolded(whole, ["sample_id", "file_size", "overlay_offset"], F.array(layout_kernels.coverage())), ["points", "errors"], dominant)
+
+
 def _sample_points(lo: str, hi: str) -> Column:
     a, b = F.col(lo), F.col(hi)
     return F.array_distinct(F.array(a, a + F.floor((b - a) / 2), b - 1))
@@ -196,14 +131,9 @@ def _sample_points(lo: str, hi: str) -> Column:
 
 def round_trip_check(segments: DataFrame, layouts: DataFrame) -> DataFrame:
     """Points and errors per sample: start, middle and end of each mapped segment must return."""
-    pts = segments.filter(is_ok(F.col("status"))).select("sample_id", F.explode(_sample_points("src_lo", "src_hi")).alias("pos"))
-    j = pts.join(layouts.select("sample_id", *LAYOUT_COLS), "sample_id")
-    there = _resolve(j, "pos", "offset").withColumnRenamed("value", "_rva").withColumnRenamed("status", "_st")
-    back = _resolve(there, "_rva", "rva")
-    good = is_ok(F.col("_st")) & is_ok(F.col("status")) & (F.col("value") == F.col("pos"))
-    return back.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("points"), F.count(F.when(~F.coalesce(good, F.lit(False)), F.lit(1))).alias("errors")
-    )
+    j = segments.filter(is_ok(F.col("status"))).select("sample_id", "src_lo", "src_hi").join(layouts.select("sample_id", *LAYOUT_COLS), "sample_id")
+    found = _unfolded(j, ["sample_id"], F.array(layout_kernels.round_trips()))
+    return found.groupBy("sample_id").agg(F.sum("points").alias("points"), F.sum("errors").alias("errors"))
 
 
 def pixel_round_trip(segments: DataFrame, layouts: DataFrame, strides: tuple[int, ...] = (3, 2)) -> DataFrame:

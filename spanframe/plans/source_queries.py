@@ -427,7 +427,7 @@ def c16s(spark, sf):
 
 def _headers(spark, sf):
     """Layouts written as executable headers, little end first; every 11th one is damaged."""
-    lay = _layouts(spark, sf).drop("off_cuts", "rva_cuts")
+    lay = _layouts(spark, sf)
     def le(c, width):
         h = F.lpad(F.hex(c.cast("bigint")), 2 * width, "0")
         return F.concat(*[F.substring(h, 2 * (width - 1 - j) + 1, 2) for j in range(width)])
