@@ -112,3 +112,9 @@ def test_segments_are_resolved_once_and_without_lambdas(spark, sf):
     """A lambda per region and position took most of the time."""
     logical, physical = _plans(spark, sf, "d12_map_intervals_back")
     assert "lambdafunction" not in logical and physical.count("ArrowEvalPython") == 1
+
+
+def test_summary_reads_its_layouts_once(spark, sf):
+    """Segments were cut twice, and each of their points met its layout again."""
+    logical, physical = _plans(spark, sf, "i13_cohort_summary")
+    assert "lambdafunction" not in logical and physical.count("ArrowEvalPython") == 1 and logical.count("Relation") == 2
