@@ -68,17 +68,18 @@ def first_in_group(df: DataFrame, group: list[str], order: list[str], carry: lis
     return picked.select(*group, *[F.col(f"_f.{c}").alias(c) for c in dict.fromkeys(order + carry)], "group_size")
 
 
-def attach_group(df: DataFrame, facts: DataFrame, keys: list[str], size_col: str, hot_rows: int = 1_000_000) -> DataFrame:
+def attach_group(df: DataFrame, facts: DataFrame, keys: list[str], size_col: str, hot_rows: int = 1_000_000, send_hot: bool = False) -> DataFrame:
     """Join per-group ``facts`` back to the rows, splitting hot groups over salts.
 
     A group above ``hot_rows`` rows is replicated once per million rows on the facts
     side and its rows are spread over the copies. There are at most rows/``hot_rows`` hot
-    groups; how their list is joined is left to the planner.
+    groups; how their list is joined is left to the planner, or with ``send_hot`` it is broadcast,
+    so that the rows move once.
     """
     hot = facts.filter(F.col(size_col) > hot_rows).select(
         *keys, F.ceil(F.col(size_col) / F.lit(float(hot_rows))).cast("int").alias("_salts")
     )
-    rows = df.join(hot, keys, "left").withColumn(
+    rows = df.join(F.broadcast(hot) if send_hot else hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce("_salts", F.lit(1))).cast("int")

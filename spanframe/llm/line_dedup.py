@@ -339,8 +339,8 @@ def removed_lines(rows: DataFrame, threshold: float, crowd: int = CROWD) -> Data
     pairs = open_.alias("x").join(others.alias("y"), (x("token") == y("token")) & earlier & near)
     second = verified(rows, pairs.select(x("uid").alias("uid"), x("line").alias("line"), y("uid").alias("y_uid"), y("line").alias("y_line")), t)
     matched = first.unionByName(second)
-    earliest = lines.groupBy("digest").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    later = attach_group(lines.select("digest", "id", "uid", "line", "h"), earliest, ["digest"], "k", HOT).filter((F.col("at.uid") != F.col("uid")) | (F.col("at.line") != F.col("line")))
+    earliest = written(lines.groupBy("digest").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "lines-repeated")
+    later = attach_group(lines.select("digest", "id", "uid", "line", "h"), earliest, ["digest"], "k", HOT, send_hot=True).filter((F.col("at.uid") != F.col("uid")) | (F.col("at.line") != F.col("line")))
     like = lines.select("uid", "line", "h").join(matched, ["uid", "line"])
     gone = later.select("uid", "line", "h").unionByName(like)
     return gone.groupBy("uid").agg(F.collect_set("line").alias("gone"), F.max("h").alias("h"))
