@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanframe.functions.rounding import round_double
 from spanframe.operators import audit, cohort, components, events
 from spanframe.plans.cohort_queries import SPLIT3
 from spanframe.plans.registry import query
@@ -267,7 +268,7 @@ def c13(spark, sf):
 def c13s(spark, sf):
     r = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("l_tax") - 0.04).alias("mean"), F.stddev_samp("l_tax").alias("sd"))
     out = audit.significance_changes(r, F.lit(1.0), F.lit(1.2))
-    return out.withColumn("mean", F.round("mean", 9)).withColumn("sd", F.round("sd", 9))
+    return out.withColumn("mean", round_double("mean", 9)).withColumn("sd", round_double("sd", 9))
 
 
 RUNS = """kv as (select user_id, cast(ts as date)::varchar as day, ts, event_id, event_type from events where event_type <> 'error'),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanframe.functions.hashing import hash_hex, unit_draw
+from spanframe.functions.rounding import round_double
 from spanframe.operators import budget as bd
 from spanframe.operators import sequence
 from spanframe.plans import flagship
@@ -17,7 +18,7 @@ K10 = "least(n_tiles, greatest(1, cast(ceil(0.10::double * n_tiles) as bigint)))
 
 def _tiles(spark, sf):
     t = sequence.tile_entropy(table(spark, sf, "documents"), "doc_id", "text", 64)
-    t = t.withColumn("entropy", F.round("entropy", 9))
+    t = t.withColumn("entropy", round_double("entropy", 9))
     from pyspark.sql import Window
 
     return t.withColumn("n_tiles", F.max("tile").over(Window.partitionBy("sample_id")) + 1)
@@ -47,7 +48,7 @@ def f1(spark, sf):
 
 @query("f2_select_topk", f"with {RANKS} select sample_id, tile, r_boundary as rank, boundary as score from rk where r_boundary <= {K10}")
 def f2(spark, sf):
-    t = sequence.boundary_score(_tiles(spark, sf)).withColumn("score", F.round("boundary", 9))
+    t = sequence.boundary_score(_tiles(spark, sf)).withColumn("score", round_double("boundary", 9))
     return bd.select_topk(t, _k()).select("sample_id", "tile", "rank", "score")
 
 
@@ -98,7 +99,7 @@ def f5(spark, sf):
 
 @query("f6_select_entropy", f"with {RANKS} select sample_id, tile, r_entropy <= {K10} as by_entropy, r_boundary <= {K10} as by_boundary from rk where r_entropy <= {K10} or r_boundary <= {K10}")
 def f6(spark, sf):
-    t = sequence.boundary_score(_tiles(spark, sf)).withColumn("boundary", F.round("boundary", 9))
+    t = sequence.boundary_score(_tiles(spark, sf)).withColumn("boundary", round_double("boundary", 9))
     e, b = bd.rank_by(F.col("entropy")) <= _k(), bd.rank_by(F.col("boundary")) <= _k()
     return t.select("sample_id", "tile", e.alias("by_entropy"), b.alias("by_boundary")).filter("by_entropy or by_boundary")
 
@@ -135,7 +136,7 @@ SPLIT = "('0x' || substr(sha256(concat_ws('|', 'prior', sample_id)), 1, 13))::ub
 def f9(spark, sf):
     tiles = flagship.scored_tiles(spark, sf)
     train = tiles.filter(unit_draw("prior", "sample_id") < 0.7)
-    return bd.fit_position_prior(train).select("bin", F.round("density", 9).alias("density"))
+    return bd.fit_position_prior(train).select("bin", round_double("density", 9).alias("density"))
 
 
 @query(
@@ -149,7 +150,7 @@ def f9(spark, sf):
 def f9s(spark, sf):
     tiles = flagship.scored_tiles(spark, sf)
     prior = bd.fit_position_prior(tiles.filter(unit_draw("prior", "sample_id") < 0.7))
-    return bd.score_position(tiles.select("sample_id", "tile", "n_tiles"), prior).select("sample_id", "tile", F.round("position_only", 9).alias("position_only"))
+    return bd.score_position(tiles.select("sample_id", "tile", "n_tiles"), prior).select("sample_id", "tile", round_double("position_only", 9).alias("position_only"))
 
 
 @query(
@@ -161,8 +162,8 @@ def f10(spark, sf):
     chosen = bd.choices(bd.rank_selectors(flagship.scored_tiles(spark, sf), flagship.SEED), (0.10,), ("entropy", "front_first"))
     out = bd.selection_metrics(chosen, ["selector", "budget"])
     return out.select(
-        "sample_id", "selector", "budget", F.round("coverage", 9).alias("coverage"), F.round("byte_iou", 9).alias("byte_iou"),
-        F.round("interval_recall_50", 9).alias("interval_recall_50"), "evidence_hit", "k",
+        "sample_id", "selector", "budget", round_double("coverage", 9).alias("coverage"), round_double("byte_iou", 9).alias("byte_iou"),
+        round_double("interval_recall_50", 9).alias("interval_recall_50"), "evidence_hit", "k",
     )
 
 
@@ -174,7 +175,7 @@ def f10(spark, sf):
 def f11(spark, sf):
     ev = flagship.evaluation(spark, sf)
     for c in ("coverage", "byte_iou", "interval_recall_50"):
-        ev = ev.withColumn(c, F.round(c, 9))
+        ev = ev.withColumn(c, round_double(c, 9))
     return ev
 
 
@@ -196,7 +197,7 @@ def f11_means(spark, sf):
 )
 def f13(spark, sf):
     t = bd.top_mean(view(spark, sf, "v_line"), ["sample_id"], "l_extendedprice", 0.25, ["idx"])
-    return t.select("sample_id", F.round("top_mean", 6).alias("top_mean"))
+    return t.select("sample_id", round_double("top_mean", 6).alias("top_mean"))
 
 
 @query(
@@ -219,8 +220,8 @@ def f14(spark, sf):
     up = sequence.upsample_linear(coarse, sizes).select(F.col("key").alias("sample_id"), F.col("i").alias("tile"), "value")
     m = F.expr("(n_tiles + 7) div 8")
     return t.join(up, ["sample_id", "tile"]).select(
-        "sample_id", "tile", F.round("value", 6).alias("coarse"), F.round(F.col("entropy") / 8.0, 6).alias("entropy"),
-        F.round(unit_draw("route", "sample_id", "tile"), 9).alias("random"),
+        "sample_id", "tile", round_double("value", 6).alias("coarse"), round_double(F.col("entropy") / 8.0, 6).alias("entropy"),
+        round_double(unit_draw("route", "sample_id", "tile"), 9).alias("random"),
         (-F.abs(F.col("tile").cast("double") % 1.0)).alias("uniform"),
         bd.routing_cost(m, _k(), "coarse").alias("coarse_passes"), bd.routing_cost(m, _k(), "entropy").alias("cheap_passes"),
     )
@@ -239,8 +240,8 @@ def f15(spark, sf):
     e = e.select("vec_id", (1.0 / (1.0 + F.exp(-F.col("x").cast("double")))).alias("p"))
     m = bd.max_over_levels(e, ["vec_id"], "p").withColumn("entropy", bd.binary_entropy(F.col("probability")))
     return m.select(
-        "vec_id", F.round("probability", 9).alias("probability"), F.round("entropy", 9).alias("entropy"),
-        F.round(bd.combine_scores(F.col("probability"), F.col("entropy"), 0.7, 0.3), 9).alias("combined"),
+        "vec_id", round_double("probability", 9).alias("probability"), round_double("entropy", 9).alias("entropy"),
+        round_double(bd.combine_scores(F.col("probability"), F.col("entropy"), 0.7, 0.3), 9).alias("combined"),
     )
 
 
@@ -252,4 +253,4 @@ def f15(spark, sf):
 )
 def f16(spark, sf):
     n = bd.normalize_scores(view(spark, sf, "v_line").select("sample_id", "idx", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice")
-    return n.select("sample_id", "idx", F.round("normalized", 9).alias("normalized"))
+    return n.select("sample_id", "idx", round_double("normalized", 9).alias("normalized"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanframe.functions.rounding import round_double
 from spanframe.operators import cohort as co
 from spanframe.operators import sequence
 from spanframe.plans.registry import query
@@ -260,7 +261,7 @@ def b13s(spark, sf):
 )
 def b14(spark, sf):
     classes = spark.range(4).select(F.col("id").cast("int").alias("quality"))
-    return co.class_weights(table(spark, sf, "labels"), "quality", classes).withColumn("weight", F.round("weight", 9))
+    return co.class_weights(table(spark, sf, "labels"), "quality", classes).withColumn("weight", round_double("weight", 9))
 
 
 @query("b15_pseudonymize", "select doc_id, source, printf('case-%03d', row_number() over (order by sha256(doc_id::varchar))) as case from documents")
@@ -298,19 +299,19 @@ pairs as (select sample_id, grp, attempt, start, cross_id, same_id, round(cseam,
 def _pairs(spark, sf):
     d = table(spark, sf, "documents")
     samples = d.select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("grp"), F.col("n_chars").alias("n"))
-    tiles = sequence.tile_entropy(d.select("doc_id", "text"), "doc_id", "text", 64).withColumn("entropy", F.round("entropy", 9))
+    tiles = sequence.tile_entropy(d.select("doc_id", "text"), "doc_id", "text", 64).withColumn("entropy", round_double("entropy", 9))
     ends = tiles.select("sample_id", ((F.col("tile") + 1) * 64).alias("pos"), F.col("entropy").alias("before"))
     starts = tiles.select("sample_id", (F.col("tile") * 64).alias("pos"), F.col("entropy").alias("after"))
     edges = ends.join(starts, ["sample_id", "pos"], "full")
     at = F.expr("int((n_chars - 256) div 2)")
     piece = d.filter("n_chars >= 256").select(F.col("doc_id").alias("sample_id"), F.col("text").substr(at + 1, F.lit(64)).alias("h"), F.col("text").substr(at + 193, F.lit(64)).alias("t"))
-    donor = piece.select("sample_id", F.round(sequence.text_entropy(F.col("h")), 9).alias("head"), F.round(sequence.text_entropy(F.col("t")), 9).alias("tail"))
+    donor = piece.select("sample_id", round_double(sequence.text_entropy(F.col("h")), 9).alias("head"), round_double(sequence.text_entropy(F.col("t")), 9).alias("tail"))
     return co.matched_pairs(samples, edges, donor, 256, 64, "pair")
 
 
 @query("b16_matched_pairs", f"with {PAIR} select * from pairs")
 def b16(spark, sf):
-    return _pairs(spark, sf)[0].withColumn("cross_seam", F.round("cross_seam", 6)).withColumn("same_seam", F.round("same_seam", 6))
+    return _pairs(spark, sf)[0].withColumn("cross_seam", round_double("cross_seam", 6)).withColumn("same_seam", round_double("same_seam", 6))
 
 
 @query("b16_pair_rejections", f"with {PAIR} select sample_id, grp, case when n < 768 then 'host_too_short' else 'no_pair_within_seam_limit' end as reason from sm where sample_id not in (select sample_id from pairs)")

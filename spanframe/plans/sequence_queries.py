@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanframe.functions.rounding import round_double
 from spanframe.operators import headers, intervals, sequence, spans
 from spanframe.plans import flagship
 from spanframe.plans.registry import query
@@ -33,23 +34,23 @@ def e1(spark, sf):
 def e1p(spark, sf):
     d = _docs(spark, sf)
     p = sequence.symbol_probabilities(sequence.symbol_histogram(d, "doc_id", "text"), d.select(F.col("doc_id").alias("sample_id")))
-    return p.withColumn("p", F.round("p", 9))
+    return p.withColumn("p", round_double("p", 9))
 
 
 @query("e2_tile_entropy", f"with {ENTROPY} select * from ent")
 def e2(spark, sf):
-    return sequence.tile_entropy(_docs(spark, sf), "doc_id", "text", 64).withColumn("entropy", F.round("entropy", 9))
+    return sequence.tile_entropy(_docs(spark, sf), "doc_id", "text", 64).withColumn("entropy", round_double("entropy", 9))
 
 
 @query("e2_block_entropy", f"with {ENTROPY} select sample_id, tile, entropy from ent where n_units = 64")
 def e2a(spark, sf):
-    return sequence.block_entropy(_docs(spark, sf), "doc_id", "text", 64).select("sample_id", "tile", F.round("entropy", 9).alias("entropy"))
+    return sequence.block_entropy(_docs(spark, sf), "doc_id", "text", 64).select("sample_id", "tile", round_double("entropy", 9).alias("entropy"))
 
 
 @query("e2_entropy_guide", f"with {ENTROPY} select sample_id, tile, round(entropy / 8.0, 6) as guide from ent")
 def e2c(spark, sf):
     g = sequence.entropy_guide(_docs(spark, sf), "doc_id", "text", 64)
-    return g.select("sample_id", "tile", F.round(F.round("entropy", 9) / 8.0, 6).alias("guide"))
+    return g.select("sample_id", "tile", round_double(round_double("entropy", 9) / 8.0, 6).alias("guide"))
 
 
 @query(
@@ -61,7 +62,7 @@ def e2c(spark, sf):
 )
 def e3(spark, sf):
     r = sequence.row_statistics(_bytes(spark, sf), "doc_id", "content")
-    return r.select("sample_id", "row", *[F.round(c, 9).alias(c) for c in ("mean", "entropy", "distinct")])
+    return r.select("sample_id", "row", *[round_double(c, 9).alias(c) for c in ("mean", "entropy", "distinct")])
 
 
 @query(
@@ -72,7 +73,7 @@ def e3(spark, sf):
     select sample_id, index, round(n / sum(n) over (partition by sample_id, kind), 9) as value from c""",
 )
 def e4(spark, sf):
-    return sequence.hashed_bigram_features(_bytes(spark, sf), "doc_id", "content").withColumn("value", F.round("value", 9))
+    return sequence.hashed_bigram_features(_bytes(spark, sf), "doc_id", "content").withColumn("value", round_double("value", 9))
 
 
 @query(
@@ -81,8 +82,8 @@ def e4(spark, sf):
     from ent window w as (partition by sample_id order by tile)""",
 )
 def e5(spark, sf):
-    t = sequence.tile_entropy(_docs(spark, sf), "doc_id", "text", 64).withColumn("entropy", F.round("entropy", 9))
-    return sequence.boundary_score(t).select("sample_id", "tile", F.round("boundary", 9).alias("boundary"))
+    t = sequence.tile_entropy(_docs(spark, sf), "doc_id", "text", 64).withColumn("entropy", round_double("entropy", 9))
+    return sequence.boundary_score(t).select("sample_id", "tile", round_double("boundary", 9).alias("boundary"))
 
 
 HOURLY = """hr as (select event_type as key, cast((extract(day from ts) - 1) * 24 + extract(hour from ts) as bigint) as row, avg(value) as value from events group by all)"""
@@ -104,7 +105,7 @@ def _hourly(spark, sf):
 def e6(spark, sf):
     rows = _hourly(spark, sf)
     cuts = rows.select("key", (F.floor(F.col("row") / 24) * 24).alias("cut")).distinct()
-    return sequence.boundary_contrast(rows, cuts).withColumn("contrast", F.round("contrast", 6))
+    return sequence.boundary_contrast(rows, cuts).withColumn("contrast", round_double("contrast", 6))
 
 
 @query(
@@ -125,7 +126,7 @@ def e7(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("graft"))
     d = table(spark, sf, "documents").join(F.broadcast(b.agg(F.count(F.lit(1)).alias("items"))))  # one row
     d = d.select("doc_id", "text", (F.col("doc_id") % F.col("items")).alias("item_id"), F.expr("n_chars div 2").alias("start"))
-    return sequence.seam_delta(d.join(b, "item_id"), "text", "graft", "start").select("doc_id", F.round("seam_delta", 9).alias("seam_delta"))
+    return sequence.seam_delta(d.join(b, "item_id"), "text", "graft", "start").select("doc_id", round_double("seam_delta", 9).alias("seam_delta"))
 
 
 @query(
@@ -137,15 +138,15 @@ def e7(spark, sf):
 )
 def e8(spark, sf):
     d = _docs(spark, sf)
-    observed = sequence.block_entropy(d, "doc_id", "text", 64).withColumn("entropy", F.round("entropy", 9))
+    observed = sequence.block_entropy(d, "doc_id", "text", 64).withColumn("entropy", round_double("entropy", 9))
     whole = sequence.symbol_histogram(d, "doc_id", "text").groupBy("sample_id").agg(
-        F.round(F.log2(F.sum("cnt")) - F.sum(F.col("cnt") * F.log2("cnt")) / F.sum("cnt"), 9).alias("entropy")
+        round_double(F.log2(F.sum("cnt")) - F.sum(F.col("cnt") * F.log2("cnt")) / F.sum("cnt"), 9).alias("entropy")
     )
     fills = whole.withColumn("fill", F.lit("histogram")).unionByName(
         observed.select("sample_id").distinct().select("sample_id", F.lit(0.0).alias("entropy"), F.lit("zero").alias("fill"))
     )
     out = sequence.in_distribution(fills, observed)
-    return out.select("sample_id", "fill", "fill_entropy", *[F.round(c, 6).alias(c) for c in ("sample_low", "sample_median", "sample_high")], "in_distribution")
+    return out.select("sample_id", "fill", "fill_entropy", *[round_double(c, 6).alias(c) for c in ("sample_low", "sample_median", "sample_high")], "in_distribution")
 
 
 SERIES = """ev as (select event_type as key, cast((extract(day from ts) - 1) * 144 + extract(hour from ts) * 6 + extract(minute from ts) // 10 as bigint) as slot, value from events),
@@ -174,13 +175,13 @@ li as (select f.key, f.i, a.value + (b.value - a.value) * (att - floor(att)) as
 @query("e9_upsample_nearest", f"with {SERIES} select g.key, g.i, round(c.value, 9) as value from gd g join co c on c.key = g.key and c.cell = g.i * 720 // 4320")
 def e9n(spark, sf):
     coarse, _, sizes = _series(spark, sf)
-    return sequence.upsample_nearest(coarse, sizes).withColumn("value", F.round("value", 9))
+    return sequence.upsample_nearest(coarse, sizes).withColumn("value", round_double("value", 9))
 
 
 @query("e9_upsample_linear", f"with {SERIES}, {LINEAR} select key, i, round(value, 9) as value from li")
 def e9l(spark, sf):
     coarse, _, sizes = _series(spark, sf)
-    return sequence.upsample_linear(coarse, sizes).withColumn("value", F.round("value", 9))
+    return sequence.upsample_linear(coarse, sizes).withColumn("value", round_double("value", 9))
 
 
 @query(
@@ -193,7 +194,7 @@ def e9l(spark, sf):
 )
 def e10(spark, sf):
     coarse, guide, sizes = _series(spark, sf)
-    return sequence.upsample_guided(coarse, guide, sizes).withColumn("value", F.round("value", 6))
+    return sequence.upsample_guided(coarse, guide, sizes).withColumn("value", round_double("value", 6))
 
 
 @query(
@@ -205,7 +206,7 @@ def e10(spark, sf):
 def e11(spark, sf):
     _, guide, sizes = _series(spark, sf)
     out = sequence.area_resample(guide.withColumnRenamed("g", "value"), sizes.select("key", F.col("target").alias("m"), F.lit(101).cast("bigint").alias("target")))
-    return out.withColumn("value", F.round("value", 9))
+    return out.withColumn("value", round_double("value", 9))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from spanframe.functions.rounding import round_double
 from spanframe.operators import regions, sequence, textmodel
 from spanframe.plans.cohort_queries import _manifest
 from spanframe.plans.region_queries import _layouts
@@ -231,7 +232,7 @@ def e14(spark, sf):
 @query("e14_dump_facts", f"with {ASM} select sample_id, max(off) + 1 as size, count(*) filter (t <> '??') as n_valid, round(count(*) filter (t <> '??') / (max(off) + 1)::double, 9) as valid_fraction from cv group by 1")
 def e14f(spark, sf):
     f = dumps.assemble_dump(dumps.parse_hex_dumps(_dump_text(spark, sf), "text"))[1]
-    return f.withColumn("valid_fraction", F.round("valid_fraction", 9))
+    return f.withColumn("valid_fraction", round_double("valid_fraction", 9))
 
 
 def _masked(spark, sf):
@@ -262,7 +263,7 @@ def e1m(spark, sf):
 def e1mp(spark, sf):
     m = _masked(spark, sf)
     p = sequence.symbol_probabilities(sequence.symbol_histogram(m, "sample_id", "content", None, "runs"), m)
-    return p.withColumn("p", F.round("p", 9))
+    return p.withColumn("p", round_double("p", 9))
 
 
 @query(
@@ -272,7 +273,7 @@ def e1mp(spark, sf):
 )
 def e3m(spark, sf):
     r = sequence.valid_row_statistics(_masked(spark, sf), "sample_id", "content", "runs")
-    return r.select("sample_id", "row", "n_valid", *[F.round(c, 9).alias(c) for c in ("mean", "entropy", "distinct")])
+    return r.select("sample_id", "row", "n_valid", *[round_double(c, 9).alias(c) for c in ("mean", "entropy", "distinct")])
 
 
 @query(
@@ -284,7 +285,7 @@ def e3m(spark, sf):
     union all select sample_id, unnest(range(256)), round(1 / 256.0, 9) from sm where sample_id % 5 = 0""",
 )
 def e4m(spark, sf):
-    return sequence.hashed_bigram_features(_masked(spark, sf), "sample_id", "content", valid="runs").withColumn("value", F.round("value", 9))
+    return sequence.hashed_bigram_features(_masked(spark, sf), "sample_id", "content", valid="runs").withColumn("value", round_double("value", 9))
 
 
 @query("a7_read_segment_listing", "select user_id as sample_id, '.' || event_type as name, min(4096 + event_id) as lo, max(4096 + event_id) as hi from events group by 1, 2")
