@@ -60,17 +60,17 @@ def tile_entropy_batches(size: int):
 
 
 def known_symbols(content, runs) -> tuple[np.ndarray, np.ndarray | None]:
-    """Symbols of one sample and their positions; with ``runs`` only those inside a run.
+    """Symbols of one sample and their positions; with ``runs`` (all lo, all hi) only those inside a run.
 
     Positions are None for a sample without a mask: its symbols stand side by side.
     """
     codes = codes_of(content or b"")
     if runs is None:
         return codes, None
-    cuts = [(max(0, r["lo"]), min(codes.size, r["hi"])) for r in runs if r["lo"] < codes.size]
-    if not cuts:
-        return codes[:0], np.zeros(0, np.int64)
-    return np.concatenate([codes[lo:hi] for lo, hi in cuts]), np.concatenate([np.arange(lo, hi) for lo, hi in cuts])
+    lo = np.maximum(runs[0], 0)
+    n = np.maximum(np.minimum(runs[1], codes.size) - lo, 0)
+    at = np.arange(int(n.sum()), dtype=np.int64) + np.repeat(lo - (np.cumsum(n) - n), n)
+    return codes[at], at
 
 
 def fill_batches(batches):
@@ -107,13 +107,26 @@ def dump_tokens(offsets: np.ndarray, payloads: list[str]) -> tuple[np.ndarray, n
     return at[pair][value > -2], value[value > -2]
 
 
+#: Samples unpacked at a time; rows, and bytes of content, after which a kernel hands its batch over.
+UNPACK, FLUSH_ROWS, FLUSH_BYTES = 64, 1 << 18, 1 << 22
+
+
+def _contents(ids: pa.Array, at: list[int], contents: list[bytes], edges: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows ``at`` with their contents and valid runs, given as edges lo, hi, lo, hi."""
+    flat = np.concatenate(edges).astype(np.int64)
+    ends = np.cumsum([0, *(e.size // 2 for e in edges)]).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array(flat[::2]), pa.array(flat[1::2])], names=["lo", "hi"])
+    lists = pa.ListArray.from_arrays(pa.array(ends), runs)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(contents, pa.binary()), lists], names=["sample_id", "content", "runs"])
+
+
 def dump_batches(batches, step: int = 4096):
     """(sample_id, offsets, payloads) -> (sample_id, content, runs); a later line wins. Tokens are read ``step`` lines at a time."""
-    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     for batch in batches:
+        rows, contents, edges, held = [], [], [], 0
         for i in range(batch.num_rows):
             offsets, payloads = batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values
-            value, size = np.zeros(int(offsets.max(initial=0)) + 1, np.int16), 0
+            value, size = np.zeros(int(offsets.max(initial=0)) + 64, np.int16), 0
             for lo in range(0, len(payloads), step):
                 at, v = dump_tokens(offsets[lo : lo + step], payloads.slice(lo, step).to_pylist())
                 if at.size:
@@ -124,48 +137,83 @@ def dump_batches(batches, step: int = 4096):
             if not size:
                 continue
             value = value[:size]
-            edge = np.flatnonzero(np.diff(np.concatenate(([False], value > 0, [False]))))
-            runs = [{"lo": lo, "hi": hi} for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
-            content = np.maximum(value - 1, 0).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary()), pa.array([runs], kind)], names=["sample_id", "content", "runs"])
+            rows.append(i)
+            edges.append(np.flatnonzero(np.diff(np.concatenate(([False], value > 0, [False])))))
+            contents.append(np.maximum(value - 1, 0).astype(np.uint8).tobytes())
+            held += size
+            if len(rows) == UNPACK or held > FLUSH_BYTES:
+                yield _contents(batch.column(0), rows, contents, edges)
+                rows, contents, edges, held = [], [], [], 0
+        if rows:
+            yield _contents(batch.column(0), rows, contents, edges)
+
+
+def _runs(lists: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(all lo, all hi) of each list; a null list has no run."""
+    lo, hi = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+    ends, known = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+    return [(lo[a:b], hi[a:b]) if k else (lo[:0], hi[:0]) for a, b, k in zip(ends[:-1], ends[1:], known)]
 
 
 def _samples(batch):
     """(sample_id, content, runs) of each row; runs are None where the batch has no mask."""
-    runs = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-    masked = batch.num_columns > 2
-    for sid, content, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), runs):
-        yield sid, content, (own or []) if masked else None
+    for at in range(0, batch.num_rows, UNPACK):
+        part = batch.slice(at, UNPACK)
+        runs = _runs(part.column(2)) if part.num_columns > 2 else [None] * part.num_rows
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), runs)
+
 
+def _known_counts(codes: np.ndarray, at: np.ndarray, size: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, code, count) of symbols at these positions, by tile and code."""
+    base = 256 if codes.dtype == np.uint8 else 0x110000
+    key = (at // size if size else np.zeros_like(at)) * base + codes
+    if key.size and key.max() < 1 << 22:
+        counts = np.bincount(key)
+        key = np.flatnonzero(counts)
+        cnt = counts[key]
+    else:
+        key, cnt = np.unique(key, return_counts=True)
+    return key // base, key % base, cnt
 
-def histogram_batches(size: int | None):
-    """(sample_id, content[, runs]) -> (sample_id, tile, code, cnt), already summed per tile."""
+
+def histogram_batches(size: int | None, keep_empty: bool = False):
+    """(sample_id, content[, runs]) -> (sample_id, tile, code, cnt), already summed per tile.
+
+    With ``keep_empty`` a sample without (known) symbols has one row of code -1 and count 0.
+    """
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out, held = [[], [], [], []], 0
             for sid, content, runs in _samples(batch):
                 codes, at = known_symbols(content, runs)
-                if at is None:
+                if keep_empty and not codes.size:
+                    t, a, cnt = np.zeros(1, np.int64), np.full(1, -1), np.zeros(1, np.int64)
+                elif at is None:
                     counts, alphabet = tile_counts(codes, size or max(1, codes.size))
                     t, a = np.nonzero(counts)
                     cnt = counts[t, a]
                     a = alphabet[a]
                 else:
-                    key, cnt = np.unique((at // size if size else at * 0) * 0x110000 + codes, return_counts=True)
-                    t, a = key // 0x110000, key % 0x110000
+                    t, a, cnt = _known_counts(codes, at, size)
                 out[0].append(np.full(t.size, sid, dtype=np.int64))
                 out[1].append(t.astype(np.int64))
                 out[2].append(a.astype(np.int64))
                 out[3].append(cnt.astype(np.int64))
+                held += t.size
+                if held > FLUSH_ROWS:
+                    yield _rows(out, ["sample_id", "tile", "code", "cnt"])
+                    out, held = [[], [], [], []], 0
             if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out], names=["sample_id", "tile", "code", "cnt"]
-                )
+                yield _rows(out, ["sample_id", "tile", "code", "cnt"])
 
     return run
 
 
+def _rows(out: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
+
 def share_vector_batches(buckets: int, rows: int = 512):
     """(sample_id, bytes, carried...) -> (sample_id, shares, carried...), ``rows`` vectors a batch.
 
@@ -205,8 +253,11 @@ def bigram_batches(buckets: int, block: int | None = None):
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out, held = [[], [], [], [], []], 0
             for sid, content, runs in _samples(batch):
+                if held > FLUSH_ROWS:
+                    yield _rows(out, ["sample_id", "block", "kind", "bucket", "cnt"])
+                    out, held = [[], [], [], [], []], 0
                 data, _ = known_symbols(content, runs)
                 data = data.astype(np.int64)
                 step = block or max(1, data.size)
@@ -221,10 +272,9 @@ def bigram_batches(buckets: int, block: int | None = None):
                         out[2].append(np.full(nz.size, kind, dtype=np.int32))
                         out[3].append(nz.astype(np.int64))
                         out[4].append(counts[nz].astype(np.int64))
+                        held += nz.size
             if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out], names=["sample_id", "block", "kind", "bucket", "cnt"]
-                )
+                yield _rows(out, ["sample_id", "block", "kind", "bucket", "cnt"])
 
     return run
 

@@ -27,10 +27,12 @@ def _address(digits: Column) -> Column:
 
 def _address_lines(df: DataFrame, text: str) -> DataFrame:
     """Every line that starts with an address: its number, that of the sample's first line, and their distance."""
-    lines = df.select("sample_id", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "_l"))
+    # one pass of the pattern per line: no line holds a line feed, so one parts address and payload of a match
+    parted = F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_replace(x, F.lit(LINE), F.lit("$1\n$2")))
+    lines = df.select("sample_id", F.posexplode(parted).alias("line_no", "_l")).filter(F.instr("_l", "\n") > 0)
     hit = lines.select(
-        "sample_id", "line_no", F.regexp_extract("_l", LINE, 1).alias("_a"), F.regexp_extract("_l", LINE, 2).alias("payload")
-    ).filter("_a <> ''").withColumn("addr", _address(F.col("_a")))
+        "sample_id", "line_no", F.substring_index("_l", "\n", 1).alias("_a"), F.substring_index("_l", "\n", -1).alias("payload")
+    ).withColumn("addr", _address(F.col("_a")))
     base = F.first("addr", ignorenulls=True).over(Window.partitionBy("sample_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return hit.withColumn("base", base).withColumn("offset", F.expr("try_cast(addr - base as bigint)"))  # lines of one text row
 
