@@ -18,14 +18,15 @@ def _content(df: DataFrame, id_col: str, text_col: str, valid: str | None = None
     return df.select(F.col(id_col).cast("bigint").alias("sample_id"), F.col(text_col).alias("content"), *mask)
 
 
-def symbol_histogram(df: DataFrame, id_col: str, text_col: str, size: int | None = None, valid: str | None = None) -> DataFrame:
+def symbol_histogram(df: DataFrame, id_col: str, text_col: str, size: int | None = None, valid: str | None = None, keep_empty: bool = False) -> DataFrame:
     """Counts per (sample, tile, code); ``size=None`` makes the whole sample one tile.
 
     ``valid`` names a column of runs (array of lo, hi); symbols outside them are unknown and
-    count nowhere. A null list has no run. Tiles are cut by position, known or not.
+    count nowhere. A null list has no run. Tiles are cut by position, known or not. With
+    ``keep_empty`` a sample without (known) symbols has one row of code -1 and count 0.
     """
     return _content(df, id_col, text_col, valid).mapInArrow(
-        kernels.histogram_batches(size), "sample_id bigint, tile bigint, code bigint, cnt bigint"
+        kernels.histogram_batches(size, keep_empty), "sample_id bigint, tile bigint, code bigint, cnt bigint"
     )
 
 
@@ -39,14 +40,23 @@ def symbol_histogram_sql(df: DataFrame, id_col: str, text_col: str, size: int) -
     )
 
 
-def symbol_probabilities(hist: DataFrame, samples: DataFrame, alphabet: int = 256) -> DataFrame:
-    """Probabilities per code; a sample without symbols gets the uniform distribution."""
-    total = hist.groupBy("sample_id").agg(F.sum("cnt").alias("_n"))
-    known = hist.groupBy("sample_id", "code").agg(F.sum("cnt").alias("_c")).join(total, "sample_id")
-    known = known.select("sample_id", "code", (F.col("_c") / F.col("_n")).alias("p"))
-    empty = samples.select("sample_id").join(total, "sample_id", "left_anti").select(
-        "sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(alphabet - 1).cast("bigint"))).alias("code"), F.lit(1.0 / alphabet).alias("p")
-    )
+def symbol_probabilities(hist: DataFrame, samples: DataFrame | None = None, alphabet: int = 256) -> DataFrame:
+    """Probabilities per code; a sample without symbols gets the uniform distribution.
+
+    Such samples are those of ``samples`` that ``hist`` lacks, or without ``samples`` the ones
+    that ``hist`` keeps by a row of their own (``keep_empty``); the content is then read once.
+    """
+    even = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(alphabet - 1).cast("bigint")), lambda i: F.struct(i.alias("code"), F.lit(1.0 / alphabet).alias("p")))
+    counts = hist.groupBy("sample_id", "code").agg(F.sum("cnt").alias("_c"))
+    n = F.sum("_c").over(Window.partitionBy("sample_id"))
+    if samples is None:
+        shared = counts.withColumn("_n", n).filter("code >= 0 or _n = 0")
+        own = F.array(F.struct(F.col("code"), (F.col("_c") / F.when(F.col("_n") > 0, F.col("_n"))).alias("p")))
+        return shared.select("sample_id", F.explode(F.when(F.col("_n") == 0, even).otherwise(own)).alias("_e")).select("sample_id", "_e.code", "_e.p")
+    known = counts.withColumn("_n", n).select("sample_id", "code", (F.col("_c") / F.col("_n")).alias("p"))
+    empty = samples.select("sample_id").join(hist.select("sample_id").distinct(), "sample_id", "left_anti").select(
+        "sample_id", F.explode(even).alias("_e")
+    ).select("sample_id", "_e.code", "_e.p")
     return known.unionByName(empty)
 
 

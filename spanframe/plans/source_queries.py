@@ -261,8 +261,7 @@ def e1m(spark, sf):
     union all select sample_id, unnest(range(256)), round(1 / 256.0, 9) from sm where sample_id % 5 = 0""",
 )
 def e1mp(spark, sf):
-    m = _masked(spark, sf)
-    p = sequence.symbol_probabilities(sequence.symbol_histogram(m, "sample_id", "content", None, "runs"), m)
+    p = sequence.symbol_probabilities(sequence.symbol_histogram(_masked(spark, sf), "sample_id", "content", None, "runs", keep_empty=True))
     return p.withColumn("p", round_double("p", 9))
 
 
